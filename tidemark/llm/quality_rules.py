@@ -22,10 +22,10 @@ from ._spark import materialize, text_or_empty
 
 # Frequent function words by language.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "with", "on", "as", "by", "at", "from", "it", "be", "this", "are", "was", "or"],
-    "fr": ["le", "la", "les", "de", "des", "du", "un", "une", "et", "en", "que", "qui", "pour", "par", "sur", "dans", "pas", "est", "au", "ou"],
-    "de": ["der", "die", "das", "und", "den", "von", "zu", "mit", "dem", "ist", "im", "nicht", "ein", "eine", "sich", "auf", "für", "als", "auch", "des"],
-    "es": ["el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "con", "por", "se", "lo", "del", "al", "es", "para", "no", "su"],
+    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "with", "on", "as", "by"],
+    "fr": ["le", "la", "les", "de", "des", "un", "une", "et", "en", "que", "qui", "pour"],
+    "de": ["der", "die", "das", "und", "den", "von", "zu", "mit", "ist", "nicht", "ein", "sich"],
+    "es": ["el", "la", "los", "de", "que", "y", "en", "un", "con", "por", "se", "del"],
 }
 #: Character classes in the order in which they are taken out of the text; what is left is "other".
 CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "symbol": r"[#*$%&|<>]+", "punct": r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"}
@@ -39,6 +39,10 @@ LIMITS = {"classes": (0.09, 1.0), "words": (0.05, 2.2)}
 _ALL = sorted({w for words in COMMON_WORDS.values() for w in words})
 
 
+def _cased(words: list[str]) -> list[str]:
+    return [*words, *(w.capitalize() for w in words)]
+
+
 def _removed(before: str, after: str) -> Column:
     return F.length(before) - F.length(after)
 
@@ -58,20 +62,19 @@ def _histograms(docs: DataFrame) -> DataFrame:
         left = f"_r_{name}"
     df = df.withColumn("_classes", F.array(*names, F.length(left))).withColumn("n_symbols", F.col("_n_symbol").cast("long"))
     # the common words alone, each between two blanks: a word's count is what its removal shortens the string by
-    df = df.withColumn("_found", F.filter("_words", lambda w: w.isin([*_ALL, *(w.capitalize() for w in _ALL)])))
-    df = df.withColumn("_found", F.lower(F.concat(F.lit(" "), F.array_join("_found", "  "), F.lit(" "))))
-    df = df.withColumn("_counts", F.array(*(((F.length("_found") - F.length(F.replace("_found", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in _ALL)))
-    at = {w: i for i, w in enumerate(_ALL)}
-    df = df.withColumns({f"_c_{lang}": F.array(*(F.col("_counts")[at[w]] for w in words)) for lang, words in COMMON_WORDS.items()})
-    df = df.withColumns({f"_h_{lang}": F.aggregate(f"_c_{lang}", F.lit(0), lambda a, x: a + x) for lang in COMMON_WORDS})
+    df = df.withColumn("_found", F.filter("_words", lambda w: w.isin(_cased(_ALL))))
+    df = df.withColumns({f"_h_{lang}": F.size(F.filter("_found", lambda w: w.isin(_cased(words)))) for lang, words in COMMON_WORDS.items()})  # noqa: B023
     df = df.withColumn("_best", F.greatest(*(F.col(f"_h_{lang}") for lang in COMMON_WORDS)))
-    language = F.when(F.col("_best") == 0, F.lit(None).cast("string"))
-    common = F.when(F.col("_best") == 0, F.lit(None).cast("array<int>"))
-    for lang in COMMON_WORDS:  # the language whose words are most; the first of them at a tie
-        language = language.when(F.col(f"_h_{lang}") == F.col("_best"), lang)
-        common = common.when(F.col(f"_h_{lang}") == F.col("_best"), F.array_append(f"_c_{lang}", F.col("n_words").cast("int") - F.col("_best")))
-    df = df.withColumn("language", language).withColumn("_common", common)
-    return df.drop("_trimmed", "_r", "_found", "_counts", "_best", *(f"_r_{n}" for n in CLASSES), *names, *(f"_{k}_{lang}" for lang in COMMON_WORDS for k in "ch"))
+    language, own = F.when(F.col("_best") == 0, F.lit(None).cast("string")), F.when(F.col("_best") == 0, F.lit(None).cast("array<string>"))
+    for lang, words in COMMON_WORDS.items():  # the language whose words are most; the first of them at a tie
+        first = F.col(f"_h_{lang}") == F.col("_best")
+        language, own = language.when(first, lang), own.when(first, F.array(*map(F.lit, words)))
+    df = df.withColumn("language", language).withColumn("_own", own)
+    df = df.withColumn("_joined", F.lower(F.concat(F.lit(" "), F.array_join("_found", "  "), F.lit(" "))))
+    sought = [F.concat(F.lit(" "), F.col("_own")[i], F.lit(" ")) for i in range(len(COMMON_WORDS["en"]))]
+    counts = [((F.length("_joined") - F.length(F.replace("_joined", w, F.lit("")))) / F.length(w)).cast("int") for w in sought]
+    df = df.withColumn("_common", F.when(F.col("_best") > 0, F.array(*counts, F.col("n_words").cast("int") - F.col("_best"))))
+    return df.drop("_trimmed", "_r", "_found", "_own", "_joined", "_best", *(f"_r_{n}" for n in CLASSES), *names, *(f"_h_{lang}" for lang in COMMON_WORDS))
 
 
 def _repeated(df: DataFrame) -> DataFrame:
