@@ -4,16 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_round_trip
 from .quality_rules import quality_rules
+from .token_counts import token_counts
+from .token_store import token_store
+
+#: Names of the vocabularies among the public tokenizers.
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules,)}
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(_documents(spark, sf_dir), _vocabulary(WORD_BPE), end=1)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), _vocabulary(BYTE_BPE), limit=512)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_documents(spark, sf_dir), _vocabulary(BYTE_BPE))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_token_store, op7_token_counts, op10_bpe)}
 ORACLES: dict[str, str] = {}
