@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
+from .mixing import ORACLE as MIX_SQL
+from .mixing import mix_sources
 from .quality_rules import quality_rules
+from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_store import token_store
 
@@ -27,6 +30,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_documents(spark, sf_dir), _vocabulary(WORD_BPE), end=1)
 
@@ -39,5 +50,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), _vocabulary(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_token_store, op7_token_counts, op10_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op4_simhash, op6_token_store, op7_token_counts, op10_bpe)}
+ORACLES: dict[str, str] = {"op3_mix_sources": MIX_SQL}
