@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_sources
+from .pii import personal_spans
+from .quality_fm import quality_scores
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -26,6 +28,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
@@ -38,6 +44,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_spans(_documents(spark, sf_dir))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_documents(spark, sf_dir), _vocabulary(WORD_BPE), end=1)
 
@@ -50,5 +60,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), _vocabulary(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op4_simhash, op6_token_store, op7_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_quality_rules, op3_mix_sources, op4_simhash, op5_pii, op6_token_store, op7_token_counts, op10_bpe)}
 ORACLES: dict[str, str] = {"op3_mix_sources": MIX_SQL}
