@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
+from .licenses import license_matches
+from .media import media_columns
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_sources
 from .pii import personal_spans
@@ -22,7 +24,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -49,16 +51,24 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store(_documents(spark, sf_dir), _vocabulary(WORD_BPE), end=1)
+    return token_store(_documents(spark, sf_dir), vocabulary(WORD_BPE), end=1)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_documents(spark, sf_dir), _vocabulary(BYTE_BPE), limit=512)
+    return token_counts(_documents(spark, sf_dir), vocabulary(BYTE_BPE), limit=512)
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_documents(spark, sf_dir))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(_documents(spark, sf_dir))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(_documents(spark, sf_dir), _vocabulary(BYTE_BPE))
+    return bpe_round_trip(_documents(spark, sf_dir), vocabulary(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_quality_rules, op3_mix_sources, op4_simhash, op5_pii, op6_token_store, op7_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_quality_rules, op3_mix_sources, op4_simhash, op5_pii, op6_token_store, op7_token_counts, op8_media, op9_licenses, op10_bpe)}
 ORACLES: dict[str, str] = {"op3_mix_sources": MIX_SQL}
