@@ -38,7 +38,7 @@ from .bpe import spread, text_chunks
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 8 << 20, 64 << 10
 SHARD_BYTES = 4 << 20
 #: Words whose ids a worker keeps at most; beyond it the table starts anew.
-KEEP = 400_000
+KEEP = 800_000
 
 SHARD = "part int, seq int, dict_sha256 string, width int, base bigint, total bigint, doc_ids binary, known binary, n_ids binary, offsets binary, frames binary"
 
@@ -75,12 +75,15 @@ class WordTable:
         known, codes, sizes, new = self.known, [], [], []
         for text in texts:
             words = text.encode().split()
-            for w in {*words}.difference(known):
-                known[w] = len(known)
-                new.append(w)
-            codes += [known[w] for w in words]
+            own = list(map(known.get, words))
+            if None in own:
+                for w in {*words}.difference(known):
+                    known[w] = len(known)
+                    new.append(w)
+                own = list(map(known.__getitem__, words))
+            codes += own
             codes.append(0)
-            sizes.append(len(words) + 1)
+            sizes.append(len(own) + 1)
         if new:
             found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
             counts = np.array([len(x) for x in found], np.int64)
