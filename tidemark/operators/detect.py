@@ -44,7 +44,6 @@ def periods(changed: DataFrame, keys: list[str], now: Column, within: tuple[str,
     rows = changed.withColumn("_in", F.col("to_state").isin(*within))
     order = Window.partitionBy(*keys).orderBy("at")
     was = F.coalesce(F.lag("_in").over(order), F.lit(False))
-    edges = rows.filter(F.col("_in") | was).withColumn("_was", was).filter(F.col("_in") != F.col("_was"))
     edges = rows.withColumn("_was", was).filter(F.col("_in") != F.col("_was"))
     edges = edges.withColumn("end", F.coalesce(F.lead("at").over(order), now)).filter("_in")
     return edges.select(*keys, F.col("at").alias("start"), "end")
