@@ -161,3 +161,48 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each document: the base counts and the verdict."""
     measured = materialize(measure(docs.select("doc_id", "text")).drop("text"), "quality")
     return judge(measured, language_references(measured)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language")
+
+
+def oracle() -> str:
+    """The same rules in DuckDB's SQL over a table ``documents``."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    n_common, n_classes = len(COMMON_WORDS["en"]), len(CLASSES)
+    removed, left = [], "r"
+    for name, pattern in CLASSES.items():
+        removed.append(f"regexp_replace({left}, {quoted(pattern)}, '', 'g') AS r_{name}")
+        left = f"r_{name}"
+    before = ["r", *(f"r_{n}" for n in CLASSES)]
+    classes = ", ".join([f"length({a}) - length({b})" for a, b in zip(before, before[1:], strict=False)] + [f"length({before[-1]})"])
+    counts = {lang: "[" + ", ".join(f"len(list_filter(ws, lambda x: x IN ({quoted(w)}, {quoted(w.capitalize())})))" for w in words) + "]" for lang, words in COMMON_WORDS.items()}
+    langs = list(COMMON_WORDS)
+    pick = lambda what, none: "CASE WHEN best = 0 THEN " + none + " " + " ".join(f"WHEN h_{x} = best THEN {what(x)}" for x in langs) + " END"
+    steps = "".join(f", c{i + 1} AS (SELECT *, {step} FROM c{i})" for i, step in enumerate(removed))
+    share = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])::DOUBLE / sum(list_sum({c}))" for i in range(n)) + "]"
+    part = lambda x, m: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ({m})) ELSE 0 END"
+
+    def js(counted: str, total: str, ref: str, n: int) -> str:
+        terms = []
+        for i in range(1, n + 1):
+            p, q = f"({counted}[{i}] / {total})", f"{ref}[{i}]"
+            m = f"({p} + {q}) / 2"
+            terms.append(f"({part(p, m)} + {part(q, m)})")
+        return f"sqrt(greatest(({' + '.join(terms)}) / 2, 0))"
+
+    limit = {k: f"{a} + {b} / sqrt(n_words)" for k, (a, b) in LIMITS.items()}
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n > 1) GROUP BY rid),
+dups AS (SELECT rid, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n FROM w),
+c0 AS (SELECT *, array_to_string(ws, '') AS r, len(ws) AS n_words, {', '.join(f'{c} AS c_{x}' for x, c in counts.items())} FROM w){steps},
+h AS (SELECT *, [{classes}] AS classes, length(r) AS word_chars, length(r_digit) - length(r_symbol) AS n_symbols, {', '.join(f'list_sum(c_{x}) AS h_{x}' for x in langs)} FROM c{len(removed)}),
+b AS (SELECT *, greatest({', '.join(f'h_{x}' for x in langs)}) AS best FROM h),
+m AS (SELECT rid, doc_id, n_words, word_chars, n_symbols, classes, {pick(lambda x: quoted(x), 'NULL')} AS language, {pick(lambda x: f'list_append(c_{x}, n_words - best)', 'NULL')} AS common FROM b),
+refs AS (SELECT language, {share('classes', n_classes + 1)} AS rc, {share('common', n_common + 1)} AS rw FROM m WHERE n_words >= {MIN_WORDS} AND language IS NOT NULL GROUP BY language HAVING sum(n_words) >= {MIN_REFERENCE_WORDS}),
+j AS (SELECT m.*, coalesce(a.n, 0) AS n_repeat_words, d.n AS n_dup_lines, CASE WHEN m.n_words >= {MIN_WORDS} THEN {js('m.classes', 'm.word_chars', 'f.rc', n_classes + 1)} END AS jc,
+  CASE WHEN m.n_words >= {MIN_WORDS} AND m.language IS NULL AND (SELECT count(*) FROM refs) > 0 THEN 1.0 WHEN m.n_words >= {MIN_WORDS} THEN {js('m.common', 'm.n_words', 'f.rw', n_common + 1)} END AS jw
+  FROM m JOIN dups d USING (rid) LEFT JOIN again a USING (rid) LEFT JOIN refs f ON f.language = m.language),
+k AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(jc <= {limit['classes']}, true) AND coalesce(jw <= {limit['words']}, true) AS kept, language FROM k
+"""

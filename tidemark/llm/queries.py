@@ -11,6 +11,7 @@ from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_sources
 from .pii import personal_spans
 from .quality_fm import quality_scores
+from .quality_rules import oracle as quality_sql
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -71,4 +72,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_quality_rules, op3_mix_sources, op4_simhash, op5_pii, op6_token_store, op7_token_counts, op8_media, op9_licenses, op10_bpe)}
-ORACLES: dict[str, str] = {"op3_mix_sources": MIX_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_sql(), "op3_mix_sources": MIX_SQL}
