@@ -1,0 +1,368 @@
+"""Each operator against a brute-force version, and over nulls, empty and long texts, ties, repeated rows and no rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("public_tokenizers")
+
+import public_tokenizers
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidemark.llm import bpe, licenses, media, mixing, pii, quality_fm, quality_rules, simhash, token_counts, token_store
+
+DATA = "/root/testdata/sf0.001"
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+
+EDGES = [
+    (None, None, None, None, None),
+    (None, "<|endoftext|> hi\x1cthere", "en", None, 3),
+    (900001, "", "en", "src0", 0),
+    (900002, " \n\t ", "xx", "src1", 5),
+    (900003, "Of the word " * 9000, "en", "src0", 1),
+    (900004, "é́漢字 \U0001f600 ###", "fr", "srcé", 7),
+    (900005, "mail a@b@c.de or x.y+z@mail.example.com, 1.2.3.4 and 999.1.1.1, 4111 1111-1111 1111, +1 (555) 123-4567", "en", "src2", 2),
+    (900006, "same text twice", "en", "src0", 1),
+    (900006, "same text twice", "en", "src0", 1),
+    (900007, "same text twice", "en", "src0", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    own = spark.read.parquet(f"{DATA}/documents.parquet")
+    df = own.unionByName(spark.createDataFrame(EDGES, own.schema))
+    # columns whose names clash with those that operators make
+    return df.withColumn("size", F.lit("x")).withColumn("key", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("language", F.lit(0)).withColumn("digest", F.lit("q")).withColumn("target", F.lit(1)).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return docs.collect()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def same(got, want):
+    order = lambda x: sorted(map(repr, x))
+    assert order(map(tuple, got)) == order(want)
+
+
+def test_quality_rules(docs, rows, none):
+    got = quality_rules.quality_rules(docs).collect()
+    want = []
+    for r in rows:
+        w = WORDS.findall(r.text or "")
+        grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + k for i in range(len(w) - 2) for k in range(3) if grams[tuple(w[i : i + 3])] > 1}
+        lines = [x for x in (r.text or "").split("\n") if WORDS.search(x)]
+        want.append((r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r.text or "")), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 2 * len(covered) > len(w)))
+    same([tuple(x)[:7] for x in got], want)
+    assert not any(x.kept and x.base_failed for x in got)
+    assert sum(x.kept for x in got) > 100
+    assert quality_rules.quality_rules(none).count() == 0
+    kept = quality_rules.kept_documents(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(x.kept for x in got)
+
+
+def test_quality_rules_on_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.quality_rules(docs).join(labels, "doc_id").filter("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    share = {r.quality: r.kept for r in got.collect()}
+    assert share[1] > 0.98 and share[0] < 0.2
+
+
+def test_quality_machine(spark, docs, none):
+    all_docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    machine = quality_fm.fit_quality(all_docs, labels)
+    got = quality_fm.score_quality(all_docs, machine).join(labels, "doc_id").filter("held_out").collect()
+    assert len(got) > 50 and np.mean([r.predicted == r.quality for r in got]) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    scored = quality_fm.score_quality(docs, machine).collect()
+    assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored)
+    assert quality_fm.score_quality(none, machine).count() == 0
+    assert quality_fm.fit_quality(all_docs, labels.limit(0)) is None
+    assert {r.score for r in quality_fm.score_quality(docs, None).collect()} == {0.5}
+
+
+def test_machine_is_linear_time_form_of_all_pairs():
+    rng = np.random.default_rng(1)
+    machine = quality_fm.Machine(np.zeros((1, quality_fm.BINS - 1)))
+    machine.w = rng.normal(size=machine.n).astype(np.float32)
+    slots, x = rng.integers(0, machine.n, 12), rng.normal(size=12).astype(np.float32)
+    pairs = sum(float(machine.v[slots[i]] @ machine.v[slots[j]]) * x[i] * x[j] for i in range(12) for j in range(i))
+    raw, _ = machine.raw_scores(slots, x, np.array([0]))
+    assert raw[0] == pytest.approx(float(machine.w[slots] @ x) + pairs, abs=1e-4)
+
+
+def test_mix(docs, rows, none):
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.source] += len(WORDS.findall(r.text or ""))
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    # fill by hand
+    target, total, open_ = {}, sum(sizes.values()), set(order)
+    while open_:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] >= 3 * sizes[s]}
+        if not full:
+            target |= share
+            break
+        target |= {s: 3.0 * sizes[s] for s in full}
+        open_ -= full
+    taken, longest, source = collections.Counter(), collections.Counter(), {}
+    for r in rows:
+        source[r.doc_id] = r.source if r.doc_id is not None else None
+        n = len(WORDS.findall(r.text or ""))
+        longest[r.source] = max(longest[r.source], n)
+    for r in got:
+        assert r.taken <= 3 * r["size"]
+        if r.doc_id is not None:
+            s = source[r.doc_id]
+            assert r.target == pytest.approx(target[s]) and r.source_size == sizes[s]
+            taken[s] += r.taken
+    for s in order:
+        if s is not None:
+            assert abs(taken[s] - target[s]) <= 2 * max(longest.values())
+    assert sum(r.taken for r in got) <= total
+    same(map(tuple, mixing.mix_sources(docs).collect()), map(tuple, got))
+    assert mixing.mixed(docs).count() == sum(r.copies for r in got) and mixing.mixed(docs).columns == docs.columns
+    assert mixing.mix_sources(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def slow_fingerprint(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = WORDS.findall(w)
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(fps, k=4):
+    up = {f: f for f in fps}
+
+    def root(f):
+        while up[f] != f:
+            f = up[f]
+        return f
+
+    fps = sorted(set(fps))
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= k:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {f: root(f) for f in fps}
+
+
+def test_simhash(docs, rows, none):
+    got = simhash.near_duplicates(docs).collect()
+    fps = {}
+    for r in rows:
+        fps.setdefault(r.text, slow_fingerprint(r.text))
+    root = slow_components(list(fps.values()))
+    least = {}
+    for r in rows:
+        if r.doc_id is not None:
+            c = root[fps[r.text]]
+            least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    same(got, [(r.doc_id, f"{fps[r.text]:016x}", least.get(root[fps[r.text]])) for r in rows])
+    assert simhash.near_duplicates(none).count() == 0
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(least.values())
+
+
+@pytest.mark.parametrize("hot", [8192, 60])
+def test_links_of_dense_groups(spark, hot):
+    rng = np.random.default_rng(3)
+    fps = [int(x) for x in rng.integers(0, 2**62, 150)]
+    for x in fps[:60]:
+        for _ in range(5):
+            for b in rng.integers(0, 64, rng.integers(1, 5)):
+                x ^= 1 << int(b)
+            fps.append(x)
+    fps += [fps[100] ^ (1 << i) ^ (1 << j) for i in range(24) for j in range(i)]  # all within four bits of each other
+    want = slow_components(fps)
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in set(fps)]
+    found = simhash.links(spark.createDataFrame(signed, "fp bigint"), hot=hot)
+    assert found.count() < 60 * len(fps)  # forests, not all pairs
+    roots = {r.node % 2**64: r.root % 2**64 for r in simhash.components(found).collect()}
+    groups = collections.defaultdict(set)
+    for f in set(fps):
+        groups[roots.get(f, f)].add(f)
+    expected = collections.defaultdict(set)
+    for f, r in want.items():
+        expected[r].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_personal_spans(docs, rows, none):
+    got = pii.personal_spans(docs).collect()
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def base(t):
+        return {
+            "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+            "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))],
+            "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))],
+            "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15],
+        }
+
+    random.seed(4)
+    for _ in range(3000):
+        t = "".join(random.choice("a1.2@+- ()b%_9é") for _ in range(random.randint(0, 40)))
+        assert base(t) == pii.base_spans(t), t
+    want = []
+    for r in rows:
+        spans = base(r.text or "")
+        named = ",".join(f"{k}:{a}:{b}" for k, own in spans.items() for a, b in own)
+        want.append((r.doc_id, *map(len, spans.values()), hashlib.sha256(named.encode()).hexdigest()))
+    same([tuple(r)[:6] for r in got], want)
+    assert pii.personal_spans(none).count() == 0
+    clean = pii.sanitised(docs)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    assert not any(sum(map(len, base(r.text or "").values())) for r in clean.collect())
+
+
+def test_revealing_terms(spark):
+    text = "Filler before it\n{0}aa mister Zorblatt writes jane.doe@example.com daily {0}bb end"
+    own = [(i, text.format("bcdef"[i]), "en", "s", 1) for i in range(5)]
+    own += [(10 + i, f"plain words daily number {'xyzuvw'[i]}{'abc'[i % 3]}", "en", "s", 1) for i in range(6)]
+    own += [(20, "the name Zorblatt alone", "en", "s", 1)]
+    docs = spark.createDataFrame(own, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spans = {r.doc_id: r.spans for r in pii.personal_spans(docs).collect()}
+    words = {i: {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans[i].split(",") if s) if k in ("general", "removed")} for i, t, *_ in own}
+    assert {"mister", "writes"} <= words[0] and "daily" not in words[0] and not words[10]
+    assert pii.disclosure(1000, 5, 5, 5) == pytest.approx(1) and pii.disclosure(1000, 50, 5, 5) < 0.6
+
+
+def test_token_store(docs, rows, none, spark):
+    tok = Tokenizer.from_file(WORD)
+    ids = {t: tok.encode(t or "", add_special_tokens=False).ids + [1] for t in {r.text for r in rows}}
+    got = token_store.token_store(docs, WORD).orderBy("start").collect()
+    same([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], [(r.doc_id, len(ids[r.text]), zlib.crc32(np.array(ids[r.text], "<u4").tobytes())) for r in rows])
+    at, known = 0, [r.doc_id for r in got if r.doc_id is not None]
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert known == sorted(known)
+    dictionary = token_store.train_dictionary(docs, WORD, 1)
+    store = token_store.write_store(docs, WORD, dictionary)
+    first = next(r for r in rows if r.doc_id == 3)
+    assert token_store.read_document(store, dictionary, 3) == [ids[first.text]]
+    with pytest.raises(Exception, match="needs dictionary"):
+        token_store.read_store(store, dictionary + b"x").collect()
+    assert token_store.token_store(none, WORD).count() == 0
+
+
+def test_token_counts(docs, rows, none):
+    tok = Tokenizer.from_file(BYTE)
+    n = {t: len(tok.encode(t or "", add_special_tokens=False).ids) for t in {r.text for r in rows}}
+    same(token_counts.token_counts(docs, BYTE).collect(), [(r.doc_id, len((r.text or "").encode()), n[r.text], n[r.text] > 512) for r in rows])
+    assert token_counts.token_counts(none, BYTE).count() == 0
+
+
+def test_bpe(docs, rows, none):
+    tok = Tokenizer.from_file(BYTE)
+
+    def want(r):
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        back = tok.decode(ids, skip_special_tokens=False)
+        return r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+
+    same(bpe.bpe_round_trip(docs, BYTE).collect(), map(want, rows))
+    assert bpe.bpe_round_trip(none, BYTE).count() == 0
+    one = bpe.with_ids(docs, BYTE).filter("doc_id = 900003").first()
+    assert one.decoded == "Of the word " * 9000 and one.ids == tok.encode(one.decoded, add_special_tokens=False).ids
+
+
+def test_bpe_of_odd_characters():
+    encoder, tok = bpe.Encoder(BYTE), Tokenizer.from_file(BYTE)
+    points = [*range(0, 0x3000), *range(0xA000, 0xA400), *range(0x1F300, 0x1F700)]
+    texts = [f"a{chr(c)}1 {chr(c)}{chr(c)} b" for c in points if not 0xD800 <= c < 0xE000] + ["x" * 5000, " " * 700 + "a", "\n \n  b"]
+    ids, counts = encoder.encode(texts)
+    got = np.split(ids, np.cumsum(counts)[:-1])
+    assert all(g.tolist() == e.ids for g, e in zip(got, tok.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_media(docs, rows, none):
+    def want(r):
+        raw = (r.text or "").encode()
+        p = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        chunks = media.chunks_of(p)
+        assert b"".join(chunks) == p
+        form = media.stored_form(p, [len(c) for c in chunks], [media.digest_of(c) for c in chunks])
+        return r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(form), hashlib.sha256(form).hexdigest(), media.feature_of(p, len(chunks))
+
+    same(media.media_columns(docs).collect(), map(want, rows))
+    assert media.media_columns(none).count() == 0
+
+
+def test_gear_cuts_are_those_of_the_rolling_hash():
+    random.seed(5)
+    for n in (0, 100, 5000, 40000):
+        p = media.payload_of(bytes(random.getrandbits(8) % 50 for _ in range(n)))
+        h, start, ends = 0, 0, []
+        for i, b in enumerate(p):
+            h = (h * 2 + int(media._GEAR[b])) % 2**32
+            if i + 1 - start >= media.MOST or i + 1 - start >= media.LEAST and h >> (32 - media.CUT_BITS) == 0:
+                ends.append(i + 1)
+                start = i + 1
+        assert media.cut_ends(p) == ends + ([len(p)] if start < len(p) else [])
+
+
+def test_licenses(spark, docs, rows, none):
+    index = licenses.LicenseIndex(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        found = index.matches(f"wörter davor {text.upper()} and after")
+        assert found[0][0] == name and found[0][3] == 1 and found[0][4] == 13
+    words = licenses.TEMPLATES["MIT"].split()
+    del words[10]
+    words.insert(30, "really")
+    (match,) = index.matches("x y " + " ".join(words))
+    assert match[0] == "MIT" and 0.95 < match[3] < 1
+    data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    notices = ("Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.")
+    texts = {r.doc_id: r.text for r in data.collect()}
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end] + ".") for r in licenses.license_matches(data).collect()}
+    assert got == {(i, n) for i, t in texts.items() for n in notices if n in t}
+    assert licenses.license_matches(none).count() == 0 and licenses.license_matches(docs).count() >= 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs).collect() if r.kept}
+    left = [r for r in docs.collect() if r.doc_id in kept]
+    fps = {r.doc_id: slow_fingerprint(r.text) for r in left}
+    root, least = slow_components(list(fps.values())), {}
+    for i, f in fps.items():
+        least[root[f]] = min(i, least.get(root[f], i))
+    single = docs.filter(F.col("doc_id").isin(sorted(least.values())))
+    clean = {r.doc_id: r.text for r in pii.sanitised(single).collect()}
+    mix = mixing.mix_sources(pii.sanitised(single)).collect()
+    tok, want = Tokenizer.from_file(BYTE), []
+    for r in mix:
+        ids = tok.encode(clean[r.doc_id], add_special_tokens=False).ids
+        want += [(r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(clean[r.doc_id].encode()).hexdigest())] * r.copies
+    same(corpus_pipeline.run(spark, sf).collect(), want)

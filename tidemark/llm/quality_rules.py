@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Each document's character-class histogram and common-word histogram is compared with the reference of its language by
-the Jensen-Shannon distance.  The references are the summed counts of all documents of the language in the corpus, so
-they come from one aggregation with a row for each of the (fixed, four) languages.
+the Jensen-Shannon distance.  The references are the mean shares of all documents of the language in the corpus that pass
+the base rules, so they come from one aggregation with a row for each of the (fixed, four) languages.
 
 Defined results: a null text is an empty text; an empty text has no words and fails the base rules; a text whose
 language has no reference (or no common word at all in a corpus without references) is judged by the base rules
@@ -34,7 +34,7 @@ MIN_WORDS = 50
 #: Words that a language's reference needs before it judges anything.
 MIN_REFERENCE_WORDS = 1000
 #: A distance may reach limit + slack / sqrt(words): short texts scatter more.
-LIMITS = {"classes": (0.09, 1.0), "words": (0.05, 2.2)}
+LIMITS = {"classes": (0.10, 1.2), "words": (0.05, 1.9)}
 
 _ALL = sorted({w for words in COMMON_WORDS.values() for w in words})
 
@@ -112,13 +112,19 @@ def measure(docs: DataFrame) -> DataFrame:
     return df.drop("_words", "_lines")
 
 
+def base_failed(min_words: int = MIN_WORDS) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def language_references(measured: DataFrame, min_words: int = MIN_WORDS) -> dict[str, dict[str, list[float]]]:
-    """Shares of each class and common word by language, over all documents of at least ``min_words`` words.
+    """Mean shares of each class and common word by language, over all documents that pass the base rules.
 
-    One row for each language of ``COMMON_WORDS`` at most reaches the driver.
+    A document's shares are whole millionths, so that their sums don't depend on the order, and a long document counts
+    as much as a short one.  One row for each language of ``COMMON_WORDS`` at most reaches the driver.
     """
-    df = measured.filter((F.col("n_words") >= min_words) & F.col("language").isNotNull())
-    sums = lambda c, n: [F.sum(F.col(c)[i].cast("long")).alias(f"{c}{i}") for i in range(n)]
+    df = measured.filter(~base_failed(min_words) & F.col("language").isNotNull())
+    whole = {"_classes": "word_chars", "_common": "n_words"}
+    sums = lambda c, n: [F.sum(F.expr(f"{c}[{i}] * 1000000L div {whole[c]}")).alias(f"{c}{i}") for i in range(n)]
     sizes = {"_classes": len(CLASSES) + 1, "_common": len(COMMON_WORDS["en"]) + 1}
     refs = {}
     for r in df.groupBy("language").agg(F.sum("n_words").alias("n"), *sums("_classes", sizes["_classes"]), *sums("_common", sizes["_common"])).collect():
@@ -137,7 +143,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def judge(measured: DataFrame, references: dict, min_words: int = MIN_WORDS) -> DataFrame:
     """``measured`` with base_failed, js_classes, js_words and kept."""
-    df = measured.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    df = measured.withColumn("base_failed", base_failed(min_words))
     judged = F.col("n_words") >= min_words  # below the length that a reference needs there is nothing to compare
     for kind, counts, total in (("classes", "_classes", "word_chars"), ("words", "_common", "n_words")):
         shares = F.transform(counts, lambda x: x / F.col(total))  # noqa: B023
@@ -177,7 +183,8 @@ def oracle() -> str:
     langs = list(COMMON_WORDS)
     pick = lambda what, none: "CASE WHEN best = 0 THEN " + none + " " + " ".join(f"WHEN h_{x} = best THEN {what(x)}" for x in langs) + " END"
     steps = "".join(f", c{i + 1} AS (SELECT *, {step} FROM c{i})" for i, step in enumerate(removed))
-    share = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])::DOUBLE / sum(list_sum({c}))" for i in range(n)) + "]"
+    millionths = lambda c, i, total: f"sum({c}[{i + 1}]::BIGINT * 1000000 // {total})"
+    share = lambda c, n, total: "[" + ", ".join(f"{millionths(c, i, total)}::DOUBLE / ({' + '.join(millionths(c, k, total) for k in range(n))})" for i in range(n)) + "]"
     part = lambda x, m: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ({m})) ELSE 0 END"
 
     def js(counted: str, total: str, ref: str, n: int) -> str:
@@ -198,10 +205,11 @@ c0 AS (SELECT *, array_to_string(ws, '') AS r, len(ws) AS n_words, {', '.join(f'
 h AS (SELECT *, [{classes}] AS classes, length(r) AS word_chars, length(r_digit) - length(r_symbol) AS n_symbols, {', '.join(f'list_sum(c_{x}) AS h_{x}' for x in langs)} FROM c{len(removed)}),
 b AS (SELECT *, greatest({', '.join(f'h_{x}' for x in langs)}) AS best FROM h),
 m AS (SELECT rid, doc_id, n_words, word_chars, n_symbols, classes, {pick(lambda x: quoted(x), 'NULL')} AS language, {pick(lambda x: f'list_append(c_{x}, n_words - best)', 'NULL')} AS common FROM b),
-refs AS (SELECT language, {share('classes', n_classes + 1)} AS rc, {share('common', n_common + 1)} AS rw FROM m WHERE n_words >= {MIN_WORDS} AND language IS NOT NULL GROUP BY language HAVING sum(n_words) >= {MIN_REFERENCE_WORDS}),
-j AS (SELECT m.*, coalesce(a.n, 0) AS n_repeat_words, d.n AS n_dup_lines, CASE WHEN m.n_words >= {MIN_WORDS} THEN {js('m.classes', 'm.word_chars', 'f.rc', n_classes + 1)} END AS jc,
+s AS (SELECT m.*, coalesce(a.n, 0) AS n_repeat_words FROM m LEFT JOIN again a USING (rid)),
+refs AS (SELECT language, {share('classes', n_classes + 1, 'word_chars')} AS rc, {share('common', n_common + 1, 'n_words')} AS rw FROM s WHERE n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= 50 * n_words AND language IS NOT NULL GROUP BY language HAVING sum(n_words) >= {MIN_REFERENCE_WORDS}),
+j AS (SELECT m.*, d.n AS n_dup_lines, CASE WHEN m.n_words >= {MIN_WORDS} THEN {js('m.classes', 'm.word_chars', 'f.rc', n_classes + 1)} END AS jc,
   CASE WHEN m.n_words >= {MIN_WORDS} AND m.language IS NULL AND (SELECT count(*) FROM refs) > 0 THEN 1.0 WHEN m.n_words >= {MIN_WORDS} THEN {js('m.common', 'm.n_words', 'f.rw', n_common + 1)} END AS jw
-  FROM m JOIN dups d USING (rid) LEFT JOIN again a USING (rid) LEFT JOIN refs f ON f.language = m.language),
+  FROM s m JOIN dups d USING (rid) LEFT JOIN refs f ON f.language = m.language),
 k AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND coalesce(jc <= {limit['classes']}, true) AND coalesce(jw <= {limit['words']}, true) AS kept, language FROM k
