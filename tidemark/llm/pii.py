@@ -6,10 +6,9 @@ is to know about the entity:
 
     PMI(term; entity) = log2(N n_te / (n_t n_e)),    IC(entity) = log2(N / n_e),    disclosure = PMI / IC
 
-over N distinct texts, where n_e hold the entity, n_t the term, and n_te the term within ``CONTEXT`` words of the entity.
-Terms of disclosure ``THRESHOLD`` or more over at least ``SUPPORT`` texts are generalised (replaced by a label), those
-of ``REMOVE`` or more removed, in every document that has them.  All counts are over the whole corpus; copies of a text
-count once.
+over N documents, where n_e hold the entity, n_t the term, and n_te the term within ``CONTEXT`` words of the entity.
+Terms of disclosure ``THRESHOLD`` or more near an entity of at least ``SUPPORT`` different texts are generalised (replaced
+by a label), those of ``REMOVE`` or more removed, in every document that has them.  All counts are over the whole corpus.
 
 The terms near entities go to the tasks as a Bloom filter of a fixed size, which only saves work: what passes is
 joined with the terms themselves.
@@ -24,6 +23,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,31 +150,57 @@ def _filter_of(terms: DataFrame) -> np.ndarray:
     return bits
 
 
-def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """digest, term and spans of the words of each document that the filter passes, but for those within base spans."""
+class _Passes:
+    """Which words the filter passes; remembers a bounded number of them."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.known = bits, {}
+
+    def __call__(self, words: set[str]) -> list[str]:
+        known = self.known
+        if len(known) > KEEP:
+            known.clear()
+        for w in words.difference(known):
+            known[w] = all(int(self.bits[p >> 6]) >> (p & 63) & 1 for p in _positions(w))
+        return [w for w in words if known[w]]
+
+
+def _term_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """term and n_t (documents that have it) of the words that the filter passes; counted in each task first."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # BLOOM_BITS bits
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, known = shared.value, {}
+        passes, counts = _Passes(shared.value), Counter()
+        table = lambda: pd.DataFrame({"term": list(counts), "n_t": list(counts.values())})
+        for frame in frames:
+            for text in frame["text"]:
+                counts.update(passes({*_TERM.findall(text.lower())}))
+            if len(counts) > KEEP:
+                yield table()
+                counts.clear()
+        if counts:
+            yield table()
+
+    rows = docs.select(text_or_empty().alias("text"))
+    return rows.mapInPandas(run, "term string, n_t bigint").groupBy("term").agg(F.sum("n_t").alias("n_t"))
 
-        def passes(word: str) -> bool:
-            return all(int(own[p >> 6]) >> (p & 63) & 1 for p in _positions(word))
 
+def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """digest, term and spans of the words of each document that the filter passes, but for those within base spans."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # BLOOM_BITS bits
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        passes = _Passes(shared.value)
         for frame in frames:
             rows = []
             for digest, text in zip(frame["digest"], frame["text"], strict=True):
-                words = {*_TERM.findall(text.lower())}
-                if len(known) > KEEP:
-                    known.clear()
-                for w in words.difference(known):
-                    known[w] = passes(w)
-                if not any(map(known.__getitem__, words)):
+                if not (sought := {*passes({*_TERM.findall(text.lower())})}):
                     continue
                 base = [s for spans in base_spans(text).values() for s in spans]
                 found: dict[str, list[str]] = {}
                 for m in _TERM.finditer(text):
                     term = m[0].lower()
-                    if (known[term] if term in known else passes(term)) and not any(a < m.end() and m.start() < b for a, b in base):
+                    if term in sought and not any(a < m.end() and m.start() < b for a, b in base):
                         found.setdefault(term, []).append(f"{m.start()}:{m.end()}")
                 rows += [(digest, t, s) for t, s in found.items()]
             yield pd.DataFrame(rows, columns=["digest", "term", "spans"])
@@ -184,34 +210,25 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, remove: float = REMOVE) -> DataFrame:
-    """digest, kind (removed or general) and spans of the terms that disclose an entity, by text; one row for each text and term."""
-    spark = docs.sparkSession
-    holding = found.filter(F.size("near") > 0).dropDuplicates(["digest"]).select("digest", F.explode("near").alias("p"))
-    pairs = holding.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"))
-    likely = materialize(pairs.filter(F.col("n_te") >= support), "likely")
-    empty = spark.createDataFrame([], "digest binary, kind string, spans array<string>")
-    terms = likely.select("term").distinct()
-    bits = _filter_of(terms)
-    if not bits.any():
-        return empty
-    seen = _occurrences(docs, bits).join(terms, "term", "left_semi").dropDuplicates(["digest", "term"])
-    seen = materialize(seen, "seen")
-    # N and n_e over distinct texts
-    texts = found.select("digest").distinct().count()
-    entities = found.filter(F.size("near") > 0).dropDuplicates(["digest"]).select("digest", F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    often = seen.groupBy("term").agg(F.count("*").alias("n_t"))
+    """term and kind (removed or general) of the terms that disclose an entity."""
+    near = found.filter(F.size("near") > 0).select("digest", "near")
+    pairs = near.select("digest", F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"), F.countDistinct("digest").alias("texts"))
+    likely = materialize(pairs.filter(F.col("texts") >= support), "likely")
+    often = _term_counts(docs, _filter_of(likely.select("term").distinct()))
+    entities = found.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    n = F.lit(float(max(found.count(), 1)))
     scored = likely.join(often, "term").join(entities, "entity")
-    content = F.log2(F.lit(float(max(texts, 1))) / F.col("n_e"))
-    gained = F.log2(F.lit(float(max(texts, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    scored = scored.withColumn("disclosure", F.when(content > 0, gained / content).otherwise(0.0))
+    content = F.log2(n / F.col("n_e"))
+    scored = scored.withColumn("disclosure", F.when(content > 0, F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / content).otherwise(0.0))
     flagged = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold)
-    kind = F.when(F.col("disclosure") >= remove, "removed").otherwise("general")
-    return seen.join(flagged.select("term", kind.alias("kind")), "term").select("digest", "kind", "spans")
+    return flagged.select("term", F.when(F.col("disclosure") >= remove, "removed").otherwise("general").alias("kind"))
 
 
 def _added(docs: DataFrame, found: DataFrame) -> DataFrame:
     """digest and added (a list of kind:start:end) of the texts with revealing terms."""
-    each = revealing_terms(docs, found).select("digest", F.transform("spans", lambda s: F.concat(F.col("kind"), F.lit(":"), s)).alias("spans"))
+    terms = materialize(revealing_terms(docs, found), "terms")
+    seen = _occurrences(docs, _filter_of(terms)).join(terms, "term").dropDuplicates(["digest", "term"])
+    each = seen.select("digest", F.transform("spans", lambda s: F.concat(F.col("kind"), F.lit(":"), s)).alias("spans"))
     return materialize(each.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("added")), "added")
 
 
