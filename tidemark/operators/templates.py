@@ -17,7 +17,7 @@ class Tree:
     """
 
     def __init__(self, depth: int = DEPTH, similarity: float = SIMILARITY, room: int = MAX_CHILDREN):
-        self.steps, self.similarity, self.room = depth - 2, similarity, room
+        self.steps, self.similarity, self.room = depth - 3, similarity, room
         self.root: dict = {}
         self.templates: list[list[str]] = []
 
@@ -55,7 +55,7 @@ def mined(lines: DataFrame, parts: int = 16) -> DataFrame:
     texts = lines.groupBy("service", "text").agg(F.min("first_seen").alias("first_seen"))
     texts = texts.withColumn("length", F.size(F.split("text", " ")))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         tree, frame = Tree(), frame.sort_values(["first_seen", "text"])
         frame["local"] = [tree.add(t) for t in frame["text"]]
         frame["template"] = [" ".join(tree.templates[i]) for i in frame["local"]]
