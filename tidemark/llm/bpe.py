@@ -28,9 +28,9 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 _NONE = np.int64(2**62)
 #: Cells of the trees that one step works on.
-_CELLS = 1 << 20
+_CELLS = 1 << 18
 #: Distinct pre-tokens that a worker keeps at most; beyond it the table starts anew.
-KEEP = 400_000
+KEEP = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -218,7 +218,7 @@ class Encoder:
         return self.vocab.piece_bytes[spread(self.vocab.piece_at[ids], lengths)].tobytes(), np.cumsum(lengths)
 
 
-def text_chunks(texts: Iterable[str], most: int = 1 << 21) -> Iterator[list[str]]:
+def text_chunks(texts: Iterable[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of whole texts of about ``most`` characters."""
     run, size = [], 0
     for x in texts:
