@@ -122,7 +122,7 @@ def b14_injected(spark, sf):
 
 
 @query(f"""WITH {STATED}, {PLAN_SQL}, i AS (SELECT service, '*error' AS key, start, "end" FROM plan), a AS (SELECT service, key, tick FROM stated WHERE high)
-SELECT i.service, i.key, i.start, i."end", min(a.tick) IS NOT NULL AS hit, min(a.tick) - i.start AS delay FROM i LEFT JOIN a ON a.service = i.service AND a.key = i.key AND a.tick >= i.start AND a.tick < i."end" + 3 GROUP BY i.service, i.key, i.start, i."end"""")
+SELECT i.service, i.key, i.start, i."end", min(a.tick) IS NOT NULL AS hit, min(a.tick) - i.start AS delay FROM i LEFT JOIN a ON a.service = i.service AND a.key = i.key AND a.tick >= i.start AND a.tick < i."end" + 3 GROUP BY i."end", i.service, i.key, i.start""")
 def a20_recall(spark, sf):
     stated = _stated(spark, sf)
     return V.recall(_plan(C.tick_counts(_lines(spark, sf))).withColumn("key", F.lit("*error")), stated.filter("high"), 3)
