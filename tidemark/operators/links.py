@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 INHERIT = {"ERROR": 0.85, "WARN": 0.88, "INFO": 0.92}
 MARGIN = 0.05
 
@@ -73,25 +75,23 @@ def edges(templates: DataFrame, least: float) -> DataFrame:
     return pairs.select("service", F.col("id").alias("a"), F.col("other").alias("b"), "sim")
 
 
-def clusters(nodes: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
+def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id and cluster (the least id that links reach).
 
     Each round, a node takes the least label around it and then that label's own label, so that labels travel twice as
-    far each round.  A checkpoint cuts the lineage.
+    far each round.  Each round is written, which cuts the lineage; a chain of n takes some log2(n) rounds.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    spark = nodes.sparkSession
-    saved = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") else (lambda df: df)
+    both = stored(both, "edges")
     labels = nodes.select("id", F.col("id").alias("cluster"))
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("cluster").alias("least"))
         taken = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("cluster", "least").alias("next"), "cluster")
         jumps = taken.select(F.col("id").alias("via"), F.col("next").alias("further"))
-        new = saved(taken.join(jumps, taken["next"] == jumps["via"], "left").select("id", F.least("next", "further").alias("next"), "cluster"))
+        new = stored(taken.join(jumps, taken["next"] == jumps["via"], "left").select("id", F.least("next", "further").alias("next"), "cluster"), "labels")
         moved = new.filter("next <> cluster").limit(1).count()
         labels = new.select("id", F.col("next").alias("cluster"))
-        if not moved:
-            break
     return labels
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from ..operators import detect as D
 from ..operators import evaluation as V
 from ..operators import links as K
 from ..sources import driver_tables as S
+from ..sources import shared
 from .link_queries import HISTORY, SIGMA_SQL, _trained
 from .log_queries import BASE, DENSE, FLOOR, MINUTES, MOMENTS, ORACLES, PERIODS, QUERIES, STATED, _dense, _lines, _parts, _periods, _stated, query
 
@@ -43,7 +42,7 @@ def s7_s8_seed(spark, sf):
 @query(f"WITH {MOMENTS} SELECT * FROM moments WHERE day >= DATE '2024-01-20'")
 def s9_s10_day_partitions(spark, sf):
     """Moments written by day and read back with the old days pruned."""
-    folder = tempfile.mkdtemp(prefix="tidemark-days-") if spark.sparkContext.master.startswith("local[") else spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = shared.folder(spark, "days")
     C.hourly_moments(C.minute_counts(_lines(spark, sf))).write.partitionBy("day").mode("overwrite").parquet(f"{folder}/moments")
     return spark.read.parquet(f"{folder}/moments").filter("day >= DATE'2024-01-20'").select("service", "key", "day", "hour", "sum", "sumsq")
 

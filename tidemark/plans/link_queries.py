@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from ..operators import counts as C
 from ..operators import links as K
 from ..operators import templates as M
 from ..sources import driver_tables as S
+from ..sources import shared
 from ..streaming import live
 from .log_queries import BASE, CLASS, MINUTES, ORACLES, QUERIES, _changed, _lines, _parts, _stated, query
 
@@ -105,7 +104,7 @@ def _trained(spark: SparkSession, sf: str, ewma: bool = False) -> tuple[DataFram
     moments, hours, days, _ = _parts(spark, sf)
     keys = moments.filter(F.col("key").isin("*total", "*error")).select("service", "key").distinct()
     grid = keys.join(hours.filter("n_minutes > 0"), "service").join(moments, ["service", "key", "day", "hour"], "left")
-    history = grid.select("service", "key", "day", "hour", F.col("n_minutes").alias("n"), F.coalesce("sum", F.lit(0)).alias("s"), F.coalesce("sumsq", F.lit(0)).alias("q"))
+    history = shared.stored(grid.select("service", "key", "day", "hour", F.col("n_minutes").alias("n"), F.coalesce("sum", F.lit(0)).alias("s"), F.coalesce("sumsq", F.lit(0)).alias("q")), "history")
     tests = history.filter("day >= DATE'2024-01-26'")
     return N.training(history, tests.select("service", "key", "day", "hour"), days, ewma), tests
 
@@ -271,7 +270,7 @@ def x3_x5_stream_totals(spark, sf):
     """The stream's windows, written batch by batch, add up to the batch counts (but for windows still open at the end)."""
     from pyspark.sql.types import StructType
 
-    folder = tempfile.mkdtemp(prefix="tidemark-stream-") if spark.sparkContext.master.startswith("local") else spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = shared.folder(spark, "stream")
     schema: StructType = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     lines = stream.select("event_id", "ts", F.concat(F.lit("svc"), F.col("user_id") % 3).alias("service"), F.concat(F.lit("svc"), F.col("user_id") % 3, F.lit(":"), F.col("event_type")).alias("template"))
@@ -288,7 +287,7 @@ def x3_x5_stream_totals(spark, sf):
 @query(ORACLES["x7_changes"])
 def x6_stream_changes(spark, sf):
     """The state machine over a stream finds the changes that the batch form finds."""
-    folder = tempfile.mkdtemp(prefix="tidemark-stream-") if spark.sparkContext.master.startswith("local") else spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = shared.folder(spark, "stream")
     _stated(spark, sf).select("service", "key", "tick", "high").repartitionByRange(4, "tick").write.parquet(f"{folder}/ticks")
     stream = live.event_stream(spark, f"{folder}/ticks", files_each=100)
     live.replay(live.state_changes(stream), f"{folder}/out", f"{folder}/checkpoint")

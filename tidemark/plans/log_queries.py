@@ -16,6 +16,7 @@ from ..operators import counts as C
 from ..operators import detect as D
 from ..operators import lab as L
 from ..sources import driver_tables as S
+from ..sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,13 +79,16 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Moments, hours, committed days (today is the last day there is) and exclusions."""
+    """Moments, hours, committed days (today is the last day there is) and exclusions.
+
+    Moments and hours are tables of the data model: they are written once, and no later step scans the lines for them.
+    """
     lines = _lines(spark, sf)
-    hours = C.service_hours(lines)
+    hours = stored(C.service_hours(lines), "hours")
     today = hours.agg(F.max("day").alias("today"))
     # one row: the last day
     days = B.mark_days(hours.join(F.broadcast(today)), F.col("today"))
-    return C.hourly_moments(C.minute_counts(lines)), hours, days, S.exclusions(spark)
+    return stored(C.hourly_moments(C.minute_counts(lines)), "moments"), hours, days, S.exclusions(spark)
 
 
 def _baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,9 +105,9 @@ def _changed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _periods(spark: SparkSession, sf: str) -> DataFrame:
-    now = C.tick_counts(_lines(spark, sf)).agg((F.max("tick") + 1).alias("now"))
+    now = _lines(spark, sf).agg((F.max(S.tick_number()) + 1).alias("now"))
     # one row: the last tick
-    return D.periods(_changed(spark, sf).join(F.broadcast(now)), ["service", "key"], F.col("now"))
+    return stored(D.periods(_changed(spark, sf).join(F.broadcast(now)), ["service", "key"], F.col("now")), "periods")
 
 
 # ---- sources
@@ -265,7 +269,7 @@ def d1_d2_judged_minutes(spark, sf):
     """Minutes of several lines judged against their band, with a floor of 2; a drop needs a mean of 20 and never occurs."""
     moments, hours, days, out = _parts(spark, sf)
     minutes = C.minute_counts(_lines(spark, sf))
-    rows = B.lookups(minutes, B.rebuild(moments, hours, days, out), days)
+    rows = B.lookups(minutes, stored(B.rebuild(moments, hours, days, out), "baseline"), days)
     key = F.col("key")
     floor = F.when((key == "*error") | key.endswith(":error") | (key == "*warn") | key.endswith(":signup"), 2)
     rows = B.judged(rows, floor).filter("n > 1")
@@ -327,7 +331,7 @@ def u4_covered_hours(spark, sf):
 SELECT b.service, b.key, b.at, b.to_state FROM before b UNION ALL SELECT c.service, c.key, c.at, c.to_state FROM changed c, lo WHERE c.at >= lo.lo AND c.at < lo.lo + 100""")
 def j14_u2_as_of(spark, sf):
     """The latest change of each key before a time, and all within a window after it."""
-    rows = _changed(spark, sf)
+    rows = stored(_changed(spark, sf), "changes")
     rows = rows.join(F.broadcast(rows.agg((F.min("at") + 200).alias("lo"))))  # one row
     before = rows.filter("at < lo").groupBy("service", "key").agg(F.max("at").alias("at"), F.max_by("to_state", "at").alias("to_state"))
     return before.unionByName(rows.filter("at >= lo AND at < lo + 100").select("service", "key", "at", "to_state"))
