@@ -172,16 +172,16 @@ def links(distinct: DataFrame, k: int = DISTANCE, hot: int = HOT) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
+            if not len(batch):
+                continue
             held.append(tuple(c.to_numpy() for c in batch.columns))
-            if len(batch) and held[0][0][0] != held[-1][0][-1]:
+            if held[0][0][0] != held[-1][0][-1]:
                 node, fps, side = (np.concatenate(x) for x in zip(*held, strict=True))
                 last = np.searchsorted(node, node[-1])  # the last node may go on in the next batch
                 yield out(node[:last], fps[:last], side[:last])
                 held = [(node[last:], fps[last:], side[last:])]
         if held:
-            node, fps, side = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(node):
-                yield out(node, fps, side)
+            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     dealt = rows.repartition(partitions(spark), "node").sortWithinPartitions("node")
     return dealt.mapInArrow(find, "a bigint, b bigint").distinct()

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import materialize, partitions, small_batches
@@ -111,7 +111,7 @@ def _raw(ids: np.ndarray, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, path: str, end: int) -> bytes:
     """A dictionary from at most ``SAMPLE_DOCS`` whole documents, the least by the hash of their ids; empty if they are too few."""
-    # the least 10th of a bounded number of documents by hash; texts come last, for the chosen alone
+    # SAMPLE_DOCS ids at most: a bounded table; texts are read for them alone
     chosen = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").filter(F.octet_length("text") <= SAMPLE_BYTES // 64).limit(SAMPLE_DOCS).collect()
     texts = [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "")) if r["text"]]
@@ -223,8 +223,3 @@ def token_store(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
     """Write all documents with a dictionary of their own, read them back: one row for each."""
     dictionary = train_dictionary(docs, path, end)
     return read_store(write_store(docs, path, dictionary, end), dictionary)
-
-
-def store_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A store that was written earlier."""
-    return spark.read.parquet(folder)
