@@ -281,3 +281,89 @@ def x9_non_idle(spark, sf):
 @query(f"""WITH {PERIODS} SELECT service, key, start, "end", unnest(generate_series(start, "end" - 1)) AS h FROM periods""")
 def d8_hours_touched(spark, sf):
     return D.hours_touched(_periods(spark, sf))
+
+
+@query("""WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), e AS (SELECT user_id, min(day) AS a, max(day) AS b FROM d GROUP BY user_id), g AS (SELECT user_id, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM e),
+f AS (SELECT g.user_id, g.day, d.n, (max(CASE WHEN d.n IS NOT NULL THEN g.day END) OVER (PARTITION BY g.user_id ORDER BY g.day)) AS p, (min(CASE WHEN d.n IS NOT NULL THEN g.day END) OVER (PARTITION BY g.user_id ORDER BY g.day DESC)) AS q FROM g LEFT JOIN d USING (user_id, day))
+SELECT f.user_id, f.day, round(CASE WHEN f.n IS NOT NULL THEN f.n ELSE x.n + (y.n - x.n) * (f.day - f.p)::DOUBLE / (f.q - f.p) END, 6) AS n FROM f JOIN d x ON x.user_id = f.user_id AND x.day = f.p JOIN d y ON y.user_id = f.user_id AND y.day = f.q""")
+def m10_gap_fill(spark, sf):
+    """Days without events filled linearly between their neighbours."""
+    d = S.table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    ends = d.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    grid = ends.select("user_id", F.explode(F.sequence("a", "b")).alias("day")).join(d, ["user_id", "day"], "left")
+    known = F.when(F.col("n").isNotNull(), F.struct("day", "n"))
+    back = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("user_id").orderBy("day").rowsBetween(0, Window.unboundedFollowing)
+    rows = grid.withColumn("p", F.last(known, True).over(back)).withColumn("q", F.first(known, True).over(ahead))
+    share = F.datediff("day", F.col("p.day")) / F.datediff(F.col("q.day"), F.col("p.day"))
+    filled = F.coalesce(F.col("n").cast("double"), F.col("p.n") + (F.col("q.n") - F.col("p.n")) * share)
+    return rows.select("user_id", "day", F.round(filled, 6).alias("n"))
+
+
+LANES = [("svc0", "a*", 473400), ("svc0", "b*", 473600), ("svc1", "c*", None), ("svc2", "d*", 473500)]
+
+
+@query(f"""WITH {MOMENTS}, held AS (SELECT * FROM (VALUES ('svc0', 473400), ('svc0', 473600), ('svc1', NULL), ('svc2', 473500)) v(service, oldest)),
+o AS (SELECT service, CASE WHEN count(*) FILTER (oldest IS NULL) > 0 THEN NULL ELSE max(oldest) END AS oldest FROM held GROUP BY service), h AS (SELECT DISTINCT service, ((day - DATE '1970-01-01') * 24 + hour)::BIGINT AS h FROM moments),
+c AS (SELECT h.service, CASE WHEN o.oldest IS NULL THEN 'not held' WHEN h.h < o.oldest THEN 'too old' WHEN h.h >= (SELECT max(h) FROM h) THEN 'live' ELSE 'read' END AS lane FROM h JOIN o USING (service)) SELECT service, lane, count(*) AS n FROM c GROUP BY ALL""")
+def x15_lane_plan(spark, sf):
+    """Hours to read again: those that all patterns of a service hold and that are not live."""
+    held = spark.createDataFrame(LANES, "service string, pattern string, oldest bigint")
+    oldest = held.groupBy("service").agg(F.when(F.count_if(F.col("oldest").isNull()) > 0, None).otherwise(F.max("oldest")).alias("oldest"))
+    hours = C.tick_counts(_lines(spark, sf)).select("service", F.col("tick").alias("h")).distinct()
+    # a row for each service, and one for the live hour
+    rows = hours.join(F.broadcast(oldest), "service").join(F.broadcast(hours.agg(F.max("h").alias("live"))))
+    lane = F.when(F.col("oldest").isNull(), "not held").when(F.col("h") < F.col("oldest"), "too old").when(F.col("h") >= F.col("live"), "live").otherwise("read")
+    return rows.groupBy("service", lane.alias("lane")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {STATED}, l AS (SELECT service, key, arg_max(state, tick) AS state, max(tick) AS tick FROM stated WHERE tick <= (SELECT min(tick) FROM stated WHERE state = 'ALERTING') GROUP BY ALL) SELECT service, key, tick + 1 AS at, state AS from_state, 'NORMAL' AS to_state FROM l WHERE service IN ('svc0', 'svc1', 'svc2') AND state <> 'NORMAL'""")
+def x18_switched_off(spark, sf):
+    """Changes that return the keys of services to NORMAL when they are switched off."""
+    rows = _stated(spark, sf)
+    upto = rows.join(F.broadcast(rows.agg(F.min(F.when(F.col("state") == "ALERTING", F.col("tick"))).alias("now")))).filter("tick <= now")  # one row
+    last = upto.groupBy("service", "key").agg(F.max_by("state", "tick").alias("state"), F.max("tick").alias("tick"))
+    off = last.filter(F.col("service").isin("svc0", "svc1", "svc2") & (F.col("state") != "NORMAL"))
+    return off.select("service", "key", (F.col("tick") + 1).alias("at"), F.col("state").alias("from_state"), F.lit("NORMAL").alias("to_state"))
+
+
+@query(f"""WITH {STATED}, t AS (SELECT service, key, count(*) FILTER (high) / count(*) AS rate, count(*) AS n FROM stated GROUP BY ALL), g AS (SELECT *, CASE WHEN n < 100 THEN 'too few' WHEN rate > 0.02 THEN 'too many' WHEN rate = 0 THEN 'silent' ELSE 'pass' END AS gate FROM t)
+SELECT service, key, gate, round(rate, 9) AS rate, row_number() OVER (PARTITION BY service ORDER BY gate = 'pass' DESC, rate, key)::INT AS place FROM g""")
+def b17_gates(spark, sf):
+    """Keys by whether their alert rate passes, and their place among the service's."""
+    t = _stated(spark, sf).groupBy("service", "key").agg((F.count_if("high") / F.count("*")).alias("rate"), F.count("*").alias("n"))
+    gate = F.when(F.col("n") < 100, "too few").when(F.col("rate") > 0.02, "too many").when(F.col("rate") == 0, "silent").otherwise("pass")
+    order = Window.partitionBy("service").orderBy(F.desc(F.col("gate") == "pass"), "rate", "key")
+    return t.withColumn("gate", gate).withColumn("place", F.row_number().over(order)).select("service", "key", "gate", F.round("rate", 9).alias("rate"), "place")
+
+
+@query(f"""WITH {DENSE}, r AS (SELECT service, key, tick < (SELECT min(tick) + 360 FROM dense) AS early, avg((n > 1)::INT) AS rate FROM dense GROUP BY ALL) SELECT a.service, a.key, round(a.rate, 9) AS first, round(b.rate, 9) AS second, abs(a.rate - b.rate) > 0.10 AS gap FROM r a JOIN r b ON b.service = a.service AND b.key = a.key AND a.early AND NOT b.early""")
+def b18_recall_gap(spark, sf):
+    """Rates of two halves that differ by over 0.10."""
+    rows = _dense(spark, sf)
+    rows = rows.join(F.broadcast(rows.agg((F.min("tick") + 360).alias("cut"))))  # one row
+    half = lambda c: F.avg(F.when(c, (F.col("n") > 1).cast("int")))
+    per = rows.groupBy("service", "key").agg(half(F.col("tick") < F.col("cut")).alias("a"), half(F.col("tick") >= F.col("cut")).alias("b"))
+    return per.select("service", "key", F.round("a", 9).alias("first"), F.round("b", 9).alias("second"), (F.abs(F.col("a") - F.col("b")) > 0.10).alias("gap"))
+
+
+@query("WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC) AS rn FROM conversations) SELECT role, conv_id, turn FROM r WHERE rn > 5")
+def t7_older_runs(spark, sf):
+    """All but the five newest of each role."""
+    order = Window.partitionBy("role").orderBy(F.desc("conv_id"), F.desc("turn"))
+    return S.table(spark, sf, "conversations").withColumn("rn", F.row_number().over(order)).filter("rn > 5").select("role", "conv_id", "turn")
+
+
+@query("WITH p AS (SELECT * FROM (VALUES ('T1', '^[A-M].*y'), ('T2', '^[A-D]'), ('T3', 'zzzz')) v(id, pattern)), m AS (SELECT n.n_name, min(p.id) AS id, count(*) AS hits FROM nation n JOIN p ON regexp_matches(n.n_name, p.pattern) GROUP BY n.n_name) SELECT n.n_name, CASE WHEN m.hits = 1 THEN m.id END AS template FROM nation n LEFT JOIN m USING (n_name)")
+def s14_resolved_by_pattern(spark, sf):
+    """Names resolved by the one pattern that matches them; ambiguous ones are null."""
+    n = S.table(spark, sf, "nation").select("n_name")
+    patterns = [("T1", "^[A-M].*y"), ("T2", "^[A-D]"), ("T3", "zzzz")]
+    hits = F.array_compact(F.array(*(F.when(F.col("n_name").rlike(p), F.lit(i)) for i, p in patterns)))
+    return n.select("n_name", F.when(F.size(hits) == 1, hits[0]).alias("template"))
+
+
+@query("SELECT role, string_agg(DISTINCT k, ',' ORDER BY k) AS keys, count(*) AS n FROM (SELECT role, CASE WHEN turn = 0 THEN 'first' WHEN len(text) > 100 THEN 'long' ELSE 'short' END AS k FROM conversations) GROUP BY role")
+def r4_merged_keys(spark, sf):
+    k = F.when(F.col("turn") == 0, "first").when(F.length("text") > 100, "long").otherwise("short")
+    return S.table(spark, sf, "conversations").groupBy("role").agg(F.concat_ws(",", F.array_sort(F.collect_set(k))).alias("keys"), F.count("*").alias("n"))
