@@ -217,7 +217,9 @@ def f25_parsed_times(spark, sf):
     part = F.date_format("ts", "SSSSSS").cast("long")
     whole = part % 1000 == 0
     text = F.when(whole & (F.col("event_id") % 3 == 0), (micros * 1000 + F.floor(part / 1000)).cast("string")).when((part == 0) & (F.col("event_id") % 3 == 1), micros.cast("string")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
-    return e.select("event_id", V.parsed_time(text).cast("timestamp_ntz").alias("at"))
+    seconds = (F.unix_micros(V.parsed_time(text)).cast("decimal(18,0)") / 1000000).cast("decimal(18,6)")
+    # as a local time in UTC, whatever the session's zone
+    return e.select("event_id", (F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)).alias("at"))
 
 
 @query(f"WITH {MINUTES} SELECT service, key, day, hour, ((minute % 60) // 5)::INT AS slot, round(sum(n) / 5, 6) AS mean, max(n) > 1 AS \"any\" FROM minutes WHERE key = '*total' GROUP BY ALL")
