@@ -254,6 +254,20 @@ def test_revealing_terms(spark):
     assert pii.disclosure(1000, 5, 5, 5) == pytest.approx(1) and pii.disclosure(1000, 50, 5, 5) < 0.6
 
 
+def test_rare_entities_disclosed_by_their_groups(spark):
+    # each address stands in one text only; the word that gives it away is on the line above, and short
+    own = [(i, f"Filler {'bcdef'[i]}{'mnpqr'[i]}\nab Qi\n{'vwxyz'[i]}one{i}@corp{i}.example.org {'ghjkl'[i]}{'x' * 450} cut", "en", "s", 1) for i in range(5)]
+    own += [(10 + i, f"plain words number {'xyzuvw'[i]}{'abc'[i % 3]}", "en", "s", 1) for i in range(6)]
+    docs = spark.createDataFrame(own, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spans = {r.doc_id: r.spans for r in pii.personal_spans(docs).collect()}
+    words = {i: {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans[i].split(",") if s) if k in ("general", "removed")} for i, t, *_ in own}
+    assert all({"ab", "Qi", "cut"} <= words[i] for i in range(5)) and not any(words[10 + i] for i in range(6))
+    text = "x " * 300 + "Ann\n\nLee <a.b@c.de>, " + "y" * 500 + " Bo Cy 10.0.0.7"
+    entities, near = pii._near(text, pii.base_spans(text))
+    assert {"email", "email:@c.de", "ip", "ip:10.0.0"} < {*entities} and len(entities) == 6
+    assert {t for e, t in near if e == "email"} == {"ann", "lee", "y" * 500, "bo"} and {t for e, t in near if e == "ip"} == {"y" * 500, "bo", "cy"}
+
+
 def test_token_store(docs, rows, none, spark):
     tok = Tokenizer.from_file(WORD)
     ids = {t: tok.encode(t or "", add_special_tokens=False).ids + [1] for t in {r.text for r in rows}}

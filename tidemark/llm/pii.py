@@ -1,13 +1,14 @@
 """Personal data: patterns, and terms that reveal protected entities by their co-occurrence in the corpus.
 
 The patterns find e-mail addresses, IPv4 addresses, payment card numbers and phone numbers; each distinct value is a
-protected entity.  A term discloses an entity when the pointwise mutual information of the two comes near all that there
-is to know about the entity:
+protected entity, and so is each of the groups that it is in, since few values recur: the domain of an address, the
+network of an IP, the issuer of a card, the prefix of a phone number, and its kind.  A term discloses an entity when the
+pointwise mutual information of the two comes near all that there is to know about the entity:
 
     PMI(term; entity) = log2(N n_te / (n_t n_e)),    IC(entity) = log2(N / n_e),    disclosure = PMI / IC
 
-over N documents, where n_e hold the entity, n_t the term, and n_te the term within ``CONTEXT`` words of the entity.
-Terms of disclosure ``THRESHOLD`` or more near an entity of at least ``SUPPORT`` different texts are generalised (replaced
+over N documents, where n_e hold the entity, n_t the term, and n_te the term within ``CONTEXT`` words of the entity, on
+whatever line.  Terms are words of two letters or more.  Terms of disclosure ``THRESHOLD`` or more near an entity of at least ``SUPPORT`` different texts are generalised (replaced
 by a label), those of ``REMOVE`` or more removed, in every document that has them.  All counts are over the whole corpus.
 
 The terms near entities go to the tasks as a Bloom filter of a fixed size, which only saves work: what passes is
@@ -23,6 +24,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,7 +49,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]{2,}")
+_WORD = re.compile(r"\S+")
 
 Span = tuple[int, int]
 
@@ -94,22 +97,39 @@ def _named(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, own in spans.items() for a, b in own)
 
 
-def _near(text: str, spans: dict[str, list[Span]]) -> list[tuple[str, str]]:
-    """(entity, term) pairs of the terms within ``CONTEXT`` words of an entity, on its line."""
-    out = set()
+def _levels(kind: str, found: str) -> list[str]:
+    """The value itself and the groups that it is in, from the narrowest to its kind."""
+    if kind == "email":
+        value = found.lower()
+        group = value[value.index("@") :]
+    elif kind == "ip":
+        value = ".".join(part.lstrip("0") or "0" for part in found.split("."))
+        group = value[: value.rindex(".")]
+    else:
+        value = re.sub("[^0-9]", "", found)
+        group = value[:6] if kind == "card" else value[:-7]
+    return [hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=12).hexdigest(), f"{kind}:{group}", kind]
+
+
+def _near(text: str, spans: dict[str, list[Span]]) -> tuple[list[str], list[tuple[str, str]]]:
+    """The entities of a text, and the (entity, term) pairs of the terms within ``CONTEXT`` words of them."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    entities, out = set(), set()
     for kind, own in spans.items():
         for a, b in own:
-            left, right = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-            value = text[a:b].lower() if kind == "email" else re.sub("[^0-9.]" if kind == "ip" else "[^0-9]", "", text[a:b])
-            entity = hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=12).hexdigest()
-            before = text[max(left, a - 400) : a].split()[-CONTEXT:]
-            after = text[b : right if right >= 0 else len(text)][:400].split()[:CONTEXT]
-            out |= {(entity, t.lower()) for w in (*before, *after) for t in _TERM.findall(w)}
-    return sorted(out)
+            levels = _levels(kind, text[a:b])
+            entities.update(levels)
+            # what an entity leaves of the words that it is in counts as words before and after it
+            i, j = bisect_left(starts, a), bisect_right(ends, b)
+            near = [text[x : min(y, a)] for x, y in words[max(i - CONTEXT, 0) : i]] + [text[max(x, b) : y] for x, y in words[j : j + CONTEXT]]
+            terms = {t.lower() for w in near for t in _TERM.findall(w)}
+            out |= {(e, t) for e in levels for t in terms}
+    return sorted(entities), sorted(out)
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, counts by kind, base_sha256, base (the spans) and near ((entity, term) pairs) of each document."""
+    """doc_id, digest, counts by kind, base_sha256, base (the spans), entities and near ((entity, term) pairs) of each document."""
     small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,12 +138,13 @@ def find_base(docs: DataFrame) -> DataFrame:
             for text in frame["text"]:
                 spans = base_spans(text)
                 base = _named(spans)
-                rows.append((*(len(spans[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, [{"entity": e, "term": t} for e, t in _near(text, spans)] if base else []))
-            made = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+                entities, near = _near(text, spans) if base else ([], [])
+                rows.append((*(len(spans[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, entities, [{"entity": e, "term": t} for e, t in near]))
+            made = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "near"])
             yield pd.concat([frame[["doc_id", "digest"]].reset_index(drop=True), made], axis=1)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest().alias("digest"), text_or_empty().alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, digest binary, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, near array<struct<entity:string,term:string>>")
+    return rows.mapInPandas(run, "doc_id bigint, digest binary, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, entities array<string>, near array<struct<entity:string,term:string>>")
 
 
 def _digest():
@@ -215,7 +236,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, t
     pairs = near.select("digest", F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"), F.countDistinct("digest").alias("texts"))
     likely = materialize(pairs.filter(F.col("texts") >= support), "likely")
     often = _term_counts(docs, _filter_of(likely.select("term").distinct()))
-    entities = found.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     n = F.lit(float(max(found.count(), 1)))
     scored = likely.join(often, "term").join(entities, "entity")
     content = F.log2(n / F.col("n_e"))
@@ -235,7 +256,7 @@ def _added(docs: DataFrame, found: DataFrame) -> DataFrame:
 def personal_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each document."""
     found = materialize(find_base(docs), "personal")
-    both = found.drop("near").join(_added(docs, found), "digest", "left")
+    both = found.drop("entities", "near").join(_added(docs, found), "digest", "left")
     place = lambda s: F.struct((F.split(s, ":")[0] == "general").alias("k"), F.split(s, ":")[1].cast("int").alias("a"), s.alias("s"))
     extra = F.transform(F.sort_array(F.transform(F.coalesce("added", F.array().cast("array<string>")), place)), lambda x: x["s"])
     spans = F.array_join(F.array_compact(F.array(F.nullif("base", F.lit("")), F.nullif(F.array_join(extra, ","), F.lit("")))), ",")
