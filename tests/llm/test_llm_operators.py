@@ -268,6 +268,24 @@ def test_rare_entities_disclosed_by_their_groups(spark):
     assert {t for e, t in near if e == "email"} == {"ann", "lee", "y" * 500, "bo"} and {t for e, t in near if e == "ip"} == {"y" * 500, "bo", "cy"}
 
 
+def test_copies_of_a_text_count_once(spark):
+    own = [f"only {i} here" for i in range(2000)]
+    own += ["kontakt eva@one.example.com copied"] * 200 + [f"kontakt eva@one.example.com {w}" for w in ("aa", "bb")] + [f"kontakt without {w}" for w in "cdefghijkl"]
+    own += [f"zorbl tom@two.example.com {w}" for w in ("mm", "nn", "oo")] + ["zorbl without any, copied"] * 200
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id bigint, text string").repartition(7)
+    found = pii.materialize(pii.find_base(docs), "test")
+    terms = {r.term for r in pii.revealing_terms(docs, found).collect()}
+    texts = set(own)
+    has = lambda w: sum(w in t for t in texts)
+    assert pii.disclosure(len(texts), has("kontakt"), 3, 3) < 0.9 < pii.disclosure(len(texts), has("zorbl"), 3, 3)
+    assert terms == {"zorbl"}
+    words = {"kontakt", "zorbl", "without", "copied", "only", "here"}
+    bits = pii._filter_of(spark.createDataFrame([(w,) for w in words], "term string"))
+    copied = pii._filter_of(spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(),) for t, c in collections.Counter(own).items() if c > 1], "term string"))
+    got = {r.term: r.n_t for r in pii._term_counts(docs, bits, copied).collect()}
+    assert {w: got[w] for w in words} == {w: sum(w in re.findall("[a-z]+", t) for t in texts) for w in words}
+
+
 def test_token_store(docs, rows, none, spark):
     tok = Tokenizer.from_file(WORD)
     ids = {t: tok.encode(t or "", add_special_tokens=False).ids + [1] for t in {r.text for r in rows}}

@@ -7,12 +7,14 @@ pointwise mutual information of the two comes near all that there is to know abo
 
     PMI(term; entity) = log2(N n_te / (n_t n_e)),    IC(entity) = log2(N / n_e),    disclosure = PMI / IC
 
-over N documents, where n_e hold the entity, n_t the term, and n_te the term within ``CONTEXT`` words of the entity, on
+over N distinct texts, where n_e hold the entity, n_t the term, and n_te the term within ``CONTEXT`` words of the entity, on
 whatever line.  Terms are words of two letters or more.  Terms of disclosure ``THRESHOLD`` or more near an entity of at least ``SUPPORT`` different texts are generalised (replaced
-by a label), those of ``REMOVE`` or more removed, in every document that has them.  All counts are over the whole corpus.
+by a label), those of ``REMOVE`` or more removed, in every document that has them.  All counts are over the whole corpus; copies of a text
+count once.
 
 The terms near entities go to the tasks as a Bloom filter of a fixed size, which only saves work: what passes is
-joined with the terms themselves.
+joined with the terms themselves.  So do the digests of texts that have copies: only the texts that pass are brought
+together by digest before their terms are counted.
 
 Defined results: a null text is an empty text; equal texts have equal spans, whatever their ids; null ids are kept; an
 empty table gives an empty result; other columns are ignored by ``personal_spans`` and kept by ``sanitised``.
@@ -171,6 +173,10 @@ def _filter_of(terms: DataFrame) -> np.ndarray:
     return bits
 
 
+def _has(bits: np.ndarray, word: str) -> bool:
+    return all(int(bits[p >> 6]) >> (p & 63) & 1 for p in _positions(word))
+
+
 class _Passes:
     """Which words the filter passes; remembers a bounded number of them."""
 
@@ -182,28 +188,46 @@ class _Passes:
         if len(known) > KEEP:
             known.clear()
         for w in words.difference(known):
-            known[w] = all(int(self.bits[p >> 6]) >> (p & 63) & 1 for p in _positions(w))
+            known[w] = _has(self.bits, w)
         return [w for w in words if known[w]]
 
 
-def _term_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """term and n_t (documents that have it) of the words that the filter passes; counted in each task first."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # BLOOM_BITS bits
+def _term_counts(docs: DataFrame, bits: np.ndarray, copied: np.ndarray) -> DataFrame:
+    """term and n_t (distinct texts that have it) of the words that the filter passes.
+
+    Counted in each task first, but for texts whose digests pass the filter of those that have copies: each of these
+    goes once by its digest, with its terms.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((bits, copied))  # twice BLOOM_BITS bits
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passes, counts = _Passes(shared.value), Counter()
-        table = lambda: pd.DataFrame({"term": list(counts), "n_t": list(counts.values())})
+        bits, copied = shared.value
+        passes, counts, seen = _Passes(bits), Counter(), set()
+        table = lambda: pd.DataFrame({"copied": False, "key": [t.encode() for t in counts], "terms": list(counts), "n": list(counts.values())})
         for frame in frames:
-            for text in frame["text"]:
-                counts.update(passes({*_TERM.findall(text.lower())}))
+            apart = []
+            for digest, text in zip(frame["digest"], frame["text"], strict=True):
+                if digest in seen:
+                    continue
+                terms = passes({*_TERM.findall(text.lower())})
+                if not _has(copied, digest.hex()):
+                    counts.update(terms)
+                    continue
+                if len(seen) > KEEP:
+                    seen.clear()
+                seen.add(digest)
+                apart.append((True, digest, " ".join(terms), 1))
+            yield pd.DataFrame(apart, columns=["copied", "key", "terms", "n"])
             if len(counts) > KEEP:
                 yield table()
                 counts.clear()
         if counts:
             yield table()
 
-    rows = docs.select(text_or_empty().alias("text"))
-    return rows.mapInPandas(run, "term string, n_t bigint").groupBy("term").agg(F.sum("n_t").alias("n_t"))
+    rows = docs.select(_digest().alias("digest"), text_or_empty().alias("text")).mapInPandas(run, "copied boolean, key binary, terms string, n bigint")
+    each = rows.groupBy("copied", "key").agg(F.first("terms").alias("terms"), F.sum("n").alias("n"))
+    each = each.filter("terms <> ''").select(F.explode(F.split("terms", " ")).alias("term"), F.when(F.col("copied"), 1).otherwise(F.col("n")).alias("n"))
+    return each.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -232,12 +256,14 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def revealing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, remove: float = REMOVE) -> DataFrame:
     """term and kind (removed or general) of the terms that disclose an entity."""
-    near = found.filter(F.size("near") > 0).select("digest", "near")
-    pairs = near.select("digest", F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"), F.countDistinct("digest").alias("texts"))
-    likely = materialize(pairs.filter(F.col("texts") >= support), "likely")
-    often = _term_counts(docs, _filter_of(likely.select("term").distinct()))
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    n = F.lit(float(max(found.count(), 1)))
+    texts = found.groupBy("digest").agg(F.count("*").alias("copies"))
+    copied = texts.filter("copies > 1").select(F.lower(F.hex("digest")).alias("term"))
+    once = materialize(found.filter(F.size("entities") > 0).dropDuplicates(["digest"]).select("entities", "near"), "once")
+    pairs = once.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"))
+    likely = materialize(pairs.filter(F.col("n_te") >= support), "likely")
+    often = _term_counts(docs, _filter_of(likely.select("term").distinct()), _filter_of(copied))
+    entities = once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    n = F.lit(float(max(texts.count(), 1)))
     scored = likely.join(often, "term").join(entities, "entity")
     content = F.log2(n / F.col("n_e"))
     scored = scored.withColumn("disclosure", F.when(content > 0, F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / content).otherwise(0.0))
