@@ -133,6 +133,37 @@ def test_normalised_messages(spark):
     assert got == {**cases, None: ""}
 
 
+def test_whole_texts_are_collapsed(spark):
+    random.seed(5)
+    texts = [" ".join(random.choices(["<*>", "(<*>)", "<*>ms", "word", "-"], k=n)) for n in (0, 1, 7, 41, 900)] + ["<*> " * 5000 + "late words", "<*> <*> <*>x"]
+
+    def brute(text):
+        out = []
+        for t in text.split():
+            if "<*>" in t and not any(c.isalnum() for c in t.replace("<*>", "")):
+                t = "<*>"
+            if t != "<*>" or out[-1:] != ["<*>"]:
+                out.append(t)
+        return out
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.collapsed(F.col("t")).alias("some"), T.collapsed(F.col("t"), None).alias("all")).collect():
+        assert (r.some, r.all) == (" ".join(brute(r.t)[:40]), " ".join(brute(r.t)))
+    lines = ["user 42 gone", "", "17 18", "1 " * 500 + "late words", "--", "x " * 50]
+    want = ["user <*> gone", "<*> late words", "--", " ".join(["x"] * 40)]
+    df = spark.createDataFrame([("\n".join(lines),), ("\r\n".join(lines),), (None,)], "t string")
+    assert [r.n for r in df.select(T.error_lines(F.col("t")).alias("n")).collect()] == [want, want, []]
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from tidemark.plans import link_queries as Q
+
+    spark.createDataFrame([(1, "first line\nsecond 7 line\n\nlast")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "<html><p>" + " word" * 600 + "</p> end</html>")], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert Q.f1_f12_normalised(spark, str(tmp_path)).first().lines == ["first line", "second <*> line", "last"]
+    assert Q.f3_f5_pages(spark, str(tmp_path)).first().words == " ".join(["html", "p", *["word"] * 600, "end"])
+
+
 def test_small_text_functions(spark):
     row = spark.sql("SELECT '[main] 2026-01-01 ERROR boom' AS a, 'the ERROR is late' AS b, 'aé漢' AS c, '\\n 1. Restart it\\n2. Wait' AS d").select(
         T.find_level(F.col("a")), T.find_level(F.col("b")), T.truncated(F.col("c"), 4), T.truncated(F.col("c"), 99), T.first_step(F.col("d"))

@@ -170,15 +170,15 @@ def f6_f10_p4_masks(spark, sf):
 
 @query()
 def f1_f12_normalised(spark, sf):
-    """Normalised first lines of the documents."""
+    """Normalised lines of the documents."""
     d = S.table(spark, sf, "documents")
-    return d.select("doc_id", T.normalised(F.element_at(F.split("text", "\n"), 1)).alias("line"), T.find_level(F.col("text")).alias("level"))
+    return d.select("doc_id", T.error_lines(F.col("text")).alias("lines"), T.find_level(F.col("text")).alias("level"))
 
 
 @query()
 def f3_f5_pages(spark, sf):
     p = S.table(spark, sf, "pages")
-    return p.select("page_id", T.collapsed(T.reduced_xml(T.unescaped(F.col("html")))).alias("words"))
+    return p.select("page_id", T.collapsed(T.reduced_xml(T.unescaped(F.col("html"))), None).alias("words"))
 
 
 @query()
