@@ -16,12 +16,15 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, licenses, media, mixing, pii, quality_fm, quality_rules, simhash, token_counts, token_store
+from tidemark.llm import _spark, bloom, bpe, licenses, media, mixing, pii, quality_fm, quality_rules, simhash, token_counts, token_store
 
 DATA = "/root/testdata/sf0.001"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
+#: Names of columns that the operators make for themselves.
+CLASHES = ("size", "key", "fp", "language", "digest", "target", "added", "row", "whole", "hash", "kept", "n_words", "n", "root", "taken", "finish", "upto", "_words", "_size", "_fp", "_of", "_part", "_sum", "_classes", "js_words", "component_id", "spans")
+
 EDGES = [
     (None, None, None, None, None),
     (None, "<|endoftext|> hi\x1cthere", "en", None, 3),
@@ -41,7 +44,7 @@ def docs(spark):
     own = spark.read.parquet(f"{DATA}/documents.parquet")
     df = own.unionByName(spark.createDataFrame(EDGES, own.schema))
     # columns whose names clash with those that operators make
-    return df.withColumn("size", F.lit("x")).withColumn("key", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("language", F.lit(0)).withColumn("digest", F.lit("q")).withColumn("target", F.lit(1)).cache()
+    return df.withColumns({c: F.concat(F.lit(f"{c} "), F.col("source")) for c in CLASHES}).cache()
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +57,14 @@ def none(docs):
     return docs.limit(0)
 
 
+def passed_through(got, docs, but=()):
+    """Each row of ``got`` is one of ``docs``, in all columns but some."""
+    assert got.columns == docs.columns
+    left = [c for c in docs.columns if c not in but]
+    known = {tuple(r[c] for c in left) for r in docs.collect()}
+    assert all(tuple(r[c] for c in left) in known for r in got.collect())
+
+
 def same(got, want):
     order = lambda x: sorted(map(repr, x))
     assert order(map(tuple, got)) == order(want)
@@ -73,7 +84,21 @@ def test_quality_rules(docs, rows, none):
     assert sum(x.kept for x in got) > 100
     assert quality_rules.quality_rules(none).count() == 0
     kept = quality_rules.kept_documents(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(x.kept for x in got)
+    passed_through(kept, docs)
+    assert kept.count() == sum(x.kept for x in got) and quality_rules.kept_documents(none).count() == 0
+
+
+def test_languages_without_reference_are_judged_by_their_classes(spark):
+    import string
+
+    random.seed(8)
+    plain = lambda letters: " ".join("".join(random.choice(letters) for _ in range(random.randint(3, 9))) + random.choice(["", "", "", "", "", "", "", ",", "."]) for _ in range(300))
+    known = [" ".join(random.choice(["the", "of", "and", "house", "river", "walks", "slowly", "Green"]) + random.choice(["", "", "", "", "", "", "", ",", "."]) for _ in range(400)) for _ in range(20)]
+    texts = [plain("абвгдежзийклмно"), plain("qxzwvjk" + string.ascii_lowercase), " ".join(f"{plain('abc')[:4]}%%% ###" for _ in range(100))]
+    docs = spark.createDataFrame(list(enumerate(texts + known)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert [got[i].language for i in range(3)] == [None] * 3 and got[5].language == "en"
+    assert not any(got[i].base_failed for i in range(2)) and got[0].kept and got[1].kept and not got[2].kept
 
 
 def test_quality_rules_on_labels(spark):
@@ -94,6 +119,31 @@ def test_quality_machine(spark, docs, none):
     assert quality_fm.score_quality(none, machine).count() == 0
     assert quality_fm.fit_quality(all_docs, labels.limit(0)) is None
     assert {r.score for r in quality_fm.score_quality(docs, None).collect()} == {0.5}
+    # scores over all pairs of features, each made by hand
+    texts = {r.doc_id: r for r in all_docs.limit(40).collect()}
+    for r in quality_fm.score_quality(all_docs.limit(40), machine).collect():
+        assert r.score == pytest.approx(slow_score(machine, texts[r.doc_id].text, texts[r.doc_id].n_chars), abs=1e-3)
+
+
+def slow_score(machine, text, n_chars):
+    words = (text or "").encode().split()
+    slots = collections.Counter(zlib.crc32(w.lower()) % quality_fm.WORD_SLOTS for w in words)
+    length = sum(np.log1p(c) ** 2 for c in slots.values()) ** 0.5
+    x = {s: np.log1p(c) / max(length, 1e-9) for s, c in slots.items()}
+    stats = [*quality_fm.structure((text or "").encode(), words, collections.Counter(words)), np.log1p(n_chars)]
+    for i, (v, edges) in enumerate(zip(stats, machine.edges, strict=True)):
+        x[quality_fm.WORD_SLOTS + i * (quality_fm.BINS + 1) + sum(v >= e for e in edges)] = 1.0
+    items = list(x.items())
+    raw = machine.bias + sum(machine.w[s] * v for s, v in items)
+    vs = np.array([machine.v[s].astype(float) * v for s, v in items])
+    pairs = vs @ vs.T
+    return 1 / (1 + np.exp(-(raw + np.triu(pairs, 1).sum())))
+
+
+def test_words_of_one_slot_are_one_feature():
+    slots, values = quality_fm.word_features(collections.Counter([b"The", b"the", b"THE", b"cat"]))
+    assert len(slots) == 2 == len({*slots.tolist()})
+    assert sorted((values / values.min()).tolist()) == pytest.approx([1, np.log1p(3) / np.log1p(1)])
 
 
 def test_machine_is_linear_time_form_of_all_pairs():
@@ -141,10 +191,24 @@ def test_mix(docs, rows, none):
             assert abs(taken[s] - target[s]) <= 2 * max(longest.values())
     assert sum(r.taken for r in got) <= total
     same(map(tuple, mixing.mix_sources(docs).collect()), map(tuple, got))
-    assert mixing.mixed(docs).count() == sum(r.copies for r in got) and mixing.mixed(docs).columns == docs.columns
+    out = mixing.mixed(docs)
+    passed_through(out, docs)
+    assert out.count() == sum(r.copies for r in got)
+    same(((r.doc_id, len(WORDS.findall(r.text or ""))) for r in out.collect()), [(r.doc_id, r["size"]) for r in got for _ in range(r.copies)])
     assert mixing.mix_sources(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_mix_of_repeated_rows_holds_its_budget(spark):
+    own = spark.read.parquet(f"{DATA}/documents.parquet")
+    one = own.orderBy("doc_id").limit(1)
+    docs = own.unionByName(one.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("i")).repartition(5).cache()
+    got, out = mixing.mix_sources(docs).collect(), mixing.mixed(docs).collect()
+    size = lambda r: len(WORDS.findall(r.text or ""))
+    budget = sum(map(size, docs.collect()))
+    assert len(out) == sum(r.copies for r in got) and sum(map(size, out)) == sum(r.taken for r in got) <= budget
+    assert sum(r.taken for r in got) > budget - 2 * max(map(size, docs.collect()))
+
+
 def slow_fingerprint(text):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = WORDS.findall(w)
@@ -185,11 +249,42 @@ def test_simhash(docs, rows, none):
     same(got, [(r.doc_id, f"{fps[r.text]:016x}", least.get(root[fps[r.text]])) for r in rows])
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
+    passed_through(kept, docs)
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(least.values())
 
 
+def test_index_prunes(spark):
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 2**63, 20000).astype(np.uint64)
+    rows = len(fps)
+    found = simhash.search(np.zeros(rows, int), np.zeros(rows, int), fps, 4)
+    found.run()
+    assert found.compared < rows * (rows - 1) // 4 and found.pruned > 0 and found.pairs == 0
+    # one whole top node: the same links as by brute force
+    near = [f ^ (1 << int(b)) for f in fps[:300].tolist() for b in rng.integers(0, 64, 2)]
+    few = np.unique(np.concatenate([fps[:300], np.array(near, np.uint64)]))
+    found = simhash.search(np.zeros(len(few), int), np.zeros(len(few), int), few, 4)
+    label, want = found.run(), slow_components(few.tolist())
+    groups = collections.defaultdict(set)
+    for f, at in zip(found.fps.tolist(), label.tolist(), strict=True):
+        groups[at].add(f)
+    expected = collections.defaultdict(set)
+    for f, r in want.items():
+        expected[r].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_masks_hold_each_link():
+    rng = np.random.default_rng(9)
+    assert [simhash.shared_blocks(n) for n in (0, 10**6, 10**8, 10**12)] == sorted(simhash.shared_blocks(n) for n in (0, 10**6, 10**8, 10**12))
+    for shared in (1, 2, 3):
+        own = simhash.masks(4, shared)
+        for _ in range(300):
+            off = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(off & m == 0 for m in own)
+
+
 @pytest.mark.parametrize("hot", [8192, 60])
 def test_links_of_dense_groups(spark, hot):
     rng = np.random.default_rng(3)
@@ -203,7 +298,7 @@ def test_links_of_dense_groups(spark, hot):
     want = slow_components(fps)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in set(fps)]
     found = simhash.links(spark.createDataFrame(signed, "fp bigint"), hot=hot)
-    assert found.count() < 60 * len(fps)  # forests, not all pairs
+    assert found.count() < 20 * len(fps)  # forests, not all pairs
     roots = {r.node % 2**64: r.root % 2**64 for r in simhash.components(found).collect()}
     groups = collections.defaultdict(set)
     for f in set(fps):
@@ -238,7 +333,8 @@ def test_personal_spans(docs, rows, none):
     same([tuple(r)[:6] for r in got], want)
     assert pii.personal_spans(none).count() == 0
     clean = pii.sanitised(docs)
-    assert clean.columns == docs.columns and clean.count() == len(rows)
+    passed_through(clean, docs, but=("text", "n_chars"))
+    assert clean.count() == len(rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in clean.collect())
     assert not any(sum(map(len, base(r.text or "").values())) for r in clean.collect())
 
 
@@ -249,7 +345,7 @@ def test_revealing_terms(spark):
     own += [(20, "the name Zorblatt alone", "en", "s", 1)]
     docs = spark.createDataFrame(own, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     spans = {r.doc_id: r.spans for r in pii.personal_spans(docs).collect()}
-    words = {i: {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans[i].split(",") if s) if k in ("general", "removed")} for i, t, *_ in own}
+    words = {i: {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans[i].split(",") if s) if k.split("-")[0] in ("general", "removed")} for i, t, *_ in own}
     assert {"mister", "writes"} <= words[0] and "daily" not in words[0] and not words[10]
     assert pii.disclosure(1000, 5, 5, 5) == pytest.approx(1) and pii.disclosure(1000, 50, 5, 5) < 0.6
 
@@ -260,7 +356,7 @@ def test_rare_entities_disclosed_by_their_groups(spark):
     own += [(10 + i, f"plain words number {'xyzuvw'[i]}{'abc'[i % 3]}", "en", "s", 1) for i in range(6)]
     docs = spark.createDataFrame(own, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     spans = {r.doc_id: r.spans for r in pii.personal_spans(docs).collect()}
-    words = {i: {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans[i].split(",") if s) if k in ("general", "removed")} for i, t, *_ in own}
+    words = {i: {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans[i].split(",") if s) if k.split("-")[0] in ("general", "removed")} for i, t, *_ in own}
     assert all({"ab", "Qi", "cut"} <= words[i] for i in range(5)) and not any(words[10 + i] for i in range(6))
     text = "x " * 300 + "Ann\n\nLee <a.b@c.de>, " + "y" * 500 + " Bo Cy 10.0.0.7"
     entities, near = pii._near(text, pii.base_spans(text))
@@ -280,12 +376,33 @@ def test_copies_of_a_text_count_once(spark):
     assert pii.disclosure(len(texts), has("kontakt"), 3, 3) < 0.9 < pii.disclosure(len(texts), has("zorbl"), 3, 3)
     assert terms == {"zorbl"}
     words = {"kontakt", "zorbl", "without", "copied", "only", "here"}
-    bits = pii._filter_of(spark.createDataFrame([(w,) for w in words], "term string"))
-    copied = pii._filter_of(spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(),) for t, c in collections.Counter(own).items() if c > 1], "term string"))
+    bits = bloom.bloom_of(spark.createDataFrame([(w,) for w in words], "term string"))
+    copied = bloom.bloom_of(spark.createDataFrame([(hashlib.sha256(t.encode()).digest(),) for t, c in collections.Counter(own).items() if c > 1], "digest binary"))
     got = {r.term: r.n_t for r in pii._term_counts(docs, bits, copied).collect()}
     assert {w: got[w] for w in words} == {w: sum(w in re.findall("[a-z]+", t) for t in texts) for w in words}
 
 
+def test_terms_outside_of_spans():
+    random.seed(6)
+    for _ in range(500):
+        text = "".join(random.choice("abİß 1@.") for _ in range(60))
+        spans = sorted((a, a + random.randint(1, 9)) for a in random.sample(range(60), 6))
+        sought = set(random.sample(sorted(pii.terms_of(text)), len(pii.terms_of(text)) // 2))
+        want = collections.defaultdict(list)
+        for m in pii._TERM.finditer(text):
+            if m[0].lower() in sought and not any(a < m.end() and m.start() < b for a, b in spans):
+                want[m[0].lower()].append(f"{m.start()}:{m.end()}")
+        assert pii.outside(text, sought, spans) == want
+
+
+def test_bloom_filter(spark):
+    keys = [f"word{i}" for i in range(20000)]
+    found = bloom.bloom_of(spark.createDataFrame([(k,) for k in keys], "k string"))
+    assert found.bits >= bloom.BITS_EACH * len(keys) and all(k in found for k in keys)
+    assert sum(f"other{i}" in found for i in range(20000)) < 400
+    assert "x" not in bloom.bloom_of(spark.createDataFrame([], "k string"))
+
+
 def test_token_store(docs, rows, none, spark):
     tok = Tokenizer.from_file(WORD)
     ids = {t: tok.encode(t or "", add_special_tokens=False).ids + [1] for t in {r.text for r in rows}}
@@ -305,6 +422,14 @@ def test_token_store(docs, rows, none, spark):
     assert token_store.token_store(none, WORD).count() == 0
 
 
+def test_dictionary_learns_from_long_documents(spark):
+    long = " ".join(f"w{i % 977}x" for i in range(40000))
+    assert len(long) > 131072 + 12
+    docs = spark.createDataFrame([(i, long[i:]) for i in range(12)], "doc_id bigint, text string")
+    assert token_store.train_dictionary(docs, WORD, 1)
+    assert token_store.train_dictionary(docs.limit(0), WORD, 1) == b""
+
+
 def test_token_counts(docs, rows, none):
     tok = Tokenizer.from_file(BYTE)
     n = {t: len(tok.encode(t or "", add_special_tokens=False).ids) for t in {r.text for r in rows}}
@@ -312,6 +437,17 @@ def test_token_counts(docs, rows, none):
     assert token_counts.token_counts(none, BYTE).count() == 0
 
 
+def test_each_distinct_pre_token_is_counted_once(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK_CHARS", 5000)
+    blocks = token_counts.frequencies(docs, BYTE)
+    tokens = [t for r in blocks.collect() for t in r.tokens]
+    assert len({*tokens}) < len(tokens)
+    counted = token_counts.piece_counts(blocks.select(F.explode("tokens").alias("token")).distinct(), BYTE).collect()
+    tok = Tokenizer.from_file(BYTE)
+    assert sorted(r.token for r in counted) == sorted({*tokens})
+    assert all(r.pieces == len(tok.encode(r.token, add_special_tokens=False).ids) for r in counted)
+
+
 def test_bpe(docs, rows, none):
     tok = Tokenizer.from_file(BYTE)
 
@@ -329,7 +465,7 @@ def test_bpe(docs, rows, none):
 def test_bpe_of_odd_characters():
     encoder, tok = bpe.Encoder(BYTE), Tokenizer.from_file(BYTE)
     points = [*range(0, 0x3000), *range(0xA000, 0xA400), *range(0x1F300, 0x1F700)]
-    texts = [f"a{chr(c)}1 {chr(c)}{chr(c)} b" for c in points if not 0xD800 <= c < 0xE000] + ["x" * 5000, " " * 700 + "a", "\n \n  b"]
+    texts = [f"a{chr(c)}1 {chr(c)}{chr(c)} b" for c in points if not 0xD800 <= c < 0xE000] + ["x" * 5000, "ab" * 150000, " " * 700 + "a", "\n \n  b"]
     ids, counts = encoder.encode(texts)
     got = np.split(ids, np.cumsum(counts)[:-1])
     assert all(g.tolist() == e.ids for g, e in zip(got, tok.encode_batch(texts, add_special_tokens=False), strict=True))
@@ -341,11 +477,21 @@ def test_media(docs, rows, none):
         p = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         chunks = media.chunks_of(p)
         assert b"".join(chunks) == p
-        form = media.stored_form(p, [len(c) for c in chunks], [media.digest_of(c) for c in chunks])
+        digests = [media.digest_of(c) for c in chunks]
+        form = media.stored_form(chunks, digests, [d in shared for d in digests])
         return r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(form), hashlib.sha256(form).hexdigest(), media.feature_of(p, len(chunks))
 
+    shared = bloom.bloom_of(media.shared_digests(docs))
     same(media.media_columns(docs).collect(), map(want, rows))
     assert media.media_columns(none).count() == 0
+    containers, chunks = media.write_media(docs)
+    stored = {r.doc_id: r.media for r in containers.collect()}
+    table = {bytes(r.digest): bytes(r.chunk) for r in chunks.collect()}
+    assert any(s for m in stored.values() for *_, s in media.chunk_list(bytes(m))) and table
+    assert media.payload_from(bytes(stored[900005]), table).startswith(b"mail a@b@c.de")
+    one = bytes(stored[900004])
+    with pytest.raises(ValueError, match="damaged"):
+        media.payload_from(one[:-1] + b"!", table)
 
 
 def test_gear_cuts_are_those_of_the_rolling_hash():
@@ -361,22 +507,110 @@ def test_gear_cuts_are_those_of_the_rolling_hash():
         assert media.cut_ends(p) == ends + ([len(p)] if start < len(p) else [])
 
 
+def slow_alignment(template, doc, low, high):
+    """Best score of local alignments along the diagonals low to high, cell by cell."""
+    score = collections.defaultdict(int)
+    best = 0
+    for i, word in enumerate(template):
+        for at in range(max(0, i + low), min(len(doc), i + high + 1)):
+            around = max(score[i - 1, at] if at - i < high else 0, score[i, at - 1] if at - i > low else 0)
+            score[i, at] = max(0, score[i - 1, at - 1] + (2 if doc[at] == word else -1), around - 1)
+            best = max(best, score[i, at])
+    return best
+
+
+def test_alignment_against_all_cells():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        template = rng.integers(0, 6, rng.integers(1, 30))
+        docs = [rng.integers(-1, 6, rng.integers(0, 50)) for _ in range(4)]
+        at = rng.integers(0, 4)
+        docs[at] = np.concatenate([docs[at], np.delete(template, rng.integers(0, len(template))), docs[at]])
+        ends = np.cumsum([len(d) for d in docs])
+        starts = ends - [len(d) for d in docs]
+        low = rng.integers(-20, 40, 4)
+        high = low + rng.integers(0, 12, 4)
+        n, first, end = licenses.aligned(template, np.concatenate([*docs, [-1]]), starts, ends, low, high)
+        for d in range(4):
+            best = slow_alignment(template.tolist(), docs[d].tolist(), int(low[d]), int(high[d]))
+            assert (n[d] > 0) == (best > 0)
+            if best:  # what is reported is an alignment of that score: n matches, all else costs a point
+                span = slow_alignment(template.tolist(), docs[d][first[d] - starts[d] : end[d] + 1 - starts[d]].tolist(), -60, 60)
+                assert span >= best and 2 * n[d] >= best and n[d] <= end[d] - first[d] + 1
+
+
 def test_licenses(spark, docs, rows, none):
-    index = licenses.LicenseIndex(licenses.TEMPLATES)
-    for name, text in licenses.TEMPLATES.items():
-        found = index.matches(f"wörter davor {text.upper()} and after")
-        assert found[0][0] == name and found[0][3] == 1 and found[0][4] == 13
-    words = licenses.TEMPLATES["MIT"].split()
+    templates = licenses.standard_templates()
+    index = licenses.LicenseIndex(templates)
+    assert {"GPL-3.0", "Apache-2.0", "MPL-2.0", "MIT", "BSD-3-Clause", "CC0-1.0"} < {*templates}
+    for name, text in templates.items():
+        (found,) = index.matches([f"wörter davor {text.upper()} and after"])
+        assert found[0][0] == name and found[0][3] == 1 and found[0][4] == 13 + re.search("[A-Za-z0-9]", text).start(), name
+    words = templates["MIT"].split()
     del words[10]
     words.insert(30, "really")
-    (match,) = index.matches("x y " + " ".join(words))
+    ((match,),) = index.matches(["x y " + " ".join(words)])
     assert match[0] == "MIT" and 0.95 < match[3] < 1
+    # a long text with words lost and added all along
+    words = templates["GPL-2.0"].split()
+    edited = [w for i, w in enumerate(words) if i % 50] + ["end"]
+    edited = [x for i, w in enumerate(edited) for x in ([w, "added"] if i % 60 == 0 else [w])]
+    assert index.matches([" ".join(edited)])[0][0][0] == "GPL-2.0"
+    # notices end to end are as many matches
+    for name, notice in licenses.NOTICES.items():
+        text = f"{notice} {notice}\n{notice}"
+        (found,) = index.matches([text])
+        assert [m[0] for m in found] == [name] * 3, name
+        assert [text[m[4] : m[5]] for m in found] == [notice.rstrip(".")] * 3 or name.startswith(("MPL", "Apache-2.0-h"))
     data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    notices = ("Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.")
     texts = {r.doc_id: r.text for r in data.collect()}
-    got = {(r.doc_id, texts[r.doc_id][r.start : r.end] + ".") for r in licenses.license_matches(data).collect()}
-    assert got == {(i, n) for i, t in texts.items() for n in notices if n in t}
-    assert licenses.license_matches(none).count() == 0 and licenses.license_matches(docs).count() >= 0
+    got = {(r.doc_id, r.template, texts[r.doc_id][r.start : r.end] + ".") for r in licenses.license_matches(data).collect()}
+    planted = {"MIT-notice": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.", "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3."}
+    assert got == {(i, name, n) for i, t in texts.items() for name, n in planted.items() if n in t}
+    # all templates against all diagonals of the texts, without fingerprints
+    small = {i: t for i, t in texts.items() if len(t.split()) < 120}
+    for i, t in list(small.items())[:60]:
+        codes = np.array([index.vocabulary.get(w, -1) for w in licenses.words_of(t)], np.int64)
+        for name, own in zip(index.names, index.codes, strict=True):
+            if len(own) < 60 and len(codes):
+                n, *_ = licenses.aligned(own, np.append(codes, -1), np.array([0]), np.array([len(codes)]), np.array([-len(own)]), np.array([len(codes)]))
+                assert (n[0] >= licenses.COVERAGE * len(own)) <= any(g[0] == i for g in got), (i, name)
+    assert licenses.license_matches(none).count() == 0 and licenses.license_matches(docs, {}).count() == 0
+    edge = {r.doc_id for r in licenses.license_matches(docs).collect()}
+    assert edge == {r.doc_id for r in rows if any(n in (r.text or "") for n in planted.values())}
+
+
+def slow_mix(rows):
+    """The copies of (doc_id, source, text) rows that the mix takes, one after the other."""
+    size = lambda r: len(WORDS.findall(r[2] or ""))
+    sources = sorted({r[1] for r in rows if r[1] is not None}) + [None] * any(r[1] is None for r in rows)
+    total = {s: sum(size(r) for r in rows if r[1] == s) for s in sources}
+    weight, target, open_ = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}, {}, set(sources)
+    while open_:
+        left = sum(total.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] >= 3 * total[s]}
+        target |= {s: 3.0 * total[s] for s in full} if full else share
+        open_ = open_ - full if full else set()
+    copies = []
+    for s in sources:
+        upto = 0
+        for r in sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"{'' if r[0] is None else r[0]}:{r[2] or ''}".encode()).hexdigest()):
+            upto += size(r)
+            copies += [((e * total[s] + upto) / target[s], e, r) for e in range(3) if size(r)]
+    out, done = [], 0
+    for _, _, r in sorted(copies, key=lambda c: c[0]):
+        done += size(r)
+        if done > sum(total.values()):
+            break
+        out.append(r)
+    return out
+
+
+def test_mix_against_a_queue(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    same(mixing.mixed(docs).collect(), slow_mix(rows))
 
 
 def test_pipeline(spark):
@@ -390,11 +624,22 @@ def test_pipeline(spark):
     root, least = slow_components(list(fps.values())), {}
     for i, f in fps.items():
         least[root[f]] = min(i, least.get(root[f], i))
-    single = docs.filter(F.col("doc_id").isin(sorted(least.values())))
-    clean = {r.doc_id: r.text for r in pii.sanitised(single).collect()}
-    mix = mixing.mix_sources(pii.sanitised(single)).collect()
+    single = [r for r in left if r.doc_id in {*least.values()}]
+    # no term of this corpus discloses an entity, so the patterns alone are replaced
+    clean = [(r.doc_id, r.source, pii.replaced(r.text, [(a, b, k) for k, own in pii.base_spans(r.text).items() for a, b in own])) for r in single]
     tok, want = Tokenizer.from_file(BYTE), []
-    for r in mix:
-        ids = tok.encode(clean[r.doc_id], add_special_tokens=False).ids
-        want += [(r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(clean[r.doc_id].encode()).hexdigest())] * r.copies
+    for i, _, text in slow_mix(clean):
+        ids = tok.encode(text, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     same(corpus_pipeline.run(spark, sf).collect(), want)
+
+
+def test_scratch_deletes_what_was_written_in_it(spark):
+    import os
+
+    with _spark.scratch(spark):
+        lost = _spark.materialize(spark.range(3).toDF("x"), "lost")
+        held = _spark.materialize(lost.selectExpr("x + 1 AS x"), "held", keep=True)
+        (path,) = {os.path.dirname(f) for f in lost.inputFiles()}
+    assert sorted(r.x for r in held.collect()) == [1, 2, 3] and not os.path.exists(path.removeprefix("file://"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"

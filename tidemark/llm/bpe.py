@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._spark import small_batches
+from ._spark import slices
 
 #: How byte-level BPE cuts a text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -256,12 +256,11 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _encoded(docs: DataFrame, path: str, schema: str, make, columns) -> DataFrame:
-    small_batches(docs.sparkSession)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for texts in text_chunks(x or "" for x in batch.column(1).to_pylist()):
                 ids, counts = bpe.encode(texts)

@@ -3,15 +3,16 @@
 A payload is a column's bytes, padded with bytes 255 to a positive multiple of ``FRAME``, taken as 8-bit samples.  A
 gear hash rolls over it, and a chunk ends where the hash's top bits are zero, between ``LEAST`` and ``MOST`` bytes.  A
 chunk's digest names it.  Digests that occur more than once are found by a Spark aggregation; their chunks go to a chunk
-table, deduplicated by digest, and all other chunks stay in their payload's container.  A container holds the ordered
-chunk list (length and digest of each chunk) and the bytes of its own chunks.  Reading joins the listed digests with the
-chunk table, puts the payload together in order, and verifies every digest.
+table, deduplicated by digest, and all other chunks stay in their payload's container.
 
-Which digests are shared goes to the writing tasks as a Bloom filter of a fixed size.  A false positive only moves a
-chunk to the chunk table; what is shared is never missed.
+A container is one value of bytes, the stored form, whose size and hash are reported from what is read back: 16-bit
+version, 64-bit payload size, 32-bit count, then the ordered chunk list (32-bit length whose top bit tells a chunk of
+the chunk table, digest), then the bytes of the container's own chunks, all little-endian.  Reading joins the listed
+digests with the chunk table, puts the payload together in order, and verifies every digest.
 
-The stored form of a payload, whose size and hash are reported, is its chunk list followed by its chunks: 16-bit version,
-64-bit payload size, 32-bit count, then (32-bit length, digest) of each chunk, then the bytes, all little-endian.
+Which digests are shared goes to the writing tasks as a Bloom filter, sized from their count up to a bound.  A false
+positive only moves a chunk to the chunk table; what is shared is never missed.  Texts are cut twice, once to find what
+is shared and once to write: cutting costs less than to shuffle all payloads.
 
 Defined results: a null text is an empty text, whose payload is one frame of padding; equal texts give equal values;
 null ids are kept; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -29,14 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialize, small_batches, text_or_empty
+from ._spark import frame_slices, joined, materialize, text_or_empty
+from .bloom import Bloom, bloom_of
 
 FRAME, PAD = 576, b"\xff"
 #: Bytes of a chunk at least and at most, and the bits of the hash that are zero at a cut.
 LEAST, MOST, CUT_BITS = 512, 16384, 11
 DIGEST = 16
-BLOOM_BITS, BLOOM_HASHES = 1 << 24, 4
-_VERSION = 1
+_VERSION, _HEAD, _ENTRY, _SHARED = 2, 14, 4 + DIGEST, 1 << 31
 
 
 def _gear_table() -> np.ndarray:
@@ -86,18 +87,39 @@ def digest_of(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
 
 
-def _spots(digests: np.ndarray) -> np.ndarray:
-    """Places in the filter of digests given as rows of two 64-bit numbers."""
-    return (digests[:, :1] + np.arange(BLOOM_HASHES, dtype=np.uint64)[None, :] * (digests[:, 1:] | np.uint64(1))) % np.uint64(BLOOM_BITS)
-
-
-def _as_pairs(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-
-
-def stored_form(payload: bytes, lengths: list[int], digests: list[bytes]) -> bytes:
-    head = struct.pack("<HQI", _VERSION, len(payload), len(lengths))
-    return head + b"".join(struct.pack("<I", n) + d for n, d in zip(lengths, digests, strict=True)) + payload
+def stored_form(chunks: list[bytes], digests: list[bytes], shared: list[bool]) -> bytes:
+    """The container of a payload of these chunks."""
+    head = struct.pack("<HQI", _VERSION, sum(map(len, chunks)), len(chunks))
+    listed = [struct.pack("<I", len(c) | (_SHARED if s else 0)) + d for c, d, s in zip(chunks, digests, shared, strict=True)]
+    return b"".join([head, *listed, *(c for c, s in zip(chunks, shared, strict=True) if not s)])
+
+
+def chunk_list(media: bytes) -> list[tuple[int, bytes, bool]]:
+    """Length, digest, and whether it is in the chunk table, of each chunk of a container."""
+    version, _, n = struct.unpack_from("<HQI", media)
+    if version != _VERSION:
+        raise ValueError(f"a container of version {version}")
+    out = []
+    for at in range(_HEAD, _HEAD + n * _ENTRY, _ENTRY):
+        (size,) = struct.unpack_from("<I", media, at)
+        out.append((size & (_SHARED - 1), media[at + 4 : at + _ENTRY], bool(size & _SHARED)))
+    return out
+
+
+def payload_from(media: bytes, fetched: dict[bytes, bytes]) -> bytes:
+    """The payload of a container, from its own chunks and those fetched from the chunk table; all are verified."""
+    listed, parts = chunk_list(media), []
+    at = _HEAD + len(listed) * _ENTRY
+    for size, name, shared in listed:
+        part = fetched[name] if shared else media[at : at + size]
+        at += 0 if shared else size
+        if len(part) != size or digest_of(part) != name:
+            raise ValueError(f"chunk {name.hex()} is damaged")
+        parts.append(part)
+    payload = b"".join(parts)
+    if len(payload) != struct.unpack_from("<HQ", media)[1]:
+        raise ValueError("a container and its chunk list disagree")
+    return payload
 
 
 def feature_of(payload: bytes, n_chunks: int) -> str:
@@ -113,7 +135,6 @@ def feature_of(payload: bytes, n_chunks: int) -> str:
 
 
 def _frames(docs: DataFrame, run, schema: str) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, schema)
 
 
@@ -121,107 +142,81 @@ def shared_digests(docs: DataFrame) -> DataFrame:
     """digest of each chunk that occurs more than once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in frame_slices(frames):
             yield pd.DataFrame({"digest": [digest_of(c) for x in frame["text"] for c in chunks_of(payload_of(x.encode()))]})
 
     return _frames(docs, run, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
 
 
-def _filter_of(digests: DataFrame) -> np.ndarray:
-    """Bloom filter of the digests: its words of bits, a fixed number at most, reach the driver."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                at = _spots(_as_pairs(frame["digest"].to_list())).ravel()
-                yield pd.DataFrame({"word": (at // np.uint64(64)).astype(np.int64), "bits": np.left_shift(np.uint64(1), at % np.uint64(64)).view(np.int64)})
-
-    words = digests.mapInPandas(run, "word bigint, bits bigint").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
-    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Containers (doc_id, key, n_bytes, sizes, digests, own, n_refs) and the chunk table (digest, chunk), both written."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(shared_digests(docs)))  # BLOOM_BITS bits
+    """Containers (doc_id, key, n_bytes, media) and the chunk table (digest, chunk), both written."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(materialize(shared_digests(docs), "digests")))  # a bounded number of bits
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = bits.value
-        for frame in frames:
+        filter_: Bloom = shared.value
+        for frame in frame_slices(frames):
             rows, out = [], {}
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 raw = text.encode()
-                payload = payload_of(raw)
-                chunks = chunks_of(payload)
+                chunks = chunks_of(payload_of(raw))
                 digests = [digest_of(c) for c in chunks]
-                at = _spots(_as_pairs(digests))
-                shared = ((own[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1).tolist()
-                key = hashlib.blake2b(b"".join(digests) + len(raw).to_bytes(8, "little"), digest_size=DIGEST).digest()
-                inline = b"".join(c for c, s in zip(chunks, shared, strict=True) if not s)
-                rows.append((doc_id, key, len(raw), np.array([len(c) for c in chunks], "<u4").tobytes(), b"".join(digests), bytes(shared), inline, None))
-                out |= {d: c for d, c, s in zip(digests, chunks, shared, strict=True) if s}
-            rows += [(None, d, 0, None, None, None, None, c) for d, c in out.items()]
-            made = pd.DataFrame(rows, columns=["doc_id", "key", "n_bytes", "sizes", "digests", "shared", "own", "chunk"])
+                apart = [d in filter_ for d in digests]
+                rows.append((doc_id, hashlib.blake2b(b"".join(digests), digest_size=DIGEST).digest(), len(raw), stored_form(chunks, digests, apart), None))
+                out |= {d: c for d, c, s in zip(digests, chunks, apart, strict=True) if s}
+            rows += [(None, d, 0, None, c) for d, c in out.items()]
+            made = pd.DataFrame(rows, columns=["doc_id", "key", "n_bytes", "media", "chunk"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
 
-    schema = "doc_id bigint, key binary, n_bytes bigint, sizes binary, digests binary, shared binary, own binary, chunk binary"
-    rows = materialize(_frames(docs, run, schema), "media")
-    chunks = rows.filter("chunk is not null").select(F.col("key").alias("digest"), "chunk").dropDuplicates(["digest"])
-    return rows.filter("chunk is null").drop("chunk"), materialize(chunks, "chunks")
+    rows = materialize(_frames(docs, run, "doc_id bigint, key binary, n_bytes bigint, media binary, chunk binary"), "media")
+    chunks = rows.filter("chunk IS NOT NULL").select(F.col("key").alias("digest"), "chunk").dropDuplicates(["digest"])
+    return rows.filter("chunk IS NULL").drop("chunk"), materialize(chunks, "chunks")
 
 
 _FACTS = "key binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def _facts(key: bytes, sizes: bytes, digests: bytes, shared: bytes, own: bytes, fetched: dict[bytes, bytes]) -> tuple:
-    """Put a payload together from its container and the chunks of the table, verify it, and compute what is asked for."""
-    lengths = np.frombuffer(sizes, "<u4").tolist()
-    names = [digests[i : i + DIGEST] for i in range(0, len(digests), DIGEST)]
-    parts, at = [], 0
-    for n, name, s in zip(lengths, names, shared, strict=True):
-        part = fetched[name] if s else own[at : at + n]
-        at += 0 if s else n
-        if len(part) != n or digest_of(part) != name:
-            raise ValueError(f"chunk {name.hex()} is damaged")
-        parts.append(part)
-    payload = b"".join(parts)
-    media = stored_form(payload, lengths, names)
-    return key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload, len(names))
+def _facts(key: bytes, media: bytes, fetched: dict[bytes, bytes]) -> tuple:
+    """What is asked for of a payload that is put together from what was read."""
+    payload = payload_from(media, fetched)
+    return key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload, len(chunk_list(media)))
 
 
 def read_media(containers: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what the payload read back gives, of each container."""
     names = [x.split()[0] for x in _FACTS.split(", ")]
-    # equal payloads are put together once
-    once = containers.select("key", "sizes", "digests", "shared", "own")
-    none = F.instr(F.hex("shared"), "01") == 0
 
-    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([_facts(*r, {}) for r in frame.itertuples(index=False)], columns=names)
+    def complete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Facts of containers that need no chunk of the table; the others as they are."""
+        for frame in frame_slices(frames):
+            whole = [not any(s for *_, s in chunk_list(m)) for m in frame["media"]]
+            rows = [(*_facts(k, m, {}), None) if w else (k, *[None] * 6, m) for k, m, w in zip(frame["key"], frame["media"], whole, strict=True)]
+            yield pd.DataFrame(rows, columns=[*names, "media"]).astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
 
-    local = once.filter(none).mapInPandas(whole, _FACTS).dropDuplicates(["key"])
-    apart = materialize(once.filter(~none).dropDuplicates(["key"]), "apart")
+    # equal payloads have equal containers, and are put together once
+    once = materialize(containers.select("key", "media").mapInPandas(complete, _FACTS + ", media binary").dropDuplicates(["key"]), "once")
+    apart = once.filter("media IS NOT NULL").select("key", "media")
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, d[i * DIGEST : (i + 1) * DIGEST]) for k, d, s in zip(frame["key"], frame["digests"], frame["shared"], strict=True) for i in np.flatnonzero(np.frombuffer(s, "u1")).tolist()]
+        for frame in frame_slices(frames):
+            rows = [(k, d) for k, m in zip(frame["key"], frame["media"], strict=True) for _, d, s in chunk_list(m) if s]
             yield pd.DataFrame([*dict.fromkeys(rows)], columns=["key", "digest"])
 
-    refs = apart.select("key", "digests", "shared").mapInPandas(listed, "key binary, digest binary")
-    # a payload's chunks are as many as its length allows: the lists are bounded by it
-    fetched = refs.join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
-
-    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [_facts(r.key, r.sizes, r.digests, r.shared, r.own, {x["digest"]: x["chunk"] for x in r.fetched}) for r in frame.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=names)
-
-    remote = apart.join(fetched, "key").mapInPandas(joined, _FACTS)
-    facts = materialize(local.unionByName(remote), "facts")
-    return containers.select("doc_id", "key", "n_bytes").join(facts, "key").select("doc_id", "n_bytes", *names[1:])
+    refs = materialize(apart.mapInPandas(listed, "key binary, digest binary"), "refs")
+    often = refs.groupBy("digest").agg(F.count("*").alias("n"))
+    # hot chunks are few and at most MOST bytes each; a payload's chunks are as many as its length allows
+    found = joined(refs, chunks.join(often, "digest"), "digest", "n", refs.count())
+    fetched = found.groupBy("key").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
+
+    def put_together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frame_slices(frames, 100):
+            yield pd.DataFrame([_facts(k, m, {x["digest"]: x["chunk"] for x in f}) for k, m, f in frame[["key", "media", "fetched"]].itertuples(index=False)], columns=names)
+
+    remote = apart.join(fetched, "key").mapInPandas(put_together, _FACTS)
+    facts = once.filter("media IS NULL").drop("media").unionByName(remote)
+    copies = containers.groupBy("key").agg(F.count("*").alias("n"))
+    facts = materialize(facts.join(copies, "key"), "facts")
+    return joined(containers.select("doc_id", "key", "n_bytes"), facts, "key", "n", containers.count()).select("doc_id", "n_bytes", *names[1:])
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -1,44 +1,41 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-The documents of each source are shuffled by the md5 of their id.  A copy's virtual finish time is the source's tokens
-up to and with it, divided by the source's target; copies of later epochs follow after the whole source.  All copies in
-the order of their finish times are the mix, which ends where its tokens reach the total budget.
-
-Neither the sums within a source nor those along the mix need a large group: a source is cut into ranges of the shuffle
-key, as many as its rows ask for, and virtual time into bins, about the square root of the number of documents; sums of
-ranges and bins are small tables, and single rows are only summed within one range, or within the bin that the mix ends
-in.  The mix itself is range-partitioned by finish time (``mixed``).
-
-Defined results: a null text has size 0; a document of size 0 is never taken; null is a source, the last in order; rows
-of equal doc_id are ordered by size, and equal rows share one place in all sums but their own size; reruns agree; an
-empty table gives an empty result; columns whose names clash with those made here are replaced.
+The documents of each source are shuffled by the md5 of their id and text.  A copy's virtual finish time is the source's
+tokens up to and with it, divided by the source's target; copies of later epochs follow after the whole source.  All
+copies are range-sorted by their finish times, and the mix ends before the first copy with which the tokens so far would
+pass the total budget.
+
+Both sums, that along each source and that along the mix, are sums over ranges of a sorted table (``running``): no source
+and no key is a group of its own.  Rows get a number when their sizes are written, which tells equal rows apart.
+
+Defined results: a null text has size 0; a document of size 0 is never taken; null is a source, the last in order; equal
+rows are rows of their own, each with its own place; reruns agree, but for which of several rows of equal id and text is
+taken; an empty table gives an empty result; other columns are ignored by ``mix_sources`` and kept by ``mixed``, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import WORD, materialize, partitions, text_or_empty
+from ._spark import WORD, materialize, partitions, running, text_or_empty, whole
 
 #: Weights of sources in the order of their names, over and over.
 WEIGHTS = (5, 2, 1)
 #: A document is taken so often at most.
 EPOCHS = 3
-#: Rows of a range of a source, about.
-RANGE_ROWS = 1000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """source, n_docs, source_size and target of each source, from rows with source and size.
+    """source, source_size, target and ahead of each source, from rows with source and size.
 
     Targets share the total by weight; a source that would pass ``epochs`` times its size gets just that, and what is
     left over is shared again.  In the order of (epochs * size / weight) the full sources come first, so one pass over
-    the sources finds them.  There is a row for each source.
+    the sources finds them.  There is a row for each source, and ``ahead`` has the tokens of those before it in order.  The
+    windows are over the sources, whose number is small against that of documents.
     """
-    per = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     i = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), i + 1).cast("double"))
@@ -54,116 +51,72 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     # the sources that are not full all share what the first of them found
     level = F.min(F.when(~full, F.struct(F.col("most") / F.col("weight"), F.col("share")))).over(every)["share"]
     per = per.withColumn("target", F.when(full, F.col("most")).otherwise(F.col("weight") * level))
-    return per.select("source", "n_docs", "source_size", "target")
-
-
-def _starts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows with key, target, source_size and upto: the source's tokens up to and with the row, in the first epoch."""
-    # the number of sources is small against that of documents, but it isn't bounded: let Spark choose the join
-    ranges = F.ceil(F.col("n_docs") / F.lit(RANGE_ROWS)).cast("int")
-    rows = sizes.join(targets.withColumnRenamed("source", "_s"), sizes["source"].eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / F.lit(float(1 << 32))).cast("int")
-    rows = rows.withColumn("range", part)
-    own = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("n")), "ranges")
-    by_source = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = own.select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("before"))
-    in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(in_range))
-    rows = rows.join(before, rows["source"].eqNullSafe(F.col("_s")) & (rows["range"] == F.col("_r"))).drop("_s", "_r")
-    return rows.withColumn("upto", F.col("upto") + F.col("before")).drop("before", "range", "n_docs")
-
-
-def _copies(rows: DataFrame, epochs: int) -> DataFrame:
-    """A row for each copy, with its virtual finish time."""
-    copies = rows.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    return copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target"))
-
-
-def _cut(rows: DataFrame, epochs: int) -> tuple[float, str, int] | None:
-    """(finish, key, epoch) of the last copy of the mix: three numbers reach the driver."""
-    totals = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-    if not totals["size"]:
-        return None
-    n_bins = max(1, math.isqrt(totals["n"]))
-    # the mix ends about time 1, so what comes long after shares a bin
-    copies = _copies(rows, epochs).withColumn("bin", F.least(F.floor(F.col("finish") * n_bins), F.lit(2 * n_bins)))
-    sums = copies.groupBy("bin").agg(F.sum("size").alias("tokens"))
-    upto = F.sum("tokens").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    bins = materialize(sums.select("bin", "tokens", upto.alias("upto")), "bins")
-    last = bins.filter(F.col("upto") > totals["size"]).orderBy("bin").first()
-    if last is None:  # all copies fit
-        last_copy = copies.orderBy(F.desc("finish"), F.desc("key"), F.desc("epoch")).select("finish", "key", "epoch").first()
-        return tuple(last_copy) if last_copy else None
-    order = Window.partitionBy("bin").orderBy("finish", "key", "epoch", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = copies.filter(F.col("bin") == last["bin"]).withColumn("upto_mix", F.sum("size").over(order) + (last["upto"] - last["tokens"]))
-    fits = inside.filter(F.col("upto_mix") <= totals["size"]).orderBy(F.desc("finish"), F.desc("key"), F.desc("epoch")).select("finish", "key", "epoch").first()
-    if fits is None:
-        fits = copies.filter(F.col("bin") < last["bin"]).orderBy(F.desc("finish"), F.desc("key"), F.desc("epoch")).select("finish", "key", "epoch").first()
-    return tuple(fits) if fits else None
-
-
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) of each document."""
-    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-
-
-def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> tuple[DataFrame, tuple | None]:
-    """Documents with their place in their source (column upto), and the last copy of the mix."""
-    sizes = materialize(sizes_of(docs), "sizes")
+    ahead = F.sum("source_size").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) - F.col("source_size")
+    return per.withColumn("ahead", ahead).select("source", "source_size", "target", "ahead")
+
+
+def sizes_of(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size (words) and key (of the shuffle) of each document, and the columns named."""
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty()).cast("binary"))
+    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), key.alias("key"), *more)
+
+
+def _queued(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
+    """Rows of ``sizes`` with source_size, target and upto: the source's tokens up to and with the row, in the first epoch."""
     targets = materialize(source_targets(sizes, weights, epochs), "targets")
-    rows = materialize(_starts(sizes, targets), "queue")
-    return rows, _cut(rows, epochs)
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("row")]
+    rows = running(sizes, order, "size", "upto")
+    # the number of sources is small, but it isn't bounded: Spark chooses the join
+    rows = rows.join(targets.withColumnRenamed("source", "s"), rows["source"].eqNullSafe(F.col("s"))).drop("s")
+    return rows.withColumn("upto", F.col("upto") - F.col("ahead")).drop("ahead")
 
 
-def _epochs_taken(cut: tuple | None, epochs: int) -> Column:
-    """How many copies of a document the mix takes."""
-    if cut is None:
-        return F.lit(0)
-    finish, key, epoch = cut
-    taken = F.lit(0)
-    for e in range(epochs):
-        at = (e * F.col("source_size") + F.col("upto")) / F.col("target")
-        taken = taken + F.when(F.struct(at, F.col("key"), F.lit(e)) <= F.struct(F.lit(finish), F.lit(key), F.lit(epoch)), 1).otherwise(0)
-    return F.when(F.col("size") > 0, taken).otherwise(0)
+def _mix(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
+    """A row for each copy of each document of some size, with finish, epoch, and whether the mix takes it."""
+    queued = _queued(sizes, weights, epochs).filter("size > 0")
+    copies = queued.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target"))
+    order = [F.col("finish"), F.col("key"), F.col("epoch"), F.col("source").asc_nulls_last(), F.col("upto")]
+    budget = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return running(copies, order, "size", "so_far").withColumn("taken", F.col("so_far") <= budget)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of each document."""
-    rows, cut = planned(docs, weights, epochs)
-    copies = _epochs_taken(cut, epochs)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
+    sizes = materialize(sizes_of(docs).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    first = {c: F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")}
+    taken = _mix(sizes, weights, epochs).groupBy("row").agg(*first.values(), F.count_if("taken").cast("int").alias("copies")).drop("row")
+    targets = source_targets(sizes, weights, epochs).withColumnRenamed("source", "s")
+    empty = sizes.filter("size = 0").join(targets, sizes["source"].eqNullSafe(F.col("s"))).select(*first, F.lit(0).alias("copies"))
+    return taken.unionByName(empty).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """The mix: the columns of ``docs``, a row for each copy taken, range-partitioned and sorted by virtual finish time."""
-    rows, cut = planned(docs, weights, epochs)
-    # equal rows share doc_id and size: one of their places stands for all of them
-    places = rows.groupBy("doc_id", "source", "size").agg(F.min("upto").alias("upto"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("key").alias("key"))
-    places = places.withColumn("_copies", _epochs_taken(cut, epochs)).filter("_copies > 0")
-    places = places.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_copies", (F.col("upto") / F.col("target")).alias("_finish"), (F.col("source_size") / F.col("target")).alias("_epoch"))
-    sized = docs.withColumn("_size", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
-    # doc_id alone is what the join is dealt by: a hash of it and of the source would deal no better
-    same = sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    copies = sized.join(places, same).withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    copies = copies.withColumn("_finish", F.col("_finish") + F.col("_e") * F.col("_epoch"))
-    return copies.repartitionByRange(partitions(docs.sparkSession), "_finish", "doc_id").sortWithinPartitions("_finish", "doc_id").select(*docs.columns)
+    """The mix: the columns and values of ``docs``, a row for each copy taken, range-sorted by virtual finish time."""
+    # the documents are written with their numbers: they meet their copies by these alone, which no two rows share
+    held = materialize(sizes_of_rows(docs), "documents")
+    taken = _mix(held.drop("whole"), weights, epochs).filter("taken").select("row", "finish")
+    copies = held.select("row", "whole").join(taken, "row")
+    return copies.repartitionByRange(partitions(docs.sparkSession), "finish", "row").sortWithinPartitions("finish", "row").select("whole.*")
+
+
+def sizes_of_rows(docs: DataFrame) -> DataFrame:
+    """``sizes_of`` with the whole row and its number."""
+    return sizes_of(docs.select("doc_id", "source", "text", whole(docs).alias("whole")), "whole").withColumn("row", F.monotonically_increasing_id())
 
 
 #: The same mix in SQL over a table ``documents``: sizes, targets by filling, finish times, and the cut at the total.
 ORACLE = r"""
-WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH sizes AS (SELECT row_number() OVER () AS rid, doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight FROM sizes GROUP BY source),
 filled AS (SELECT *, 3.0::DOUBLE * source_size AS most,
     (sum(source_size) OVER ()::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS share
     FROM per WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT source, source_size, CASE WHEN most <= weight * share THEN most ELSE weight * (SELECT arg_min(share, most / weight) FROM filled WHERE most > weight * share) END AS target FROM filled),
-queue AS (SELECT s.doc_id, s.size, t.source_size, t.target, md5(coalesce(s.doc_id::VARCHAR, '')) AS key,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+queue AS (SELECT s.*, t.source_size, t.target, sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.rid ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
     FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 copies AS (SELECT *, (e * source_size + upto)::DOUBLE / target AS finish FROM queue, range(3) r(e) WHERE size > 0),
-mix AS (SELECT *, sum(size) OVER (ORDER BY finish, key, e, size ROWS UNBOUNDED PRECEDING) AS upto_mix FROM copies),
-taken AS (SELECT doc_id, size, count(*) AS n FROM mix WHERE upto_mix <= (SELECT sum(size) FROM sizes) GROUP BY doc_id, size)
-SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(t.n, 0))::BIGINT AS taken, coalesce(t.n, 0)::INT AS copies
-FROM queue q LEFT JOIN taken t ON q.doc_id IS NOT DISTINCT FROM t.doc_id AND q.size = t.size
+mix AS (SELECT *, sum(size) OVER (ORDER BY finish, key, e, source NULLS LAST, upto ROWS UNBOUNDED PRECEDING) AS so_far FROM copies),
+taken AS (SELECT rid, count(*) AS n FROM mix WHERE so_far <= (SELECT sum(size) FROM sizes) GROUP BY rid)
+SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(t.n, 0))::BIGINT AS taken, coalesce(t.n, 0)::INT AS copies FROM queue q LEFT JOIN taken t USING (rid)
 """

@@ -8,16 +8,18 @@ pointwise mutual information of the two comes near all that there is to know abo
     PMI(term; entity) = log2(N n_te / (n_t n_e)),    IC(entity) = log2(N / n_e),    disclosure = PMI / IC
 
 over N distinct texts, where n_e hold the entity, n_t the term, and n_te the term within ``CONTEXT`` words of the entity, on
-whatever line.  Terms are words of two letters or more.  Terms of disclosure ``THRESHOLD`` or more near an entity of at least ``SUPPORT`` different texts are generalised (replaced
-by a label), those of ``REMOVE`` or more removed, in every document that has them.  All counts are over the whole corpus; copies of a text
-count once.
+whatever line.  Terms are words of two letters or more, in lower case.  Terms of disclosure ``THRESHOLD`` or more near an
+entity of at least ``SUPPORT`` different texts are generalised (replaced by a label that names the kind of the entity that
+they disclose most), those of ``REMOVE`` or more removed, in every document that has them.  All counts are over the whole
+corpus; copies of a text count once.
 
-The terms near entities go to the tasks as a Bloom filter of a fixed size, which only saves work: what passes is
-joined with the terms themselves.  So do the digests of texts that have copies: only the texts that pass are brought
-together by digest before their terms are counted.
+The terms near entities go to the tasks as a Bloom filter, sized from their count up to a bound, which only saves work:
+what passes is joined with the terms themselves.  So do the digests of texts that have copies: only the texts that pass
+are brought together by digest before their terms are counted.
 
 Defined results: a null text is an empty text; equal texts have equal spans, whatever their ids; null ids are kept; an
-empty table gives an empty result; other columns are ignored by ``personal_spans`` and kept by ``sanitised``.
+empty table gives an empty result; other columns are ignored by ``personal_spans`` and kept by ``sanitised``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,22 +27,20 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ._spark import materialize, small_batches, text_or_empty
+from ._spark import frame_slices, materialize, text_or_empty, whole
+from .bloom import Bloom, bloom_of
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, SUPPORT, THRESHOLD, REMOVE = 3, 3, 0.9, 0.999
-BLOOM_BITS, BLOOM_HASHES = 1 << 23, 4
 #: Words that a worker remembers about the filter; beyond it the table starts anew.
 KEEP = 400_000
 
@@ -132,10 +132,9 @@ def _near(text: str, spans: dict[str, list[Span]]) -> tuple[list[str], list[tupl
 
 def find_base(docs: DataFrame) -> DataFrame:
     """doc_id, digest, counts by kind, base_sha256, base (the spans), entities and near ((entity, term) pairs) of each document."""
-    small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in frame_slices(frames):
             rows = []
             for text in frame["text"]:
                 spans = base_spans(text)
@@ -153,64 +152,45 @@ def _digest():
     return F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
 
 
-def _positions(word: str) -> list[int]:
-    raw = word.encode()
-    a, b = zlib.crc32(raw), zlib.crc32(raw, 0x5BD1E995) | 1
-    return [(a + i * b) % BLOOM_BITS for i in range(BLOOM_HASHES)]
-
-
-def _filter_of(terms: DataFrame) -> np.ndarray:
-    """The Bloom filter of the column ``term``: its words of bits, a fixed number at most, reach the driver."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            at = np.array([p for t in frame["term"] for p in _positions(t)], np.int64)
-            yield pd.DataFrame({"word": at // 64, "bits": np.left_shift(np.uint64(1), (at % 64).astype(np.uint64)).view(np.int64)})
-
-    words = terms.mapInPandas(run, "word bigint, bits bigint").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
-    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
-def _has(bits: np.ndarray, word: str) -> bool:
-    return all(int(bits[p >> 6]) >> (p & 63) & 1 for p in _positions(word))
+def terms_of(text: str) -> set[str]:
+    """The distinct terms of a text.  Each word is lowered by itself, as where its span is reported."""
+    return {t.lower() for t in {*_TERM.findall(text)}}
 
 
 class _Passes:
     """Which words the filter passes; remembers a bounded number of them."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.known = bits, {}
+    def __init__(self, filter_: Bloom):
+        self.filter, self.known = filter_, {}
 
     def __call__(self, words: set[str]) -> list[str]:
         known = self.known
         if len(known) > KEEP:
             known.clear()
         for w in words.difference(known):
-            known[w] = _has(self.bits, w)
+            known[w] = w in self.filter
         return [w for w in words if known[w]]
 
 
-def _term_counts(docs: DataFrame, bits: np.ndarray, copied: np.ndarray) -> DataFrame:
+def _term_counts(docs: DataFrame, sought: Bloom, copied: Bloom) -> DataFrame:
     """term and n_t (distinct texts that have it) of the words that the filter passes.
 
     Counted in each task first, but for texts whose digests pass the filter of those that have copies: each of these
     goes once by its digest, with its terms.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((bits, copied))  # twice BLOOM_BITS bits
+    shared = docs.sparkSession.sparkContext.broadcast((sought, copied))  # a bounded number of bits
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, copied = shared.value
-        passes, counts, seen = _Passes(bits), Counter(), set()
+        sought, copied = shared.value
+        passes, counts, seen = _Passes(sought), Counter(), set()
         table = lambda: pd.DataFrame({"copied": False, "key": [t.encode() for t in counts], "terms": list(counts), "n": list(counts.values())})
-        for frame in frames:
+        for frame in frame_slices(frames):
             apart = []
             for digest, text in zip(frame["digest"], frame["text"], strict=True):
                 if digest in seen:
                     continue
-                terms = passes({*_TERM.findall(text.lower())})
-                if not _has(copied, digest.hex()):
+                terms = passes(terms_of(text))
+                if digest not in copied:
                     counts.update(terms)
                     continue
                 if len(seen) > KEEP:
@@ -230,24 +210,31 @@ def _term_counts(docs: DataFrame, bits: np.ndarray, copied: np.ndarray) -> DataF
     return each.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def outside(text: str, sought: set[str], spans: list[Span]) -> dict[str, list[str]]:
+    """Places (start:end) of the terms sought, but for those that touch a span; both are walked once, in order."""
+    out: dict[str, list[str]] = {}
+    spans, at = sorted(spans), 0
+    reach = -1  # where the spans that begin before the term end
+    for m in _TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][1])
+            at += 1
+        if m.start() >= reach and (term := m[0].lower()) in sought:
+            out.setdefault(term, []).append(f"{m.start()}:{m.end()}")
+    return out
+
+
+def _occurrences(docs: DataFrame, sought: Bloom) -> DataFrame:
     """digest, term and spans of the words of each document that the filter passes, but for those within base spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # BLOOM_BITS bits
+    shared = docs.sparkSession.sparkContext.broadcast(sought)  # a bounded number of bits
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passes = _Passes(shared.value)
-        for frame in frames:
+        for frame in frame_slices(frames):
             rows = []
             for digest, text in zip(frame["digest"], frame["text"], strict=True):
-                if not (sought := {*passes({*_TERM.findall(text.lower())})}):
-                    continue
-                base = [s for spans in base_spans(text).values() for s in spans]
-                found: dict[str, list[str]] = {}
-                for m in _TERM.finditer(text):
-                    term = m[0].lower()
-                    if term in sought and not any(a < m.end() and m.start() < b for a, b in base):
-                        found.setdefault(term, []).append(f"{m.start()}:{m.end()}")
-                rows += [(digest, t, s) for t, s in found.items()]
+                if own := {*passes(terms_of(text))}:
+                    rows += [(digest, t, s) for t, s in outside(text, own, [s for spans in base_spans(text).values() for s in spans]).items()]
             yield pd.DataFrame(rows, columns=["digest", "term", "spans"])
 
     rows = docs.select(_digest().alias("digest"), text_or_empty().alias("text"))
@@ -255,26 +242,28 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, remove: float = REMOVE) -> DataFrame:
-    """term and kind (removed or general) of the terms that disclose an entity."""
+    """term and kind (removed, or general- and the kind of the entity) of the terms that disclose an entity."""
     texts = found.groupBy("digest").agg(F.count("*").alias("copies"))
-    copied = texts.filter("copies > 1").select(F.lower(F.hex("digest")).alias("term"))
+    copied = texts.filter("copies > 1").select("digest")
     once = materialize(found.filter(F.size("entities") > 0).dropDuplicates(["digest"]).select("entities", "near"), "once")
     pairs = once.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"))
     likely = materialize(pairs.filter(F.col("n_te") >= support), "likely")
-    often = _term_counts(docs, _filter_of(likely.select("term").distinct()), _filter_of(copied))
+    often = _term_counts(docs, bloom_of(likely.select("term").distinct()), bloom_of(copied))
     entities = once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     n = F.lit(float(max(texts.count(), 1)))
     scored = likely.join(often, "term").join(entities, "entity")
     content = F.log2(n / F.col("n_e"))
     scored = scored.withColumn("disclosure", F.when(content > 0, F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / content).otherwise(0.0))
-    flagged = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold)
-    return flagged.select("term", F.when(F.col("disclosure") >= remove, "removed").otherwise("general").alias("kind"))
+    # hashed entities have no kind in their names: it is told by their groups, which disclose as much or less
+    kind = F.when(F.split("entity", ":")[0].isin(*KINDS), F.split("entity", ":")[0])
+    flagged = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.max(F.when(kind.isNotNull(), F.struct("disclosure", kind.alias("kind")))).alias("of")).filter(F.col("disclosure") >= threshold)
+    return flagged.select("term", F.when(F.col("disclosure") >= remove, "removed").otherwise(F.concat(F.lit("general-"), F.coalesce("of.kind", F.lit("any")))).alias("kind"))
 
 
 def _added(docs: DataFrame, found: DataFrame) -> DataFrame:
     """digest and added (a list of kind:start:end) of the texts with revealing terms."""
     terms = materialize(revealing_terms(docs, found), "terms")
-    seen = _occurrences(docs, _filter_of(terms)).join(terms, "term").dropDuplicates(["digest", "term"])
+    seen = _occurrences(docs, bloom_of(terms.select("term"))).join(terms, "term").dropDuplicates(["digest", "term"])
     each = seen.select("digest", F.transform("spans", lambda s: F.concat(F.col("kind"), F.lit(":"), s)).alias("spans"))
     return materialize(each.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("added")), "added")
 
@@ -282,15 +271,16 @@ def _added(docs: DataFrame, found: DataFrame) -> DataFrame:
 def personal_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each document."""
     found = materialize(find_base(docs), "personal")
+    # texts with revealing terms are few: Spark broadcasts them below its size limit, and else splits the skewed digests of ``found``
     both = found.drop("entities", "near").join(_added(docs, found), "digest", "left")
-    place = lambda s: F.struct((F.split(s, ":")[0] == "general").alias("k"), F.split(s, ":")[1].cast("int").alias("a"), s.alias("s"))
+    place = lambda s: F.struct(F.startswith(s, F.lit("general")).alias("k"), F.split(s, ":")[1].cast("int").alias("a"), s.alias("s"))
     extra = F.transform(F.sort_array(F.transform(F.coalesce("added", F.array().cast("array<string>")), place)), lambda x: x["s"])
     spans = F.array_join(F.array_compact(F.array(F.nullif("base", F.lit("")), F.nullif(F.array_join(extra, ","), F.lit("")))), ",")
     return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
 
 
 #: What stands for a span of each kind in a sanitised text.
-LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "general": "<TERM>", "removed": ""}
+LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "removed": "", "general-any": "<TERM>"} | {f"general-{k}": f"<{k.upper()}-TERM>" for k in KINDS}
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -306,7 +296,7 @@ def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced, and n_chars (if there is such a column) counted anew."""
     found = materialize(find_base(docs), "personal")
-    rows = docs.withColumn("_digest", _digest()).join(_added(docs, found).withColumnRenamed("digest", "_of"), F.col("_digest") == F.col("_of"), "left")
+    rows = docs.select(whole(docs).alias("row"), "text", _digest().alias("digest")).join(_added(docs, found), "digest", "left")
 
     def clean(texts: pd.Series, added: pd.Series) -> pd.Series:
         out = []
@@ -321,10 +311,11 @@ def sanitised(docs: DataFrame) -> DataFrame:
             out.append(replaced(text, spans) if spans else text)
         return pd.Series(out, dtype=object)
 
-    rows = rows.withColumn("text", F.pandas_udf(clean, StringType())("text", "added"))
+    rows = rows.select("row", F.pandas_udf(clean, StringType())("text", "added").alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def disclosure(n: int, n_t: int, n_e: int, n_te: int) -> float:

@@ -1,6 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-A document's features are its words (hashed into ``WORD_SLOTS``, damped counts of unit length together), the bins of its
+A document's features are its words (in lower case, hashed into ``WORD_SLOTS``, the counts of a slot summed, damped, and
+of unit length together), the bins of its
 structure statistics and the bins of its metadata columns.  The score is the logistic of
 
     bias + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
@@ -12,7 +13,7 @@ documents, those of the least hashes of their ids; every document is scored over
 
 Defined results: a null text is an empty text; an empty text has a score from its statistics; a null in a metadata column
 has a bin of its own; rows with a null doc_id or label are not learned from, but scored; equal texts and metadata have
-equal scores; without labelled rows the score is 0.5; an empty table gives an empty result.
+equal scores; of rows that share a doc_id one is learned from, the same in each run; without labelled rows the score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import small_batches
+from ._spark import frame_slices
 
 WORD_SLOTS, RANK = 1 << 15, 8
 #: Labelled documents that the machine is fitted on, at most.
@@ -60,8 +61,10 @@ def words_of(raw: bytes) -> tuple[list[bytes], Counter]:
 
 def word_features(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of the words; the values have unit length together."""
-    slots = np.array([zlib.crc32(w.lower()) for w in counts], np.int64) % WORD_SLOTS
-    values = np.log1p(np.array(list(counts.values()), np.float32))
+    hashed = np.array([zlib.crc32(w.lower()) for w in counts], np.int64) % WORD_SLOTS
+    # words of one slot, be it by case or by chance, are one feature: their counts add up before they are damped
+    slots, at = np.unique(hashed, return_inverse=True)
+    values = np.log1p(np.bincount(at, np.array(list(counts.values()), np.float64), len(slots)).astype(np.float32))
     return slots, values / max(float(np.sqrt((values * values).sum())), 1e-9)
 
 
@@ -138,11 +141,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] =
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("_label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # sample_rows ids at most: a bounded table
-    rows = docs.select("doc_id", "text", *metadata).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).limit(sample_rows)
-    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text", *metadata).join(F.broadcast(chosen), "doc_id")
+    # of several rows with one doc_id, the least by the hash of what is learned from
+    row = F.struct(F.xxhash64("text", *metadata).alias("_hash"), "_label", "text", *metadata)
+    rows = rows.groupBy("doc_id").agg(F.min(row).alias("_row")).select("doc_id", "_row.*")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in frame_slices(frames):
             made = [_features(r[0], list(r[1:])) for r in frame[["text", *metadata]].itertuples(index=False)]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["_label"], "slots": [x[0].astype("<u2").tobytes() for x in made], "vals": [x[1].astype("<f4").tobytes() for x in made], "stats": [x[2] for x in made]})
 
@@ -159,13 +164,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] =
 
 def score_quality(docs: DataFrame, machine: Machine | None, metadata: tuple[str, ...] = METADATA) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
-    small_batches(docs.sparkSession)
     # the weights have a fixed size: slots times (rank + 1) floats
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        for frame in frames:
+        for frame in frame_slices(frames):
             if own is None:
                 yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": 0.5})
                 continue

@@ -4,10 +4,12 @@ Each document's character-class histogram and common-word histogram is compared
 the Jensen-Shannon distance.  The references are the mean shares of all documents of the language in the corpus that pass
 the base rules, so they come from one aggregation with a row for each of the (fixed, four) languages.
 
-Defined results: a null text is an empty text; an empty text has no words and fails the base rules; a text whose
-language has no reference (or no common word at all in a corpus without references) is judged by the base rules
-alone; equal rows are judged alike; an empty table gives an empty result; other columns of the input pass through
-``measure`` unless they bear the name of one of ``MEASURES``, which then replaces them.
+A text without a single common word is in none of these languages (its language is null).  Its classes are compared with
+those of all languages together, letters of whatever script and case as one class, and its words with nothing.
+
+Defined results: a null text is an empty text; an empty text has no words and fails the base rules; a text whose language
+has no reference is judged by the base rules alone; equal rows are judged alike; an empty table gives an empty result;
+other columns of the input are ignored by ``quality_rules`` and kept by ``kept_documents``, whatever their names.
 
 The texts are read once: counts and histograms are written to the shared folder, and references and verdicts come from
 that narrow table.
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialize, text_or_empty
+from ._spark import materialize, text_or_empty, whole
 
 # Frequent function words by language.
 COMMON_WORDS = {
@@ -101,12 +103,9 @@ def _repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_grams", "_some", "_bits", "_sorted", "_met", "_pairs")
 
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "language", "_classes", "_common"]
-
-
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base counts and the two histograms: one narrow pass over the texts."""
-    df = _repeated(_histograms(docs.drop(*MEASURES)))
+    """``docs`` (text, and columns whose names aren't made here) with the base counts and the two histograms, in one pass."""
+    df = _repeated(_histograms(docs))
     df = df.withColumn("_lines", F.filter(F.split(text_or_empty(), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     return df.drop("_words", "_lines")
@@ -116,24 +115,34 @@ def base_failed(min_words: int = MIN_WORDS) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def language_references(measured: DataFrame, min_words: int = MIN_WORDS) -> dict[str, dict[str, list[float]]]:
+def language_references(measured: DataFrame, min_words: int = MIN_WORDS) -> dict[str | None, dict[str, list[float]]]:
     """Mean shares of each class and common word by language, over all documents that pass the base rules.
 
     A document's shares are whole millionths, so that their sums don't depend on the order, and a long document counts
-    as much as a short one.  One row for each language of ``COMMON_WORDS`` at most reaches the driver.
+    as much as a short one.  Those of all languages together, with merged classes, are under None.  One row for each language of ``COMMON_WORDS`` at most reaches the driver.
     """
     df = measured.filter(~base_failed(min_words) & F.col("language").isNotNull())
     whole = {"_classes": "word_chars", "_common": "n_words"}
     sums = lambda c, n: [F.sum(F.expr(f"{c}[{i}] * 1000000L div {whole[c]}")).alias(f"{c}{i}") for i in range(n)]
     sizes = {"_classes": len(CLASSES) + 1, "_common": len(COMMON_WORDS["en"]) + 1}
-    refs = {}
+    refs, pooled, pooled_words = {}, [0] * 4, 0
     for r in df.groupBy("language").agg(F.sum("n_words").alias("n"), *sums("_classes", sizes["_classes"]), *sums("_common", sizes["_common"])).collect():
         if r["n"] >= MIN_REFERENCE_WORDS:
             counts = {c: [r[f"{c}{i}"] for i in range(n)] for c, n in sizes.items()}
             refs[r["language"]] = {c: [x / sum(v) for x in v] for c, v in counts.items()}
+        pooled = [a + b for a, b in zip(pooled, merged_classes([r[f"_classes{i}"] for i in range(sizes["_classes"])]), strict=True)]
+        pooled_words += r["n"]
+    if pooled_words >= MIN_REFERENCE_WORDS:
+        refs[None] = {"_classes": [x / sum(pooled) for x in pooled]}
     return refs
 
 
+def merged_classes(counts: list) -> list:
+    """Counts by class with letters (lower, upper and other) as one class."""
+    lower, upper, digit, symbol, punct, other = counts
+    return [lower + upper + other, digit, symbol, punct]
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Square root of the Jensen-Shannon divergence (base 2) of two arrays of shares."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
@@ -149,18 +158,22 @@ def judge(measured: DataFrame, references: dict, min_words: int = MIN_WORDS) ->
         shares = F.transform(counts, lambda x: x / F.col(total))  # noqa: B023
         distance = F.lit(None).cast("double")
         for lang, ref in references.items():
+            if lang is None:
+                continue
             distance = F.when(judged & (F.col("language") == lang), js_distance(shares, F.array(*map(F.lit, ref[counts])))).otherwise(distance)
         df = df.withColumn(f"js_{kind}", distance)
-    if references:  # a long text without a single common word is as far from every reference as can be
-        df = df.withColumn("js_words", F.when(judged & F.col("language").isNull(), F.lit(1.0)).otherwise(F.col("js_words")))
+    if None in references:
+        shares = F.array(*merged_classes([F.col("_classes")[i] / F.col("word_chars") for i in range(len(CLASSES) + 1)]))
+        far = js_distance(shares, F.array(*map(F.lit, references[None]["_classes"])))
+        df = df.withColumn("js_classes", F.when(judged & F.col("language").isNull(), far).otherwise(F.col("js_classes")))
     within = [F.coalesce(F.col(f"js_{k}") <= limit + slack / F.sqrt(F.col("n_words")), F.lit(True)) for k, (limit, slack) in LIMITS.items()]
     return df.withColumn("kept", ~F.col("base_failed") & within[0] & within[1])
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``."""
-    measured = materialize(measure(docs), "quality")
-    return judge(measured, language_references(measured)).filter("kept").select(*docs.columns)
+    """The documents that the rules keep, with the columns and values of ``docs``."""
+    measured = materialize(measure(docs.select(whole(docs).alias("row"), "text")).drop("text"), "quality")
+    return judge(measured, language_references(measured)).filter("kept").select("row.*")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -195,6 +208,10 @@ def oracle() -> str:
             terms.append(f"({part(p, m)} + {part(q, m)})")
         return f"sqrt(greatest(({' + '.join(terms)}) / 2, 0))"
 
+    sums = [millionths("classes", i, "word_chars") for i in range(n_classes + 1)]
+    pooled = [f"({sums[0]} + {sums[1]} + {sums[5]})", *sums[2:5]]
+    pool = "[" + ", ".join(f"{x}::DOUBLE / ({' + '.join(pooled)})" for x in pooled) + "]"
+    merged = "[m.classes[1] / m.word_chars + m.classes[2] / m.word_chars + m.classes[6] / m.word_chars, m.classes[3] / m.word_chars, m.classes[4] / m.word_chars, m.classes[5] / m.word_chars]"
     limit = {k: f"{a} + {b} / sqrt(n_words)" for k, (a, b) in LIMITS.items()}
     return rf"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -207,9 +224,11 @@ b AS (SELECT *, greatest({', '.join(f'h_{x}' for x in langs)}) AS best FROM h),
 m AS (SELECT rid, doc_id, n_words, word_chars, n_symbols, classes, {pick(lambda x: quoted(x), 'NULL')} AS language, {pick(lambda x: f'list_append(c_{x}, n_words - best)', 'NULL')} AS common FROM b),
 s AS (SELECT m.*, coalesce(a.n, 0) AS n_repeat_words FROM m LEFT JOIN again a USING (rid)),
 refs AS (SELECT language, {share('classes', n_classes + 1, 'word_chars')} AS rc, {share('common', n_common + 1, 'n_words')} AS rw FROM s WHERE n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= 50 * n_words AND language IS NOT NULL GROUP BY language HAVING sum(n_words) >= {MIN_REFERENCE_WORDS}),
-j AS (SELECT m.*, d.n AS n_dup_lines, CASE WHEN m.n_words >= {MIN_WORDS} THEN {js('m.classes', 'm.word_chars', 'f.rc', n_classes + 1)} END AS jc,
-  CASE WHEN m.n_words >= {MIN_WORDS} AND m.language IS NULL AND (SELECT count(*) FROM refs) > 0 THEN 1.0 WHEN m.n_words >= {MIN_WORDS} THEN {js('m.common', 'm.n_words', 'f.rw', n_common + 1)} END AS jw
-  FROM s m JOIN dups d USING (rid) LEFT JOIN refs f ON f.language = m.language),
+pool AS (SELECT {pool} AS rc FROM s WHERE n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= 50 * n_words AND language IS NOT NULL HAVING sum(n_words) >= {MIN_REFERENCE_WORDS}),
+m2 AS (SELECT m.*, {merged} AS merged, (SELECT any_value(rc) FROM pool) AS pc FROM s m),
+j AS (SELECT m.*, d.n AS n_dup_lines, CASE WHEN m.n_words >= {MIN_WORDS} AND m.language IS NULL THEN {js('m.merged', '1', 'm.pc', 4)} WHEN m.n_words >= {MIN_WORDS} THEN {js('m.classes', 'm.word_chars', 'f.rc', n_classes + 1)} END AS jc,
+  CASE WHEN m.n_words >= {MIN_WORDS} THEN {js('m.common', 'm.n_words', 'f.rw', n_common + 1)} END AS jw
+  FROM m2 m JOIN dups d USING (rid) LEFT JOIN refs f ON f.language = m.language),
 k AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND coalesce(jc <= {limit['classes']}, true) AND coalesce(jw <= {limit['words']}, true) AS kept, language FROM k

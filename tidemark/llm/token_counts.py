@@ -1,10 +1,11 @@
 """Token counts from distinct pre-tokens, without ids.
 
-A task turns a block of documents into an inverted table: for each distinct pre-token of the block, the documents that
-hold it and how often.  The table is dealt by pre-token into buckets, packed as one row for each bucket and block, and
-meets there the same pre-tokens of all other blocks, so that each distinct pre-token is counted once in its bucket.
-Joined there to the frequencies, the counts go back to the blocks as sums for each document.  Pre-tokens that are in
-many documents of a block are dealt over ``SALTS`` buckets, so that none of them makes a bucket heavy.
+Per-document pre-token frequencies are written as a table of blocks of documents: a block has its documents, its distinct
+pre-tokens, and for each of these the documents that hold it and how often.  The distinct pre-tokens of all blocks are one
+aggregation; the tokenizer counts the pieces of each of them once.  A join on the pre-token brings the counts to the
+blocks' pre-tokens, and a join on the block to the frequencies, where pieces times frequency is summed by document.
+
+A frequent pre-token is one row for each block, so it makes no task heavy: a block has thousands of pre-tokens.
 
 Defined results: a null text is an empty text of no bytes and no tokens; equal rows give equal rows; null ids are kept;
 an empty table gives an empty result; other columns of the input are ignored, whatever their names.
@@ -12,40 +13,22 @@ an empty table gives an empty result; other columns of the input are ignored, wh
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions, small_batches
+from ._spark import materialize, slices
 from .bpe import PRE_TOKEN
 
-#: Characters and documents of a block; places of documents in it are 16-bit numbers.
-BLOCK_CHARS, BLOCK_DOCS = 1 << 23, 1 << 16
-#: A pre-token in at least a 16th of a block's documents is dealt over so many buckets.
-SALTS, FREQUENT = 16, 1 / 16
-#: Pre-tokens whose counts a worker keeps at most; beyond it the table starts anew.
-KEEP = 500_000
-
-_ROW = "block binary, bucket int, docs binary, tokens binary, postings binary"
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
-
+#: Characters and documents of a block; a document's place in it is a 16-bit number.
+BLOCK_CHARS, BLOCK_DOCS = 1 << 22, (1 << 15) - 1
 
-def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = np.frombuffer(raw, "<u4", len(types), 4)
-    ends = 4 * (len(types) + 1) + np.cumsum(sizes)
-    return [np.frombuffer(raw[e - n : e], t) for t, n, e in zip(types, sizes.tolist(), ends.tolist(), strict=True)]
+#: holders and docs, freqs: how many documents hold each pre-token, then which they are and how often, pre-token by pre-token.
+_BLOCK = "block bigint, ids array<bigint>, n_bytes array<bigint>, tokens array<string>, holders array<int>, docs array<smallint>, freqs array<int>"
 
 
 class _Cutter:
@@ -65,8 +48,8 @@ class _Cutter:
         return out + self.cut.findall(text[at:])
 
 
-def _block_rows(ids: list, texts: list[str], cut: _Cutter, n_buckets: int, name: bytes) -> Iterator[tuple]:
-    """One row with the block's documents, then one for each bucket that it has pre-tokens for."""
+def _block(name: int, ids: list, texts: list[str], cut: _Cutter) -> pa.RecordBatch:
+    """The row of a block."""
     known: dict[str, int] = {}
     codes, sizes = [], []
     for text in texts:
@@ -75,36 +58,14 @@ def _block_rows(ids: list, texts: list[str], cut: _Cutter, n_buckets: int, name:
             known[x] = len(known)
         codes += [known[x] for x in tokens]
         sizes.append(len(tokens))
-    n_docs = len(texts)
-    n_bytes = np.array([len(x.encode()) for x in texts], "<i8")
-    present = np.array([x is not None for x in ids], "<u1")
-    yield name, -1, _pack(np.array([x or 0 for x in ids], "<i8"), present, n_bytes), None, None
-    if not codes:
-        return
-    # by pre-token, then document: the inverted table with frequencies
-    keys, freq = np.unique(np.array(codes, np.int64) * n_docs + np.repeat(np.arange(n_docs), sizes), return_counts=True)
-    token, doc = np.divmod(keys, n_docs)
-    df = np.bincount(token, minlength=len(known))
-    words = [x.encode() for x in known]
-    salt = int.from_bytes(name[:4], "little") % SALTS
-    bucket = np.array([zlib.crc32(w) for w in words], np.int64)
-    bucket = np.where(df >= FREQUENT * n_docs, bucket + salt * 7919, bucket) % n_buckets
-    order = np.argsort(bucket[token], kind="stable")  # postings by bucket, in it by pre-token
-    doc, freq = doc[order].astype("<u2"), freq[order].astype("<u4")
-    by = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-    upto = np.concatenate([[0], np.cumsum(df[by])])
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        own = by[cuts[b] : cuts[b + 1]].tolist()
-        lo, hi = upto[cuts[b]], upto[cuts[b + 1]]
-        texts_ = [words[i] for i in own]
-        joined = np.frombuffer(b"".join(texts_), "<u1")
-        yield name, b, None, _pack(np.array([len(x) for x in texts_], "<u4"), joined), _pack(df[own].astype("<u4"), doc[lo:hi], freq[lo:hi])
-
-
-def _batch(rows: list[tuple], types: list) -> pa.RecordBatch:
-    names = [f"c{i}" for i in range(len(types))]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+    n = len(texts)
+    # by pre-token, then document
+    keys, freqs = np.unique(np.array(codes, np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+    token, doc = np.divmod(keys, n)
+    holders = np.bincount(token, minlength=len(known))
+    one = lambda values, kind: pa.array([values], pa.list_(kind))
+    columns = [pa.array([name], pa.int64()), one(ids, pa.int64()), one([len(x.encode()) for x in texts], pa.int64()), one([*known], pa.string()), one(holders, pa.int32()), one(doc.astype(np.int16), pa.int16()), one(freqs, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _BLOCK.split(", ")])
 
 
 def _tokenizer(path: str):
@@ -119,73 +80,57 @@ def _tokenizer(path: str):
     return own
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    n_buckets = partitions(spark)
-    named = lambda b, schema: b.rename_columns([x.split()[0] for x in schema.split(", ")])
+def frequencies(docs: DataFrame, path: str) -> DataFrame:
+    """The blocks of all documents."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = _Cutter([x.content for x in _tokenizer(path).get_added_tokens_decoder().values()])
-        types, ids, texts, size, n = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], [], [], 0, 0
-        part = TaskContext.get().partitionId()
-
-        def flush():
-            nonlocal ids, texts, size, n
-            name = hashlib.blake2b(f"{part},{n}".encode(), digest_size=12).digest()
-            n += 1
-            for row in _block_rows(ids, texts, cut, n_buckets, name):
-                yield named(_batch([row], types), _ROW)
-            ids, texts, size = [], [], 0
-
-        for batch in batches:
+        name, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in slices(batches):
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(x or "")
                 size += len(texts[-1])
                 if size >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
-                    yield from flush()
+                    yield _block(name, ids, texts, cut)
+                    name, ids, texts, size = name + 1, [], [], 0
         if ids:
-            yield from flush()
+            yield _block(name, ids, texts, cut)
+
+    return docs.select(docs["doc_id"].cast("bigint"), docs["text"]).mapInArrow(invert, _BLOCK)
+
 
-    part_sums = "block binary, docs binary, sums binary"
+def piece_counts(tokens: DataFrame, path: str) -> DataFrame:
+    """token and pieces of each of the distinct pre-tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(path), {}
-        types = [pa.binary()] * 3
+        tokenizer = _tokenizer(path)
+        for batch in batches:
+            found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(e) for e in found], pa.int64())], names=["token", "pieces"])
+
+    return tokens.mapInArrow(count, "token string, pieces bigint")
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each document."""
+    blocks = materialize(frequencies(docs, path), "frequencies")
+    tokens = blocks.select("block", F.posexplode("tokens").alias("at", "token"))
+    counted = piece_counts(tokens.select("token").distinct(), path)
+    # a block's pre-tokens are at most its characters: the lists are bounded
+    own = tokens.join(counted, "token").groupBy("block").agg(F.collect_list(F.struct("at", "pieces")).alias("counts"))
+    own = own.select("block", F.col("counts.at").alias("at"), F.col("counts.pieces").alias("pieces"))
+    rows = blocks.drop("tokens").join(own, "block", "left")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, docs_, tokens, postings in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "tokens", "postings")), strict=True):
-                if docs_ is not None:
-                    yield named(_batch([(name, docs_, None)], types), part_sums)
-                    continue
-                lengths, joined = _unpack(tokens, "<u4", "<u1")
-                ends = np.cumsum(lengths).tolist()
-                raw = joined.tobytes()
-                words = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                if len(known) > KEEP:
-                    known.clear()
-                if new := [w for w in words if w not in known]:
-                    known.update(zip(new, (len(e) for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
-                df, doc, freq = _unpack(postings, "<u4", "<u2", "<u4")
-                pieces = np.repeat(np.array([known[w] for w in words], np.int64), df) * freq
-                sums = np.bincount(doc, weights=pieces).astype("<i8")
-                own = np.flatnonzero(sums)
-                yield named(_batch([(name, None, _pack(own.astype("<u2"), sums[own]))], types), part_sums)
-
-    out = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
-
-    def gather(table):
-        head = next(x for x in table.column("docs").to_pylist() if x is not None)
-        ids, present, n_bytes = _unpack(head, "<i8", "<u1", "<i8")
-        total = np.zeros(len(ids), np.int64)
-        for blob in table.column("sums").to_pylist():
-            if blob is not None:
-                at, sums = _unpack(blob, "<u2", "<i8")
-                total[at] += sums
-        return pa.table([pa.array(ids, mask=present == 0), n_bytes, total, total > limit], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    rows = docs.select(docs["doc_id"].cast("bigint"), docs["text"]).mapInArrow(invert, _ROW)
-    # the block's own row needs no bucket: any will do
-    to = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("block"), F.lit(n_buckets)))
-    return rows.repartitionById(n_buckets, to.cast("int")).mapInArrow(count, part_sums).groupBy("block").applyInArrow(gather, out)
+            for i in range(len(batch)):
+                ids, n_bytes, holders, docs_, freqs, at, pieces = (batch.column(c)[i].values for c in ("ids", "n_bytes", "holders", "docs", "freqs", "at", "pieces"))
+                total = np.zeros(len(ids), np.int64)
+                if at is not None:
+                    by_token = np.zeros(len(holders), np.int64)
+                    by_token[at.to_numpy()] = pieces.to_numpy()
+                    np.add.at(total, docs_.to_numpy(), np.repeat(by_token, holders.to_numpy()) * freqs.to_numpy())
+                yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    return rows.mapInArrow(sums, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

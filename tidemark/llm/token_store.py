@@ -9,13 +9,14 @@ File format: a Parquet table with a row for each shard, in ascending doc_id orde
     dict_sha256     hash of the dictionary that its frames need
     width           bytes of an id, 2 or 4
     base            ids in earlier shards of the part
+    first, last     the least and greatest doc_id of the shard, null without any: shards without a doc_id are skipped by them
     doc_ids, known  one 64-bit doc_id for each document, and 1 where it is not null
     n_ids           ids of each document
     offsets         where each document's frame begins in ``frames``, and where the last ends
     frames          the documents' zstandard frames end to end
 
 Documents with a null doc_id come first; rows of equal doc_id are ordered by the hash of their ids.  A null text is an
-empty text: its only id is the end id.  An empty table gives an empty store.  Other columns are ignored.
+empty text: its only id is the end id.  Equal rows are documents of their own.  An empty table gives an empty store.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize, partitions, small_batches
+from ._spark import materialize, partitions, slices
 from .bpe import spread, text_chunks
 
 #: Documents and bytes that the dictionary may be trained on, and its size.
@@ -40,7 +41,7 @@ SHARD_BYTES = 4 << 20
 #: Words whose ids a worker keeps at most; beyond it the table starts anew.
 KEEP = 800_000
 
-SHARD = "part int, seq int, dict_sha256 string, width int, base bigint, total bigint, doc_ids binary, known binary, n_ids binary, offsets binary, frames binary"
+SHARD = "part int, seq int, dict_sha256 string, width int, base bigint, total bigint, first bigint, last bigint, doc_ids binary, known binary, n_ids binary, offsets binary, frames binary"
 
 
 class WordTable:
@@ -110,18 +111,33 @@ def _raw(ids: np.ndarray, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, path: str, end: int) -> bytes:
-    """A dictionary from at most ``SAMPLE_DOCS`` whole documents, the least by the hash of their ids; empty if they are too few."""
+    """A dictionary from whole documents of a bounded sample.
+
+    The sample is the ``SAMPLE_DOCS`` documents of the least hashes of their ids; one that doesn't fit in what those before
+    it leave of ``SAMPLE_BYTES`` is passed over, whatever its length.  The dictionary is empty, and frames are compressed
+    without one, where the sample is too little to learn from.
+    """
     # SAMPLE_DOCS ids at most: a bounded table; texts are read for them alone
-    chosen = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").filter(F.octet_length("text") <= SAMPLE_BYTES // 64).limit(SAMPLE_DOCS).collect()
-    texts = [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "")) if r["text"]]
+    chosen = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    near = docs.select("doc_id", "text", F.octet_length("text").alias("n")).filter("n > 0").join(F.broadcast(chosen), "doc_id", "left_semi")
+    sized = near.select(*(c.alias(f"k{i}") for i, c in enumerate(order)), "n").orderBy("k0", "k1", "k2").limit(SAMPLE_DOCS).collect()
+    left, taken = SAMPLE_BYTES, set()
+    for r in sized:
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.add((r["k1"], r["k2"]))
+    if not taken:
+        return b""
+    fits = F.broadcast(docs.sparkSession.createDataFrame([*taken], "doc_id bigint, hash bigint"))  # SAMPLE_DOCS rows at most
+    rows = near.withColumn("hash", order[2]).withColumn("doc_id", F.col("doc_id").cast("bigint")).join(fits, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"]).collect()
+    texts = [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["hash"]))]
     table, samples, size = WordTable(path), [], 0
     for chunk in text_chunks(texts):
         ids, counts = table.encode(chunk, end)
         for part in np.split(ids, np.cumsum(counts)[:-1]):
-            if size < SAMPLE_BYTES:
-                samples.append(_raw(part, table.width))
-                size += len(samples[-1])
+            samples.append(_raw(part, table.width))
+            size += len(samples[-1])
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, size // 20)), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to learn from
@@ -135,23 +151,22 @@ def _dictionary(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 def write_store(docs: DataFrame, path: str, dictionary: bytes, end: int = 1) -> DataFrame:
     """The shards of all documents in ascending doc_id order, written to the shared folder."""
     spark = docs.sparkSession
-    small_batches(spark)
     sha = hashlib.sha256(dictionary).hexdigest()
-    frame_cols = "doc_id bigint, width int, n_ids bigint, tie binary, frame binary"
+    frame_cols = "doc_id bigint, width int, n_ids bigint, tie bigint, frame binary"
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path)
         zipped = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
-        for batch in batches:
+        for batch in slices(batches):
             frames, sizes, ties = [], [], []
             for texts in text_chunks(x or "" for x in batch.column(1).to_pylist()):
                 ids, counts = table.encode(texts, end)
                 raw, ends = _raw(ids, table.width), (np.cumsum(counts) * table.width).tolist()
                 for a, b in zip([0, *ends], ends, strict=False):
                     frames.append(zipped.compress(raw[a:b]))
-                    ties.append(hashlib.blake2b(raw[a:b], digest_size=8).digest())
+                    ties.append(zlib.crc32(raw[a:b]))
                 sizes += counts.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([table.width] * len(sizes), pa.int32()), pa.array(sizes, pa.int64()), pa.array(ties, pa.binary()), pa.array(frames, pa.binary())], names=["doc_id", "width", "n_ids", "tie", "frame"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([table.width] * len(sizes), pa.int32()), pa.array(sizes, pa.int64()), pa.array(ties, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "width", "n_ids", "tie", "frame"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, base, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
@@ -160,8 +175,9 @@ def write_store(docs: DataFrame, path: str, dictionary: bytes, end: int = 1) ->
             nonlocal seq, base, held, size
             n_ids = np.array([r[2] for r in held], "<i8")
             total, offsets = int(n_ids.sum()), np.concatenate([[0], np.cumsum([len(r[3]) for r in held])]).astype("<i8")
-            row = (part, seq, sha, held[0][1], base, total, np.array([r[0] or 0 for r in held], "<i8").tobytes(), bytes(r[0] is not None for r in held), n_ids.tobytes(), offsets.tobytes(), b"".join(r[3] for r in held))
-            types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+            known = [r[0] for r in held if r[0] is not None]
+            row = (part, seq, sha, held[0][1], base, total, min(known, default=None), max(known, default=None), np.array([r[0] or 0 for r in held], "<i8").tobytes(), bytes(r[0] is not None for r in held), n_ids.tobytes(), offsets.tobytes(), b"".join(r[3] for r in held))
+            types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 5]
             seq, base, held, size = seq + 1, base + total, [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in SHARD.split(", ")])
 
@@ -176,7 +192,9 @@ def write_store(docs: DataFrame, path: str, dictionary: bytes, end: int = 1) ->
 
     frames = docs.select(docs["doc_id"].cast("bigint"), docs["text"]).mapInArrow(compress, frame_cols)
     # sampling for the ranges would encode everything twice
-    frames = materialize(frames, "frames").repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    frames = materialize(frames.withColumn("row", F.monotonically_increasing_id()), "frames")
+    # numbered, so that rows of one doc_id and text, however many, are more than one range
+    frames = frames.repartitionByRange(partitions(spark), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
     return materialize(frames.select("doc_id", "width", "n_ids", "frame").mapInArrow(shards, SHARD), "shards")
 
 
@@ -204,19 +222,25 @@ def read_store(store: DataFrame, dictionary: bytes) -> DataFrame:
     # a row for each part, so the window over all of them stays small
     totals = store.groupBy("part").agg(F.sum("total").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    # as many rows as shuffle partitions: a bounded table
+    # as many rows as the ranges that the store was written in, the shuffle partitions of that session: a bounded table
     return store.join(F.broadcast(before), "part").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def read_document(store: DataFrame, dictionary: bytes, doc_id: int) -> list[list[int]]:
-    """Ids of the documents of one doc_id: only their frames are decompressed."""
-    unzip, out = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)), []
-    key = np.array([doc_id], "<i8").tobytes()
-    for s in store.filter(F.position(F.lit(key), F.col("doc_ids")) > 0).collect():
-        offsets = np.frombuffer(s["offsets"], "<i8")
-        for i in np.flatnonzero((np.frombuffer(s["doc_ids"], "<i8") == doc_id) & (np.frombuffer(s["known"], "u1") == 1)).tolist():
-            out.append(np.frombuffer(unzip.decompress(s["frames"][offsets[i] : offsets[i + 1]]), "<u2" if s["width"] == 2 else "<u4").tolist())
-    return out
+    """Ids of the documents of one doc_id: other shards are skipped by their least and greatest ids, and of a shard that has
+    it only its own frames are cut out and decompressed, where the shard is."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
+        for batch in batches:
+            for s in batch.to_pylist():
+                offsets, own = np.frombuffer(s["offsets"], "<i8"), np.frombuffer(s["doc_ids"], "<i8") == doc_id
+                at = np.flatnonzero(own & (np.frombuffer(s["known"], "u1") == 1)).tolist()
+                found = [np.frombuffer(unzip.decompress(s["frames"][offsets[i] : offsets[i + 1]]), "<u2" if s["width"] == 2 else "<u4").tolist() for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["ids"])
+
+    near = store.filter((F.col("first") <= doc_id) & (F.col("last") >= doc_id)).orderBy("part", "seq")
+    return [r["ids"] for r in near.select("doc_ids", "known", "width", "offsets", "frames").mapInArrow(cut, "ids array<bigint>").collect()]
 
 
 def token_store(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
