@@ -1,14 +1,15 @@
 """The corpus pipeline: quality rules, near-duplicates, personal data, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  ``run`` writes each stage's result to
-the shared folder and reads it again, so a lost executor costs a stage's tasks and not the stages before it.
+the shared folder and reads it again, so a lost executor costs a stage's tasks and not the stages before it.  What a
+stage wrote for itself is deleted once its result is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm._spark import materialize
+from tidemark.llm._spark import materialize, scratch
 from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.mixing import mixed
 from tidemark.llm.pii import sanitised
@@ -51,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
