@@ -101,6 +101,14 @@ def joined(many: DataFrame, one: DataFrame, on: str, rows: str, total: int) -> D
     return many.join(F.broadcast(hot), on).unionByName(at_rest)
 
 
+def joined_by(many: DataFrame, one: DataFrame, on: str) -> DataFrame:
+    """``joined`` where the rows of each key must be counted: only the hot keys, fewer than ``HOT_KEYS``, meet ``one``."""
+    often = many.groupBy(on).agg(F.count("*").alias("n"))
+    hot = F.broadcast(materialize(often.filter(F.col("n") > max(1, many.count() // HOT_KEYS)).select(on), "hot"))
+    at_rest = many.join(hot, on, "left_anti").join(one, on)
+    return many.join(F.broadcast(one.join(hot, on, "left_semi")), on).unionByName(at_rest)
+
+
 def running(df: DataFrame, order: list[Column], value: str, upto: str) -> DataFrame:
     """Adds ``upto``: the sum of ``value`` over all rows up to and with each, in the order of ``order``; written.
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import frame_slices, joined, materialize, text_or_empty
+from ._spark import frame_slices, joined_by, materialize, text_or_empty
 from .bloom import Bloom, bloom_of
 
 FRAME, PAD = 576, b"\xff"
@@ -149,7 +149,7 @@ def shared_digests(docs: DataFrame) -> DataFrame:
 
 
 def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Containers (doc_id, key, n_bytes, media) and the chunk table (digest, chunk), both written."""
+    """Containers (doc_id, key, n_bytes, media, n_shared) and the chunk table (digest, chunk), both written."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom_of(materialize(shared_digests(docs), "digests")))  # a bounded number of bits
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,14 +161,14 @@ def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 chunks = chunks_of(payload_of(raw))
                 digests = [digest_of(c) for c in chunks]
                 apart = [d in filter_ for d in digests]
-                rows.append((doc_id, hashlib.blake2b(b"".join(digests), digest_size=DIGEST).digest(), len(raw), stored_form(chunks, digests, apart), None))
+                rows.append((doc_id, hashlib.blake2b(b"".join(digests), digest_size=DIGEST).digest(), len(raw), stored_form(chunks, digests, apart), sum(apart), None))
                 out |= {d: c for d, c, s in zip(digests, chunks, apart, strict=True) if s}
-            rows += [(None, d, 0, None, c) for d, c in out.items()]
-            made = pd.DataFrame(rows, columns=["doc_id", "key", "n_bytes", "media", "chunk"])
+            rows += [(None, d, 0, None, 0, c) for d, c in out.items()]
+            made = pd.DataFrame(rows, columns=["doc_id", "key", "n_bytes", "media", "n_shared", "chunk"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
 
-    rows = materialize(_frames(docs, run, "doc_id bigint, key binary, n_bytes bigint, media binary, chunk binary"), "media")
+    rows = materialize(_frames(docs, run, "doc_id bigint, key binary, n_bytes bigint, media binary, n_shared bigint, chunk binary"), "media")
     chunks = rows.filter("chunk IS NOT NULL").select(F.col("key").alias("digest"), "chunk").dropDuplicates(["digest"])
     return rows.filter("chunk IS NULL").drop("chunk"), materialize(chunks, "chunks")
 
@@ -187,36 +187,30 @@ def read_media(containers: DataFrame, chunks: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in _FACTS.split(", ")]
 
     def complete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Facts of containers that need no chunk of the table; the others as they are."""
         for frame in frame_slices(frames):
-            whole = [not any(s for *_, s in chunk_list(m)) for m in frame["media"]]
-            rows = [(*_facts(k, m, {}), None) if w else (k, *[None] * 6, m) for k, m, w in zip(frame["key"], frame["media"], whole, strict=True)]
-            yield pd.DataFrame(rows, columns=[*names, "media"]).astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
+            yield pd.DataFrame([_facts(k, m, {}) for k, m in zip(frame["key"], frame["media"], strict=True)], columns=names)
 
-    # equal payloads have equal containers, and are put together once
-    once = materialize(containers.select("key", "media").mapInPandas(complete, _FACTS + ", media binary").dropDuplicates(["key"]), "once")
-    apart = once.filter("media IS NOT NULL").select("key", "media")
+    # equal payloads have equal containers and are put together once
+    local = containers.filter("n_shared = 0").select("key", "media").mapInPandas(complete, _FACTS).dropDuplicates(["key"])
+    apart = containers.filter("n_shared > 0").select("key", "media")
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frame_slices(frames):
             rows = [(k, d) for k, m in zip(frame["key"], frame["media"], strict=True) for _, d, s in chunk_list(m) if s]
             yield pd.DataFrame([*dict.fromkeys(rows)], columns=["key", "digest"])
 
-    refs = materialize(apart.mapInPandas(listed, "key binary, digest binary"), "refs")
-    often = refs.groupBy("digest").agg(F.count("*").alias("n"))
+    refs = materialize(apart.mapInPandas(listed, "key binary, digest binary").distinct(), "refs")
     # hot chunks are few and at most MOST bytes each; a payload's chunks are as many as its length allows
-    found = joined(refs, chunks.join(often, "digest"), "digest", "n", refs.count())
+    found = joined_by(refs, chunks, "digest")
     fetched = found.groupBy("key").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
 
     def put_together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frame_slices(frames, 100):
             yield pd.DataFrame([_facts(k, m, {x["digest"]: x["chunk"] for x in f}) for k, m, f in frame[["key", "media", "fetched"]].itertuples(index=False)], columns=names)
 
-    remote = apart.join(fetched, "key").mapInPandas(put_together, _FACTS)
-    facts = once.filter("media IS NULL").drop("media").unionByName(remote)
-    copies = containers.groupBy("key").agg(F.count("*").alias("n"))
-    facts = materialize(facts.join(copies, "key"), "facts")
-    return joined(containers.select("doc_id", "key", "n_bytes"), facts, "key", "n", containers.count()).select("doc_id", "n_bytes", *names[1:])
+    remote = apart.dropDuplicates(["key"]).join(fetched, "key").mapInPandas(put_together, _FACTS)
+    facts = materialize(local.unionByName(remote), "facts")
+    return joined_by(containers.select("doc_id", "key", "n_bytes"), facts, "key").select("doc_id", "n_bytes", *names[1:])
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
