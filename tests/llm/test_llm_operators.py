@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -439,13 +440,34 @@ def test_token_counts(docs, rows, none):
 
 def test_each_distinct_pre_token_is_counted_once(spark, docs, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK_CHARS", 5000)
-    blocks = token_counts.frequencies(docs, BYTE)
-    tokens = [t for r in blocks.collect() for t in r.tokens]
-    assert len({*tokens}) < len(tokens)
-    counted = token_counts.piece_counts(blocks.select(F.explode("tokens").alias("token")).distinct(), BYTE).collect()
-    tok = Tokenizer.from_file(BYTE)
-    assert sorted(r.token for r in counted) == sorted({*tokens})
-    assert all(r.pieces == len(tok.encode(r.token, add_special_tokens=False).ids) for r in counted)
+    blocks = token_counts.frequencies(docs, BYTE, 12).collect()
+    places = [(b, r.block, r.cuts[i], r.tokens[r.cuts[i] : r.cuts[i + 1]]) for r in blocks for i, b in enumerate(r.buckets)]
+    distinct = {t for *_, tokens in places for t in tokens}
+    assert len(distinct) < sum(len(tokens) for *_, tokens in places)
+    counted = []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            counted.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    # the function that tasks run, over batches that cut buckets apart
+    monkeypatch.setattr(token_counts, "_tokenizer", lambda path: Counting(Tokenizer.from_file(path)))
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            rows = sorted(places)
+            batches = [pa.RecordBatch.from_pylist([dict(zip(("bucket", "block", "at", "tokens"), x, strict=True)) for x in rows[i : i + 7]]) for i in range(0, len(rows), 7)]
+            return [x for b in run(iter(batches)) for x in b.to_pylist()]
+
+    got = token_counts.piece_counts(Rows(), BYTE)
+    assert sorted(counted) == sorted(distinct)
+    tok, tokens = Tokenizer.from_file(BYTE), {(block, at): own for _, block, at, own in places}
+    for r in got:
+        assert r["pieces"] == [len(tok.encode(t, add_special_tokens=False).ids) for t in tokens[r["block"], r["at"]]]
 
 
 def test_bpe(docs, rows, none):

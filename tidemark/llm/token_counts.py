@@ -1,11 +1,13 @@
 """Token counts from distinct pre-tokens, without ids.
 
 Per-document pre-token frequencies are written as a table of blocks of documents: a block has its documents, its distinct
-pre-tokens, and for each of these the documents that hold it and how often.  The distinct pre-tokens of all blocks are one
-aggregation; the tokenizer counts the pieces of each of them once.  A join on the pre-token brings the counts to the
-blocks' pre-tokens, and a join on the block to the frequencies, where pieces times frequency is summed by document.
+pre-tokens in buckets, and for each of these the documents that hold it and how often.  A shuffle by bucket brings the
+same pre-tokens of all blocks together, where each distinct one is counted once, and its count goes to all places that it
+has in blocks.  The counts are joined by block to the frequencies, and pieces times frequency is summed by document.
 
-A frequent pre-token is one row for each block, so it makes no task heavy: a block has thousands of pre-tokens.
+There are ``SUB`` buckets for each shuffle partition, and a task holds the pre-tokens of one bucket at a time.  A row of the
+shuffle is what a block has for a bucket, so there are never more rows than pre-tokens in blocks.  A frequent pre-token is
+there once for each block, so it makes no bucket heavy: a block has thousands of pre-tokens.
 
 Defined results: a null text is an empty text of no bytes and no tokens; equal rows give equal rows; null ids are kept;
 an empty table gives an empty result; other columns of the input are ignored, whatever their names.
@@ -13,6 +15,7 @@ an empty table gives an empty result; other columns of the input are ignored, wh
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialize, slices
+from ._spark import materialize, partitions, slices
 from .bpe import PRE_TOKEN
 
 #: Characters and documents of a block; a document's place in it is a 16-bit number.
-BLOCK_CHARS, BLOCK_DOCS = 1 << 22, (1 << 15) - 1
+BLOCK_CHARS, BLOCK_DOCS = 1 << 24, (1 << 15) - 1
+#: Buckets of pre-tokens for each shuffle partition.
+SUB = 16
 
+#: buckets, cuts: the buckets that the block has pre-tokens for, and where in tokens they begin and the last ends.
 #: holders and docs, freqs: how many documents hold each pre-token, then which they are and how often, pre-token by pre-token.
-_BLOCK = "block bigint, ids array<bigint>, n_bytes array<bigint>, tokens array<string>, holders array<int>, docs array<smallint>, freqs array<int>"
+_BLOCK = "block bigint, ids array<bigint>, n_bytes array<bigint>, buckets array<int>, cuts array<int>, tokens array<string>, holders array<int>, docs array<smallint>, freqs array<int>"
 
 
 class _Cutter:
@@ -48,7 +54,7 @@ class _Cutter:
         return out + self.cut.findall(text[at:])
 
 
-def _block(name: int, ids: list, texts: list[str], cut: _Cutter) -> pa.RecordBatch:
+def _block(name: int, ids: list, texts: list[str], cut: _Cutter, n_buckets: int) -> pa.RecordBatch:
     """The row of a block."""
     known: dict[str, int] = {}
     codes, sizes = [], []
@@ -59,12 +65,18 @@ def _block(name: int, ids: list, texts: list[str], cut: _Cutter) -> pa.RecordBat
         codes += [known[x] for x in tokens]
         sizes.append(len(tokens))
     n = len(texts)
-    # by pre-token, then document
-    keys, freqs = np.unique(np.array(codes, np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+    # by bucket, pre-token, document; in order, pre-tokens with a common beginning stand together and compress well
+    ordered = sorted((zlib.crc32(x.encode()) % n_buckets, x) for x in known)
+    tokens, bucket = [x for _, x in ordered], np.array([b for b, _ in ordered], np.int64)
+    buckets, cuts = np.unique(bucket, return_index=True)
+    place = np.empty(len(tokens), np.int64)
+    place[[known[x] for x in tokens]] = np.arange(len(tokens))
+    codes = place[np.array(codes, np.int64)]
+    keys, freqs = np.unique(codes * n + np.repeat(np.arange(n), sizes), return_counts=True)
     token, doc = np.divmod(keys, n)
     holders = np.bincount(token, minlength=len(known))
     one = lambda values, kind: pa.array([values], pa.list_(kind))
-    columns = [pa.array([name], pa.int64()), one(ids, pa.int64()), one([len(x.encode()) for x in texts], pa.int64()), one([*known], pa.string()), one(holders, pa.int32()), one(doc.astype(np.int16), pa.int16()), one(freqs, pa.int32())]
+    columns = [pa.array([name], pa.int64()), one(ids, pa.int64()), one([len(x.encode()) for x in texts], pa.int64()), one(buckets, pa.int32()), one(np.append(cuts, len(tokens)), pa.int32()), one(tokens, pa.string()), one(holders, pa.int32()), one(doc.astype(np.int16), pa.int16()), one(freqs, pa.int32())]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _BLOCK.split(", ")])
 
 
@@ -80,7 +92,7 @@ def _tokenizer(path: str):
     return own
 
 
-def frequencies(docs: DataFrame, path: str) -> DataFrame:
+def frequencies(docs: DataFrame, path: str, n_buckets: int) -> DataFrame:
     """The blocks of all documents."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,45 +104,61 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
                 texts.append(x or "")
                 size += len(texts[-1])
                 if size >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
-                    yield _block(name, ids, texts, cut)
+                    yield _block(name, ids, texts, cut, n_buckets)
                     name, ids, texts, size = name + 1, [], [], 0
         if ids:
-            yield _block(name, ids, texts, cut)
+            yield _block(name, ids, texts, cut, n_buckets)
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"]).mapInArrow(invert, _BLOCK)
 
 
-def piece_counts(tokens: DataFrame, path: str) -> DataFrame:
-    """token and pieces of each of the distinct pre-tokens."""
+def piece_counts(parts: DataFrame, path: str) -> DataFrame:
+    """block, at and pieces of each of the pre-tokens from ``at`` on: rows of bucket, block, at and tokens, sorted by bucket.
+
+    A pre-token is counted at its first row; the counts of a bucket are held until the next begins.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer, known, held = _tokenizer(path), {}, None
         for batch in batches:
-            found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(e) for e in found], pa.int64())], names=["token", "pieces"])
-
-    return tokens.mapInArrow(count, "token string, pieces bigint")
+            if not len(batch):
+                continue
+            bucket, lists = batch.column("bucket").to_numpy(), batch.column("tokens")
+            if bucket[0] != held:
+                known = {}
+            flat = lists.flatten().to_pylist()
+            if new := [*dict.fromkeys(x for x in flat if x not in known)]:
+                known.update(zip(new, (len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.ListArray.from_arrays(pa.array(cuts), pa.array([known[x] for x in flat], pa.int32()))], names=["block", "at", "pieces"])
+            if bucket[-1] != held:
+                held = bucket[-1]
+                last = flat[cuts[np.flatnonzero(bucket == held)[0]] :]
+                known = {x: known[x] for x in last}
+
+    return parts.mapInArrow(count, "block bigint, at int, pieces array<int>")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each document."""
-    blocks = materialize(frequencies(docs, path), "frequencies")
-    tokens = blocks.select("block", F.posexplode("tokens").alias("at", "token"))
-    counted = piece_counts(tokens.select("token").distinct(), path)
+    n = partitions(docs.sparkSession)
+    blocks = materialize(frequencies(docs, path, n * SUB), "frequencies")
+    parts = blocks.select("block", "cuts", "tokens", F.posexplode("buckets").alias("i", "bucket"))
+    at, end = F.get("cuts", F.col("i")), F.get("cuts", F.col("i") + 1)
+    parts = parts.select("bucket", "block", at.alias("at"), F.slice("tokens", at + 1, end - at).alias("tokens"))
+    dealt = parts.repartitionById(n, F.floor(F.col("bucket") / SUB).cast("int")).sortWithinPartitions("bucket")
     # a block's pre-tokens are at most its characters: the lists are bounded
-    own = tokens.join(counted, "token").groupBy("block").agg(F.collect_list(F.struct("at", "pieces")).alias("counts"))
-    own = own.select("block", F.col("counts.at").alias("at"), F.col("counts.pieces").alias("pieces"))
-    rows = blocks.drop("tokens").join(own, "block", "left")
+    own = piece_counts(dealt, path).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "pieces"))).alias("c"))
+    own = own.select("block", F.flatten("c.pieces").alias("pieces"))
+    rows = blocks.select("block", "ids", "n_bytes", "holders", "docs", "freqs").join(own, "block", "left")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                ids, n_bytes, holders, docs_, freqs, at, pieces = (batch.column(c)[i].values for c in ("ids", "n_bytes", "holders", "docs", "freqs", "at", "pieces"))
+                ids, n_bytes, holders, docs_, freqs, pieces = (batch.column(c)[i].values for c in ("ids", "n_bytes", "holders", "docs", "freqs", "pieces"))
                 total = np.zeros(len(ids), np.int64)
-                if at is not None:
-                    by_token = np.zeros(len(holders), np.int64)
-                    by_token[at.to_numpy()] = pieces.to_numpy()
-                    np.add.at(total, docs_.to_numpy(), np.repeat(by_token, holders.to_numpy()) * freqs.to_numpy())
+                if pieces is not None:
+                    total += np.bincount(docs_.to_numpy(), np.repeat(pieces.to_numpy(), holders.to_numpy()) * freqs.to_numpy(), len(ids)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return rows.mapInArrow(sums, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
