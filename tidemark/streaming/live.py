@@ -42,21 +42,26 @@ def step(state: str, streak: int, high: bool, warm: int = 2, alert: int = 3, coo
 
 
 def state_changes(ticks: DataFrame) -> DataFrame:
-    """Changes of state of each (service, key) in a stream of dense ticks with the flag ``high``."""
+    """Changes of state of each (service, key) in a stream of dense ticks with the flag ``high``.
+
+    A key's ticks of a micro-batch come as several frames; they are put in order together, and a tick that is not after
+    the last one that the state has seen is dropped, as it is late or was there before.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, streak = held.get if held.exists else ("NORMAL", 0)
-        rows = []
-        for frame in frames:
-            for tick, high in frame.sort_values("tick")[["tick", "high"]].itertuples(index=False):
-                new, streak = step(state, streak, bool(high))
-                if new != state:
-                    rows.append((*key, int(tick) + 1, state, new))
-                state = new
-        held.update((state, streak))
+        state, streak, last = held.get if held.exists else ("NORMAL", 0, -1)
+        rows, due = [], pd.concat([f[["tick", "high"]] for f in frames])
+        for tick, high in due.sort_values("tick").itertuples(index=False):
+            if tick <= last:
+                continue
+            new, streak = step(state, streak, bool(high))
+            if new != state:
+                rows.append((*key, int(tick) + 1, state, new))
+            state, last = new, int(tick)
+        held.update((state, streak, last))
         yield pd.DataFrame(rows, columns=["service", "key", "at", "from_state", "to_state"])
 
-    return ticks.groupBy("service", "key").applyInPandasWithState(run, "service string, key string, at bigint, from_state string, to_state string", "state string, streak int", "append", GroupStateTimeout.NoTimeout)
+    return ticks.groupBy("service", "key").applyInPandasWithState(run, "service string, key string, at bigint, from_state string, to_state string", "state string, streak int, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def replay(stream: DataFrame, path: str, checkpoint: str) -> None:
