@@ -306,3 +306,21 @@ def test_replay_goes_on_after_a_restart(spark, tmp_path):
         for _ in range(2):  # the second run finds nothing new
             live.replay(spark.readStream.schema("id bigint").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
         assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(5 * i + 5))
+
+
+def test_module_alert_counts_from_the_first_high_minute_to_cooling(spark):
+    # in minutes of a day: warm at the end of 481 (8:02), alerting from 8:03, cooling at 8:07
+    changed = spark.createDataFrame([("a", "a:T1", 482, "NORMAL", "WARMING"), ("a", "a:T1", 483, "WARMING", "ALERTING"), ("a", "a:T1", 487, "ALERTING", "COOLING")], "service string, key string, at bigint, from_state string, to_state string")
+    rows = spark.createDataFrame([("a", "a:T1", m, 480 + i, n) for i in range(9) for m, n in (("M1", 10), ("M2", 5))], "service string, key string, module string, tick bigint, n bigint")
+    one = detect.module_alerts(changed, rows, 480, 495).filter("module = 'M1'").first()
+    assert (one.ticks, one.total, one.peak, one["mean"], one.template_total, one.template_peak, one.peak_state) == (6, 60, 10, 10.0, 90, 15, "ALERTING")
+    clipped = detect.module_alerts(changed, rows, 484, 486).filter("module = 'M1'").first()
+    assert (clipped.ticks, clipped.total) == (2, 20)
+    assert detect.module_alerts(changed, rows, 486, 495).count() == 0
+
+
+def test_service_keys_are_filled_from_the_first_minute(spark):
+    own = [(1, "2024-01-01 00:58:00", "a", "ERROR", "a:T", "M0"), (2, "2024-01-01 01:02:00", "b", "INFO", "b:T", "M0")]
+    got = {(r.service, r.key, r.minute % 1440): r.n for r in counts.zero_filled(counts.minute_counts(lines(spark, own))).collect()}
+    assert {k[2] for k in got if k[:2] == ("a", "*warn")} == {58, 59, 60, 61, 62} and {k[2] for k in got if k[:2] == ("b", "*warn")} == {62}
+    assert {k[2] for k in got if k[:2] == ("a", "a:T")} == {58, 59} and got["a", "*error", 58] == 1 and got["a", "*total", 60] == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The rules by which baselines are learned and counts judged.
 #: Days of a profile at most.
 DAY_CAP = {"weekday": 5, "weekend": 4}
 #: Committed days from which a profile is full, and the sigma multipliers before and after.
@@ -76,9 +77,9 @@ def floor_of(key: Column, level: Column) -> Column:
     return F.when(cls == "ERROR", FLOORS["ERROR"]).when(cls == "WARN", FLOORS["WARN"])
 
 
-def judged(rows: DataFrame, floor: Column, drop_min_mean: float = DROP_MIN_MEAN) -> DataFrame:
-    """Adds band_low, band_high, high and score to rows of ``lookups`` with n and the floor given."""
-    k = F.when(F.col("profile_days") >= FULL_AFTER, SIGMA).otherwise(YOUNG_SIGMA)
+def judged(rows: DataFrame, floor: Column, drop_min_mean: float = DROP_MIN_MEAN, sigmas: tuple[float, float] = (SIGMA, YOUNG_SIGMA)) -> DataFrame:
+    """Adds band_low, band_high, dropped, high and score to rows of ``lookups`` with n and the floor given."""
+    k = F.when(F.col("profile_days") >= FULL_AFTER, sigmas[0]).otherwise(sigmas[1])
     # greatest and least skip what is null
     top = F.greatest(F.col("mean") + k * F.col("std"), F.col("next_mean") + k * F.col("next_std"))
     low = F.least(F.col("mean") - k * F.col("std"), F.col("next_mean") - k * F.col("next_std"))
@@ -89,7 +90,7 @@ def judged(rows: DataFrame, floor: Column, drop_min_mean: float = DROP_MIN_MEAN)
     high = F.when(known, upper | drop).otherwise(F.coalesce(F.col("n") >= F.col("floor"), F.lit(False)))
     banded = F.when(F.col("band_high") > 0, F.col("n") / F.col("band_high")).otherwise((F.col("n") > 0).cast("double"))
     score = F.when(known, banded).otherwise(F.coalesce(F.col("n") / F.col("floor"), F.lit(0.0)))
-    return rows.withColumn("high", high).withColumn("score", score)
+    return rows.withColumn("dropped", drop).withColumn("high", high).withColumn("score", score)
 
 
 def usable_days(hours: DataFrame, days: DataFrame, exclusions: DataFrame) -> DataFrame:

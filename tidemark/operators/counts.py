@@ -87,11 +87,33 @@ def array_minutes(arrays: DataFrame) -> DataFrame:
     return arrays.select("service", "key", "day", "hour", F.posexplode("counts").alias("slot", "n")).filter("n > 0")
 
 
+#: Keys that every service has in each minute from its first one on.
+SERVICE_KEYS = ("*total", "*error", "*warn", "*info")
+
+
+def _dated(minutes: DataFrame) -> DataFrame:
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("minute") / 1440).cast("int"))
+    return minutes.withColumn("day", day).withColumn("hour", (F.floor(F.col("minute") / 60) % 24).cast("int"))
+
+
 def zero_filled(minutes: DataFrame) -> DataFrame:
-    """Counts of every minute of an hour from a key's first minute in it; keys are forgotten in the next hour."""
-    first = minutes.groupBy("service", "key", "day", "hour").agg(F.min("minute").alias("first"))
+    """Counts with zeros: a template's for every minute of an hour from its first minute in it, after which it is
+    forgotten; a service's keys for every minute from its first one to the last that any service has."""
+    on = ["service", "key", "day", "hour", "minute"]
+    first = minutes.filter(~F.col("key").startswith("*")).groupBy("service", "key", "day", "hour").agg(F.min("minute").alias("first"))
     grid = first.select("service", "key", "day", "hour", F.explode(F.sequence("first", F.floor(F.col("first") / 60) * 60 + 59)).alias("minute"))
-    return grid.join(minutes, ["service", "key", "day", "hour", "minute"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ends = minutes.agg(F.max("minute").alias("b"))  # one row
+    spans = minutes.groupBy("service").agg(F.min("minute").alias("a")).join(F.broadcast(ends))
+    every = spans.select("service", F.explode(F.sequence("a", "b")).alias("minute")).withColumn("key", F.explode(F.array(*map(F.lit, SERVICE_KEYS))))
+    return grid.unionByName(_dated(every).select(*on)).join(minutes, on, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def dense_minutes(minutes: DataFrame) -> DataFrame:
+    """Every key at every minute from its service's first to its last, absent ones as 0."""
+    ends = minutes.groupBy("service").agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
+    keys = minutes.select("service", "key").distinct().join(ends, "service")
+    grid = keys.select("service", "key", F.explode(F.sequence("a", "b")).alias("minute"))
+    return _dated(grid.join(minutes.select("service", "key", "minute", "n"), ["service", "key", "minute"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
 
 
 def dense_ticks(ticks: DataFrame) -> DataFrame:

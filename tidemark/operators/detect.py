@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Ticks until a key warms, alerts and is normal again, and the order of states.
 WARM, ALERT, COOL = 2, 3, 3
 STATE_RANK = {"NORMAL": 0, "COOLING": 1, "WARMING": 2, "ALERTING": 3}
+GROUP_RANK = {"NORMAL": 0, "WARMING": 1, "COOLING": 2, "ALERTING": 3}
 
 
 def runs(rows: DataFrame, keys: list[str], at: str, flag: str, name: str) -> DataFrame:
@@ -110,3 +112,53 @@ def exported(rows: DataFrame) -> DataFrame:
         rank = F.when(F.col("state") == s, r).otherwise(rank)
     worst = rows.groupBy("service", "key").agg(F.max_by("state", rank).alias("worst"))
     return worst.select("service", "key", "worst", F.explode(F.array(*map(F.lit, STATE_RANK))).alias("state")).select("service", "key", "state", (F.col("worst") == F.col("state")).cast("int").alias("on"))
+
+
+def ranked(state: Column, ranks: dict[str, int]) -> Column:
+    out = F.lit(0)
+    for name, rank in ranks.items():
+        out = F.when(state == name, rank).otherwise(out)
+    return out
+
+
+def module_alerts(changed: DataFrame, counts: DataFrame, lo: int, hi: int, warm: int = WARM) -> DataFrame:
+    """Lines of modules in the ticks from ``lo`` to before ``hi`` in which their key warms or alerts.
+
+    ``changed``: service, key, at (the end of a tick), from_state, to_state.  ``counts``: service, key, module, tick, n.  A
+    period begins with the change into it or, if the key warmed from NORMAL, with the first of the ticks that made it
+    warm; it ends with the last tick before the change out, and cooling is no part of it.
+    """
+    on = ["service", "key"]
+    order = Window.partitionBy(*on).orderBy("at")
+
+    def spans(within: tuple[str, ...]) -> DataFrame:
+        rows = changed.withColumn("_in", F.col("to_state").isin(*within))
+        rows = rows.withColumn("_was", F.coalesce(F.lag("_in").over(order), F.lit(False))).filter(F.col("_in") != F.col("_was"))
+        rows = rows.withColumn("end", F.coalesce(F.lead("at").over(order) - 1, F.lit(hi))).filter("_in")
+        back = F.when((F.col("from_state") == "NORMAL") & (F.col("to_state") == "WARMING"), warm - 1).otherwise(0)
+        return rows.withColumn("start", F.col("at") - 1 - back).filter((F.col("start") < hi) & (F.col("end") > lo)).select(*on, "start", "end")
+
+    ticks = spans(("WARMING", "ALERTING")).select(*on, F.explode(F.sequence(F.greatest("start", F.lit(lo)), F.least("end", F.lit(hi)) - 1)).alias("tick"))
+    own = counts.join(ticks, [*on, "tick"])
+    each = own.groupBy(*on, "tick").agg(F.sum("n").alias("n")).groupBy(*on).agg(F.sum("n").alias("template_total"), F.max("n").alias("template_peak"))
+    per = own.groupBy(*on, "module").agg(F.sum("n").alias("total"), F.max("n").alias("peak"))
+    alerting = spans(("ALERTING",)).select(*on).distinct().withColumn("_on", F.lit(True))
+    rows = per.join(each, on).join(ticks.groupBy(*on).agg(F.count("*").alias("ticks")), on).join(alerting, on, "left")
+    return rows.select(*on, "module", "ticks", "total", "peak", (F.col("total") / F.col("ticks")).alias("mean"), "template_total", "template_peak", F.when(F.col("_on"), "ALERTING").otherwise("WARMING").alias("peak_state"))
+
+
+def alert_groups(stated: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Groups of keys that are not NORMAL, at each tick: a service's own keys, those of a document, and other templates by
+    the root of their cluster.
+
+    ``links``: service, key, doc.  ``roots``: key, root, for templates without a document.
+    """
+    order = Window.partitionBy("service", "key").orderBy("tick")
+    rows = stated.withColumn("_prev", F.coalesce(F.lag("state").over(order), F.lit("NORMAL")))
+    rows = rows.withColumn("since", F.max(F.when(F.col("state") != F.col("_prev"), F.col("tick") + 1)).over(order)).filter("state <> 'NORMAL'")
+    rows = rows.join(links, ["service", "key"], "left").join(roots, "key", "left")
+    own = F.col("key").startswith("*")
+    kind = F.when(own, "service").when(F.col("doc").isNotNull(), "document").otherwise("template")
+    rows = rows.withColumn("kind", kind).withColumn("ident", F.when(~own, F.coalesce("doc", "root", "key")))
+    groups = rows.groupBy("service", "tick", "kind", "ident").agg(F.count("*").alias("_n"), F.max_by("state", ranked(F.col("state"), GROUP_RANK)).alias("state"), F.min("since").alias("since"), F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
+    return groups.select("service", "tick", F.when((F.col("kind") == "template") & (F.col("_n") > 1), "cluster").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "document", F.col("ident")).alias("doc"), "state", "since", "keys")

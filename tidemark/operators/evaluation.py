@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import truncated
+
 
 def log_bin(value: Column, low: float = 0.01, high: float = 1e6, bins: int = 600) -> Column:
     """0 below ``low``, ``bins`` + 1 from ``high`` on, else the logarithmic bin from 1."""
@@ -102,10 +104,20 @@ def merged_spans(hours: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "_i").agg(F.min("h").alias("start"), (F.max("h") + 1).alias("end")).drop("_i")
 
 
-def flattened_hit(source: Column, most: int = 64) -> list[Column]:
-    """service, level, module and message of a JSON document whose fields may be nested; null where there is none."""
+def merged_json(first: Column, second: Column) -> Column:
+    """Two JSON objects of texts as one: of keys that both have, the second's values stay."""
+    kind = "map<string,string>"
+    a, b = F.from_json(first, kind), F.from_json(second, kind)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b))
+
+
+def flattened_hit(source: Column, most: int = 8192) -> list[Column]:
+    """service, level, module and message of a JSON document whose fields may be nested; null where there is none.
+
+    A message is cut at ``most`` bytes of UTF-8, between characters, and has no NULs.
+    """
     get = lambda *paths: F.coalesce(*(F.nullif(F.get_json_object(source, p), F.lit("")) for p in paths))
-    return [get("$.service.name", "$.service", "$.service_code").alias("service"), F.upper(F.coalesce(get("$.level", "$.log.level"), F.lit("INFO"))).alias("level"), get("$.moduleCode", "$.module").alias("module"), F.substring(get("$.message"), 1, most).alias("message")]
+    return [get("$.service.name", "$.service", "$.service_code").alias("service"), F.upper(F.coalesce(get("$.level", "$.log.level"), F.lit("INFO"))).alias("level"), get("$.moduleCode", "$.module").alias("module"), truncated(get("$.message"), most).alias("message")]
 
 
 def parsed_time(text: Column) -> Column:

@@ -365,7 +365,13 @@ def s14_resolved_by_pattern(spark, sf):
     return n.select("n_name", F.when(F.size(hits) == 1, hits[0]).alias("template"))
 
 
-@query("SELECT role, string_agg(DISTINCT k, ',' ORDER BY k) AS keys, count(*) AS n FROM (SELECT role, CASE WHEN turn = 0 THEN 'first' WHEN len(text) > 100 THEN 'long' ELSE 'short' END AS k FROM conversations) GROUP BY role")
-def r4_merged_keys(spark, sf):
-    k = F.when(F.col("turn") == 0, "first").when(F.length("text") > 100, "long").otherwise("short")
-    return S.table(spark, sf, "conversations").groupBy("role").agg(F.concat_ws(",", F.array_sort(F.collect_set(k))).alias("keys"), F.count("*").alias("n"))
+@query("""WITH m AS (SELECT conv_id, turn, json_merge_patch(json_object('role', role, 'turn', turn::VARCHAR, 'kept', 'a'), CASE WHEN turn % 2 = 0 THEN json_object('turn', 'even', 'size', len(text)::VARCHAR) ELSE json_object('role', 'other') END) AS j FROM conversations)
+SELECT conv_id, turn, json_extract_string(j, '$.role') AS role, json_extract_string(j, '$.turn') AS merged_turn, json_extract_string(j, '$.kept') AS kept, json_extract_string(j, '$.size') AS size, array_to_string(list_sort(json_keys(j)), ',') AS keys FROM m""")
+def r4_merged_json(spark, sf):
+    """Two JSON objects as one, in which the second's values stand for those of the first of the same keys."""
+    even = F.col("turn") % 2 == 0
+    a = F.to_json(F.struct("role", F.col("turn").cast("string").alias("turn"), F.lit("a").alias("kept")))
+    b = F.when(even, F.to_json(F.struct(F.lit("even").alias("turn"), F.length("text").cast("string").alias("size")))).otherwise(F.to_json(F.struct(F.lit("other").alias("role"))))
+    rows = S.table(spark, sf, "conversations").select("conv_id", "turn", V.merged_json(a, b).alias("j"))
+    get = lambda k: F.get_json_object("j", f"$.{k}")
+    return rows.select("conv_id", "turn", get("role").alias("role"), get("turn").alias("merged_turn"), get("kept").alias("kept"), get("size").alias("size"), F.array_join(F.sort_array(F.json_object_keys("j")), ",").alias("keys"))

@@ -92,8 +92,8 @@ def m8_lengths(spark, sf):
 
 # ---- bands
 
-HISTORY = f"""{BASE}, hist AS (SELECT k.service, k.key, h.day, h.hour, h.n_minutes AS n, coalesce(m.sum, 0)::BIGINT AS s, coalesce(m.sumsq, 0)::BIGINT AS q FROM (SELECT DISTINCT service, key FROM moments WHERE key IN ('*total', '*error')) k JOIN hours h ON h.service = k.service LEFT JOIN moments m ON m.service = k.service AND m.key = k.key AND m.day = h.day AND m.hour = h.hour WHERE h.n_minutes > 0),
-tests AS (SELECT service, key, day, hour FROM hist WHERE day >= DATE '2024-01-26'),
+HISTORY = f"""{BASE}, hist AS (SELECT k.service, k.key, h.day, h.hour, h.n_minutes AS n, coalesce(m.sum, 0)::BIGINT AS s, coalesce(m.sumsq, 0)::BIGINT AS q FROM (SELECT DISTINCT service, key FROM moments WHERE key NOT IN ('*warn', '*info')) k JOIN hours h ON h.service = k.service LEFT JOIN moments m ON m.service = k.service AND m.key = k.key AND m.day = h.day AND m.hour = h.hour WHERE h.n_minutes > 0),
+tests AS (SELECT service, key, day, hour FROM hist),
 picks AS (SELECT *, row_number() OVER (PARTITION BY service, day ORDER BY past DESC) AS rn FROM (SELECT t.service, t.day, d.day AS past, d.daytype FROM (SELECT DISTINCT service, day FROM tests) t JOIN days d ON d.service = t.service AND d.day < t.day AND (d.daytype = 'weekend') = (isodow(t.day) >= 6))),
 trained AS (SELECT t.*, h.day AS past, h.n, h.s, h.q FROM tests t JOIN picks p ON p.service = t.service AND p.day = t.day AND p.rn <= CASE p.daytype WHEN 'weekday' THEN 5 ELSE 4 END JOIN hist h ON h.service = t.service AND h.key = t.key AND h.day = p.past AND h.hour = t.hour),
 trained28 AS (SELECT t.*, h.day AS past, h.n, h.s, h.q FROM tests t JOIN picks p ON p.service = t.service AND p.day = t.day AND t.day - p.past <= 28 JOIN hist h ON h.service = t.service AND h.key = t.key AND h.day = p.past AND h.hour = t.hour)"""
@@ -102,11 +102,11 @@ SIGMA_SQL = """sigma AS (SELECT service, key, day, hour, sum(s)::DOUBLE / sum(n)
 
 def _trained(spark: SparkSession, sf: str, ewma: bool = False) -> tuple[DataFrame, DataFrame]:
     moments, hours, days, _ = _parts(spark, sf)
-    keys = moments.filter(F.col("key").isin("*total", "*error")).select("service", "key").distinct()
+    keys = moments.filter("key NOT IN ('*warn', '*info')").select("service", "key").distinct()
     grid = keys.join(hours.filter("n_minutes > 0"), "service").join(moments, ["service", "key", "day", "hour"], "left")
     history = shared.stored(grid.select("service", "key", "day", "hour", F.col("n_minutes").alias("n"), F.coalesce("sum", F.lit(0)).alias("s"), F.coalesce("sumsq", F.lit(0)).alias("q")), "history")
-    tests = history.filter("day >= DATE'2024-01-26'")
-    return N.training(history, tests.select("service", "key", "day", "hour"), days, ewma), tests
+    # every day is a test day; what it learns from are the committed days before it
+    return N.training(history, history.select("service", "key", "day", "hour"), days, ewma), history
 
 
 def _rounded(band: DataFrame) -> DataFrame:
@@ -149,14 +149,18 @@ def a17_m6_band_scores(spark, sf):
     return out.select("service", "key", "n", F.round("coverage", 9).alias("coverage"), F.round("score", 6).alias("score"), F.round("width", 6).alias("width"))
 
 
-@query(f"""WITH {HISTORY}, {SIGMA_SQL}, m AS (SELECT t.service, t.s AS n, s.mean * 60 AS mean, s.var * 64 AS var FROM hist t JOIN sigma s USING (service, key, day, hour) WHERE key = '*total'), g AS (SELECT m.*, k::DOUBLE AS k FROM m, range(1, 7) r(k)),
-p AS (SELECT service, k, avg((abs(n - mean) <= k * sqrt(var))::INT) AS coverage FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY coverage >= 0.95 DESC, CASE WHEN coverage >= 0.95 THEN k ELSE -k END) AS rn FROM p)
-SELECT service, k, round(coverage, 9) AS coverage, coverage >= 0.95 AS reached FROM r WHERE rn = 1""")
+@query(f"""WITH {HISTORY}, {SIGMA_SQL}, last3 AS (SELECT service, day FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY day DESC) AS rn FROM days) WHERE rn <= 3),
+m AS (SELECT t.service, t.s AS n, s.mean * 60 AS mean, s.var * 64 AS var FROM hist t JOIN sigma s USING (service, key, day, hour) JOIN last3 USING (service, day) WHERE key = '*total'), g AS (SELECT m.*, k::DOUBLE AS k FROM m, range(2, 9) r(k)),
+p AS (SELECT service, k, avg((abs(n - mean) <= k * sqrt(var))::INT) AS coverage FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY coverage >= 0.995 DESC, CASE WHEN coverage >= 0.995 THEN k ELSE -k END) AS rn FROM p)
+SELECT service, k, round(coverage, 9) AS coverage, coverage >= 0.995 AS reached FROM r WHERE rn = 1""")
 def b3_b16_tuned(spark, sf):
+    """The least of the sigmas from 2 to 8 whose band covers 99.5 % of the hours of the last three committed days."""
     trained, tests = _trained(spark, sf)
+    last = Window.partitionBy("service").orderBy(F.desc("day"))
+    days = _parts(spark, sf)[2].withColumn("rn", F.row_number().over(last)).filter("rn <= 3").select("service", "day")
     centre = N.sigma_band(trained.filter("key = '*total'"), 3.0).withColumn("mean", F.col("mean") * 60).withColumn("var", F.col("var") * 64)
-    counts = tests.filter("key = '*total'").select("service", "key", "day", "hour", F.col("s").alias("n"))
-    return N.tuned(counts, centre, [float(k) for k in range(1, 7)], 0.95).withColumn("coverage", F.round("coverage", 9))
+    counts = tests.filter("key = '*total'").join(days, ["service", "day"], "left_semi").select("service", "key", "day", "hour", F.col("s").alias("n"))
+    return N.tuned(counts, centre, [float(k) for k in range(2, 9)], 0.995).withColumn("coverage", F.round("coverage", 9))
 
 
 # ---- text
@@ -188,10 +192,14 @@ def l1_templates(spark, sf):
     return M.mined(c.filter("text <> ''"))
 
 
-@query("SELECT role, max(CASE WHEN len(text) > 40 THEN turn END) AS longest, 'DOC-' || lpad((count(DISTINCT conv_id) % 900 + 1)::VARCHAR, 3, '0') AS next_id FROM conversations GROUP BY role")
+@query("""WITH i AS (SELECT role, CASE turn % 4 WHEN 0 THEN 'DOC-' || lpad(conv_id::VARCHAR, greatest(3, len(conv_id::VARCHAR))::INT, '0') WHEN 1 THEN 'DOC-' || (conv_id + 5000000000)::VARCHAR WHEN 2 THEN 'doc-' || conv_id::VARCHAR ELSE 'DOC-' || conv_id::VARCHAR || 'x' END AS id FROM conversations),
+n AS (SELECT role, coalesce(max(CASE WHEN regexp_full_match(id, 'DOC-[0-9]{1,9}') THEN substr(id, 5)::BIGINT END), 0) + 1 AS n FROM i GROUP BY role) SELECT role, 'DOC-' || lpad(n::VARCHAR, greatest(3, len(n::VARCHAR))::INT, '0') AS next_id FROM n""")
 def p6_next_id(spark, sf):
-    c = S.table(spark, sf, "conversations")
-    return c.groupBy("role").agg(F.max(F.when(F.length("text") > 40, F.col("turn"))).alias("longest"), F.format_string("DOC-%03d", F.countDistinct("conv_id") % 900 + 1).alias("next_id"))
+    """The next id after those of the form DOC-001; others don't count."""
+    c, t = S.table(spark, sf, "conversations"), F.col("turn") % 4
+    n = F.col("conv_id").cast("string")
+    made = F.when(t == 0, F.format_string("DOC-%03d", "conv_id")).when(t == 1, F.concat(F.lit("DOC-"), (F.col("conv_id") + 5000000000).cast("string"))).when(t == 2, F.concat(F.lit("doc-"), n)).otherwise(F.concat(F.lit("DOC-"), n, F.lit("x")))
+    return c.select("role", made.alias("id")).groupBy("role").agg(T.next_doc_id(F.col("id")).alias("next_id"))
 
 
 # ---- plain predicates and joins

@@ -15,6 +15,7 @@ from ..operators import baseline as B
 from ..operators import counts as C
 from ..operators import detect as D
 from ..operators import lab as L
+from ..operators import links as K
 from ..sources import driver_tables as S
 from ..sources.shared import stored
 
@@ -55,7 +56,20 @@ baseline AS (SELECT k.service, k.key, u.daytype, u.hour, sum(coalesce(m.sum, 0))
   FROM keys k JOIN usable u ON u.service = k.service LEFT JOIN born b ON b.service = k.service AND b.key = k.key
   LEFT JOIN moments m ON m.service = k.service AND m.key = k.key AND m.day = u.day AND m.hour = u.hour
   WHERE b.born IS NULL OR u.day >= b.born GROUP BY ALL)"""
-FLAGGED = f"{DENSE}, flagged AS (SELECT *, n >= {FLOOR} AS high FROM dense WHERE key LIKE '%:error' OR key = '*error')"
+#: Sigmas of the bands of hourly ticks: few of these tables' hours leave a wider one.
+TICK_SIGMAS = (0.5, 0.75)
+FLAGGED = f"""{DENSE}, {S.EXCLUSIONS_SQL.replace('exclusions AS', 't_out AS', 1)},
+t_rows AS (SELECT *, (DATE '1970-01-01' + (tick // 24)::INT)::DATE AS day, (tick % 24)::INT AS hour FROM dense),
+t_days AS (SELECT DISTINCT service, day, CASE WHEN isodow(day) >= 6 THEN 'weekend' ELSE 'weekday' END AS daytype FROM t_rows WHERE day < (SELECT max(day) FROM t_rows)),
+t_picked AS (SELECT service, day, daytype FROM (SELECT *, row_number() OVER (PARTITION BY service, daytype ORDER BY day DESC) AS rn FROM t_days) WHERE rn <= CASE daytype WHEN 'weekday' THEN 5 ELSE 4 END),
+t_used AS (SELECT r.*, p.daytype FROM t_rows r JOIN t_picked p USING (service, day) WHERE NOT EXISTS (SELECT 1 FROM t_out x WHERE x.decision = 'exclude' AND x.service = r.service AND x.day = r.day AND r.hour >= x.hour_from AND r.hour < x.hour_to)),
+t_base AS (SELECT service, key, daytype, hour, avg(n) AS mean, sqrt(greatest(avg(n * n) - avg(n) * avg(n), 0)) AS std FROM t_used WHERE (service, key) IN (SELECT (service, key) FROM t_used WHERE n > 0) GROUP BY ALL),
+t_per AS (SELECT service, count(*) FILTER (daytype = 'weekend') AS we, count(*) FILTER (daytype = 'weekday') AS wd FROM t_picked GROUP BY service),
+t_own AS (SELECT r.*, isodow(r.day) >= 6 AND coalesce(p.we, 0) < 2 AS upper_only, CASE WHEN isodow(r.day) >= 6 AND coalesce(p.we, 0) >= 2 THEN 'weekend' ELSE 'weekday' END AS daytype,
+  coalesce(CASE WHEN isodow(r.day) >= 6 AND p.we >= 2 THEN p.we ELSE p.wd END, 0) AS pd, CASE WHEN key = '*error' OR key LIKE '%:error' OR key LIKE '%:signup' THEN {FLOOR} END AS floor FROM t_rows r LEFT JOIN t_per p USING (service) WHERE key NOT IN ('*warn', '*info')),
+t_band AS (SELECT o.*, a.mean, greatest(a.mean + k * a.std, b.mean + k * b.std) AS top, least(a.mean - k * a.std, b.mean - k * b.std) AS low FROM (SELECT *, CASE WHEN pd >= 3 THEN {TICK_SIGMAS[0]} ELSE {TICK_SIGMAS[1]} END AS k FROM t_own) o
+  LEFT JOIN t_base a ON a.service = o.service AND a.key = o.key AND a.daytype = o.daytype AND a.hour = o.hour LEFT JOIN t_base b ON b.service = o.service AND b.key = o.key AND b.daytype = o.daytype AND b.hour = (o.hour + 1) % 24),
+flagged AS (SELECT service, key, tick, n, CASE WHEN top IS NULL THEN coalesce(n >= floor, false) ELSE coalesce(n > top AND n >= floor, false) OR coalesce(key = '*total' AND NOT upper_only AND pd >= 3 AND mean >= 20 AND n < low, false) END AS high FROM t_band)"""
 STATED = f"""{FLAGGED},
 isl AS (SELECT *, row_number() OVER (PARTITION BY service, key ORDER BY tick) - row_number() OVER (PARTITION BY service, key, high ORDER BY tick) AS g FROM flagged),
 run AS (SELECT *, row_number() OVER (PARTITION BY service, key, high, g ORDER BY tick) AS r FROM isl),
@@ -95,9 +109,22 @@ def _baseline(spark: SparkSession, sf: str) -> DataFrame:
     return B.rebuild(*_parts(spark, sf))
 
 
+def _judged_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense hourly ticks of all keys but the view-only ones, judged against the baseline of the ticks themselves."""
+    dense = C.dense_ticks(stored(C.tick_counts(_lines(spark, sf)), "ticks"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("tick") / 24).cast("int"))
+    dense = stored(dense.withColumn("day", day).withColumn("hour", (F.col("tick") % 24).cast("int")), "dense")
+    hours = dense.filter("key = '*total'").select("service", "day", "hour", F.lit(1).alias("n_minutes"))
+    # one row: the last day
+    days = B.mark_days(hours.join(F.broadcast(hours.agg(F.max("day").alias("today")))), F.col("today"))
+    moments = dense.filter("n > 0").select("service", "key", "day", "hour", F.col("n").alias("sum"), (F.col("n") * F.col("n")).alias("sumsq"))
+    rows = B.lookups(dense.filter("key NOT IN ('*warn', '*info')"), B.rebuild(moments, hours, days, S.exclusions(spark)), days)
+    key = F.col("key")
+    return B.judged(rows, F.when((key == "*error") | key.endswith(":error") | key.endswith(":signup"), FLOOR), sigmas=TICK_SIGMAS)
+
+
 def _stated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _dense(spark, sf).filter("key LIKE '%:error' OR key = '*error'").withColumn("high", F.col("n") >= FLOOR)
-    return D.states(rows, ["service", "key"])
+    return D.states(_judged_ticks(spark, sf).select("service", "key", "tick", "n", "high"), ["service", "key"])
 
 
 def _changed(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,9 +158,21 @@ def s5_first_pattern(spark, sf):
     return S.table(spark, sf, "events").select(first.alias("pattern")).filter("pattern IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {STATED}, worst AS (SELECT service, key, arg_max(state, CASE state WHEN 'ALERTING' THEN 3 WHEN 'WARMING' THEN 2 WHEN 'COOLING' THEN 1 ELSE 0 END) AS worst FROM stated GROUP BY ALL) SELECT service, key, s.state, (worst = s.state)::INT AS \"on\" FROM worst, (VALUES ('NORMAL'), ('COOLING'), ('WARMING'), ('ALERTING')) s(state)")
+DOC_ROWS = [("error", "DOC-001"), ("signup", "DOC-001"), ("purchase", "DOC-002")]
+DOC_LINKS = "links AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in DOC_ROWS) + ") v(suffix, doc))"
+
+
+@query(f"""WITH {STATED}, {DOC_LINKS}, now AS (SELECT s.service, coalesce(l.doc, s.key) AS key, s.state FROM stated s LEFT JOIN links l ON s.key = s.service || ':' || l.suffix WHERE s.tick = (SELECT max(tick) - 200 FROM stated)),
+worst AS (SELECT service, key, arg_max(state, CASE state WHEN 'ALERTING' THEN 3 WHEN 'WARMING' THEN 2 WHEN 'COOLING' THEN 1 ELSE 0 END) AS worst FROM now GROUP BY ALL) SELECT service, key, s.state, (worst = s.state)::INT AS "on" FROM worst, (VALUES ('NORMAL'), ('COOLING'), ('WARMING'), ('ALERTING')) s(state)""")
 def s12_export(spark, sf):
-    return D.exported(_stated(spark, sf).select("service", "key", "state"))
+    """The states that keys have at a time, as one 0/1 row for each; a document's is the worst of its templates'."""
+    stated = stored(_stated(spark, sf), "stated")
+    at = stated.agg((F.max("tick") - 200).alias("tick"))
+    links = spark.createDataFrame(DOC_ROWS, "suffix string, doc string")
+    # one row, and the rows of a fixed list
+    now = stated.join(F.broadcast(at), "tick", "left_semi").withColumn("suffix", F.element_at(F.split("key", ":"), -1)).join(F.broadcast(links), "suffix", "left")
+    linked = F.col("key").contains(":") & F.col("doc").isNotNull()
+    return D.exported(now.select("service", F.when(linked, F.col("doc")).otherwise(F.col("key")).alias("key"), "state"))
 
 
 @query(f"""WITH {MOMENTS}, {HOURS}, per AS (SELECT m.service, m.key, m.hour, sum(m.sum)::DOUBLE / sum(h.n_minutes) AS mean FROM moments m JOIN hours h USING (service, day, hour) WHERE m.sum > 0 AND h.n_minutes >= 30 GROUP BY ALL),
@@ -231,7 +270,9 @@ def l2_template_dimension(spark, sf):
     return C.template_dimension(_lines(spark, sf))
 
 
-@query(f"""WITH {MINUTES}, f AS (SELECT service, key, day, hour, min(minute) AS first FROM minutes GROUP BY ALL), g AS (SELECT service, key, day, hour, unnest(generate_series(first, first // 60 * 60 + 59)) AS minute FROM f)
+@query(f"""WITH {MINUTES}, f AS (SELECT service, key, day, hour, min(minute) AS first FROM minutes WHERE key NOT LIKE '*%' GROUP BY ALL), span AS (SELECT service, min(minute) AS a FROM minutes GROUP BY service),
+g AS (SELECT service, key, day, hour, unnest(generate_series(first, first // 60 * 60 + 59)) AS minute FROM f
+  UNION ALL SELECT service, key, (DATE '1970-01-01' + (minute // 1440)::INT)::DATE, (minute // 60 % 24)::INT, minute FROM (SELECT service, unnest(generate_series(a, (SELECT max(minute) FROM minutes))) AS minute FROM span), (VALUES ('*total'), ('*error'), ('*warn'), ('*info')) v(key))
 SELECT g.service, g.key, g.day, g.hour, g.minute, coalesce(m.n, 0) AS n FROM g LEFT JOIN minutes m USING (service, key, day, hour, minute)""")
 def x4_zero_fill(spark, sf):
     return C.zero_filled(C.minute_counts(_lines(spark, sf)))
@@ -262,18 +303,26 @@ looked AS (SELECT o.*, a.mean, a.std, b.mean AS next_mean, b.std AS next_std, CA
 banded AS (SELECT *, greatest(mean + k * std, next_mean + k * next_std) AS band_high, least(mean - k * std, next_mean - k * next_std) AS band_low FROM looked)"""
 
 
-@query(f"""WITH {JUDGED} SELECT service, key, minute, n, round(band_low, 6) AS band_low, round(band_high, 6) AS band_high,
-CASE WHEN band_high IS NULL THEN coalesce(n >= floor, false) ELSE coalesce(n > band_high AND n >= floor, false) END AS high,
-round(CASE WHEN band_high IS NULL THEN coalesce(n / floor, 0) WHEN band_high > 0 THEN n / band_high ELSE (n > 0)::INT END, 6) AS score FROM banded WHERE n > 1""")
+DENSE_JUDGED = JUDGED.replace("own AS (SELECT m.*,", """span AS (SELECT service, min(minute) AS a, max(minute) AS b FROM minutes GROUP BY service), present AS (SELECT DISTINCT service, key FROM minutes),
+whole AS (SELECT p.service, p.key, unnest(generate_series(s.a, s.b)) AS minute FROM present p JOIN span s USING (service)),
+every AS (SELECT w.service, w.key, w.minute, (DATE '1970-01-01' + (w.minute // 1440)::INT)::DATE AS day, (w.minute // 60 % 24)::INT AS hour, coalesce(m.n, 0) AS n FROM whole w LEFT JOIN minutes m USING (service, key, minute)),
+own AS (SELECT m.*,""").replace("FROM minutes m LEFT JOIN per p USING (service)", "FROM every m LEFT JOIN per p USING (service)")
+
+
+@query(f"""WITH {DENSE_JUDGED}, j AS (SELECT *, coalesce(key = '*total' AND NOT upper_only AND pd >= 3 AND mean >= 20 AND n < band_low, false) AS "drop" FROM banded)
+SELECT service, key, day, hour, count(*) AS minutes, sum(n)::BIGINT AS n, round(max(band_high), 6) AS band_high, round(min(band_low), 6) AS band_low, count(*) FILTER ("drop") AS drops,
+count(*) FILTER ("drop" OR CASE WHEN band_high IS NULL THEN coalesce(n >= floor, false) ELSE coalesce(n > band_high AND n >= floor, false) END) AS high,
+round(max(CASE WHEN band_high IS NULL THEN coalesce(n / floor, 0) WHEN band_high > 0 THEN n / band_high ELSE (n > 0)::INT END), 6) AS score FROM j GROUP BY ALL""")
 def d1_d2_judged_minutes(spark, sf):
-    """Minutes of several lines judged against their band, with a floor of 2; a drop needs a mean of 20 and never occurs."""
+    """Every minute of each key from its service's first line to its last judged, silent ones too, and summed up by hour."""
     moments, hours, days, out = _parts(spark, sf)
-    minutes = C.minute_counts(_lines(spark, sf))
+    minutes = C.dense_minutes(stored(C.minute_counts(_lines(spark, sf)), "minutes"))
     rows = B.lookups(minutes, stored(B.rebuild(moments, hours, days, out), "baseline"), days)
     key = F.col("key")
     floor = F.when((key == "*error") | key.endswith(":error") | (key == "*warn") | key.endswith(":signup"), 2)
-    rows = B.judged(rows, floor).filter("n > 1")
-    return rows.select("service", "key", "minute", "n", F.round("band_low", 6).alias("band_low"), F.round("band_high", 6).alias("band_high"), "high", F.round("score", 6).alias("score"))
+    rows = B.judged(rows, floor)
+    per = rows.groupBy("service", "key", "day", "hour").agg(F.count("*").alias("minutes"), F.sum("n").alias("n"), F.round(F.max("band_high"), 6).alias("band_high"), F.round(F.min("band_low"), 6).alias("band_low"), F.count_if("dropped").alias("drops"), F.count_if("high").alias("high"), F.round(F.max("score"), 6).alias("score"))
+    return per
 
 
 @query(f"WITH {STATED} SELECT service, key, tick, n, high, state FROM stated")
@@ -286,9 +335,6 @@ def x7_changes(spark, sf):
     return _changed(spark, sf)
 
 
-DOC_LINKS = "links AS (SELECT * FROM (VALUES ('error', 'DOC-001'), ('signup', 'DOC-001'), ('purchase', 'DOC-002')) v(suffix, doc))"
-
-
 @query(f"""WITH {BASE}, {DOC_LINKS}, t AS (SELECT m.service, l.doc, m.minute, m.day, m.hour, sum(m.n)::BIGINT AS n FROM minutes m JOIN links l ON m.key = m.service || ':' || l.suffix GROUP BY ALL),
 b AS (SELECT b.service, l.doc, b.daytype, b.hour, sum(mean) AS mean, sum(std) AS std FROM baseline b JOIN links l ON b.key = b.service || ':' || l.suffix GROUP BY ALL)
 SELECT t.service, 'doc:' || t.doc AS key, t.minute, t.n, round(b.mean + 3 * b.std, 6) AS band_high FROM t LEFT JOIN b ON b.service = t.service AND b.doc = t.doc AND b.hour = t.hour AND b.daytype = CASE WHEN isodow(t.day) >= 6 THEN 'weekend' ELSE 'weekday' END""")
@@ -344,21 +390,45 @@ def j13_overlaps(spark, sf):
     return pairs.filter("key < other_key").select("service", "key", "start", "other_key", "other_start")
 
 
-@query(f"""WITH {PERIODS}, m AS (SELECT service, template AS key, module, floor(epoch(lts) / 3600)::BIGINT AS tick, count(*) AS n FROM lines GROUP BY ALL)
-SELECT p.service, p.key, m.module, sum(m.n)::BIGINT AS total, count(DISTINCT m.tick) AS ticks, max(m.n) AS peak FROM periods p JOIN m ON m.service = p.service AND m.key = p.key AND m.tick >= p.start AND m.tick < p."end" GROUP BY ALL""")
+#: The window of hours that module alerts are asked for.
+WINDOW = (200, 500)
+
+
+@query(f"""WITH {CHANGED}, lo AS (SELECT min(tick) + {WINDOW[0]} AS lo, min(tick) + {WINDOW[1]} AS hi FROM ticks),
+e AS (SELECT x.*, x.to_state IN ('WARMING', 'ALERTING') AS inside, coalesce(lag(x.to_state IN ('WARMING', 'ALERTING')) OVER (PARTITION BY x.service, x.key ORDER BY x.at), false) AS was FROM changed x WHERE x.key NOT LIKE '*%'),
+p AS (SELECT * FROM (SELECT x.service, x.key, x.inside, x.at - 1 - CASE WHEN x.from_state = 'NORMAL' AND x.to_state = 'WARMING' THEN 1 ELSE 0 END AS a, coalesce(lead(x.at) OVER (PARTITION BY x.service, x.key ORDER BY x.at) - 1, (SELECT hi FROM lo)) AS b FROM e x WHERE x.inside <> x.was), lo WHERE inside AND a < hi AND b > lo),
+al AS (SELECT DISTINCT service, key FROM (SELECT x.service, x.key, x.to_state, x.at - 1 AS a, coalesce(lead(x.at) OVER (PARTITION BY x.service, x.key ORDER BY x.at) - 1, (SELECT hi FROM lo)) AS b FROM changed x), lo WHERE to_state = 'ALERTING' AND a < hi AND b > lo),
+h AS (SELECT service, key, unnest(generate_series(greatest(a, lo), least(b, hi) - 1)) AS tick FROM p),
+m AS (SELECT service, template AS key, module, floor(epoch(lts) / 3600)::BIGINT AS tick, count(*) AS n FROM lines GROUP BY ALL),
+w AS (SELECT service, key, sum(n)::BIGINT AS total, max(n) AS peak FROM (SELECT service, key, tick, sum(n)::BIGINT AS n FROM m JOIN h USING (service, key, tick) GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT service, key, count(*) AS ticks FROM h GROUP BY ALL)
+SELECT m.service, m.key, m.module, max(c.ticks) AS ticks, sum(m.n)::BIGINT AS total, max(m.n) AS peak, round(sum(m.n) / max(c.ticks), 6) AS mean, max(w.total) AS template_total, max(w.peak) AS template_peak, CASE WHEN max(al.key) IS NULL THEN 'WARMING' ELSE 'ALERTING' END AS peak_state
+FROM m JOIN h USING (service, key, tick) JOIN w USING (service, key) JOIN c USING (service, key) LEFT JOIN al ON al.service = m.service AND al.key = m.key GROUP BY m.service, m.key, m.module""")
 def d11_j15_module_alerts(spark, sf):
-    """Lines of each module within the periods of their template."""
-    per = _lines(spark, sf).groupBy("service", F.col("template").alias("key"), "module", S.tick_number().alias("tick")).agg(F.count("*").alias("n"))
-    ticks = D.hours_touched(_periods(spark, sf)).select("service", "key", F.col("h").alias("tick"))
-    return per.join(ticks, ["service", "key", "tick"]).groupBy("service", "key", "module").agg(F.sum("n").alias("total"), F.countDistinct("tick").alias("ticks"), F.max("n").alias("peak"))
+    """Lines of each module while their template warms or alerts, within a window of hours."""
+    lines = _lines(spark, sf)
+    first = lines.agg(F.min(S.tick_number())).first()[0] or 0
+    per = lines.groupBy("service", F.col("template").alias("key"), "module", S.tick_number().alias("tick")).agg(F.count("*").alias("n"))
+    changed = stored(_changed(spark, sf).filter("key NOT LIKE '*%'"), "changes")
+    out = D.module_alerts(changed, per, first + WINDOW[0], first + WINDOW[1])
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+ALERT_LINKS = [("svc0", "svc0:purchase", "DOC-002"), ("svc2", "svc2:signup", "DOC-001")]
+ALERT_EDGES = [("svc0:error", "svc0:signup"), ("svc1:signup", "svc1:error"), ("svc2:signup", "svc2:error")]
 
 
-@query(f"""WITH {STATED}, w AS (SELECT service, key, tick, arg_max(state, CASE state WHEN 'ALERTING' THEN 3 WHEN 'WARMING' THEN 2 WHEN 'COOLING' THEN 1 ELSE 0 END) AS state FROM stated GROUP BY ALL)
-SELECT service, CASE WHEN key LIKE '*%' THEN 'service' ELSE 'template' END AS kind, count(*) FILTER (state = 'ALERTING') AS alerting, count(*) FILTER (state = 'WARMING') AS warming, min(tick) FILTER (state <> 'NORMAL') AS since FROM w GROUP BY ALL""")
+@query(f"""WITH {STATED}, linked AS (SELECT * FROM (VALUES ('svc0', 'svc0:purchase', 'DOC-002'), ('svc2', 'svc2:signup', 'DOC-001')) v(service, key, doc)), roots AS (SELECT * FROM (VALUES ('svc0:signup', 'svc0:error'), ('svc1:signup', 'svc1:error')) v(key, root)),
+m AS (SELECT *, max(CASE WHEN state <> prev THEN tick + 1 END) OVER (PARTITION BY service, key ORDER BY tick) AS since FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY service, key ORDER BY tick), 'NORMAL') AS prev FROM stated)),
+g AS (SELECT m.*, CASE WHEN m.key LIKE '*%' THEN 'service' WHEN doc IS NOT NULL THEN 'document' ELSE 'template' END AS kind, CASE WHEN m.key LIKE '*%' THEN NULL ELSE coalesce(doc, root, m.key) END AS ident FROM m LEFT JOIN linked l USING (service, key) LEFT JOIN roots r ON r.key = m.key WHERE state <> 'NORMAL')
+SELECT service, tick, CASE WHEN kind = 'template' AND count(*) > 1 THEN 'cluster' ELSE kind END AS kind, CASE WHEN kind = 'document' THEN ident END AS doc, arg_max(state, CASE state WHEN 'ALERTING' THEN 3 WHEN 'COOLING' THEN 2 ELSE 1 END) AS state, min(since) AS since, string_agg(key, ',' ORDER BY key) AS keys FROM g GROUP BY service, tick, kind, ident""")
 def d12_alert_groups(spark, sf):
-    kind = F.when(F.col("key").startswith("*"), "service").otherwise("template")
-    s = F.col("state")
-    return _stated(spark, sf).groupBy("service", kind.alias("kind")).agg(F.count_if(s == "ALERTING").alias("alerting"), F.count_if(s == "WARMING").alias("warming"), F.min(F.when(s != "NORMAL", F.col("tick"))).alias("since"))
+    """What an operator sees at each hour: groups of keys out of their band, by service, document, or cluster of templates."""
+    stated = stored(_stated(spark, sf), "stated")
+    links = spark.createDataFrame(ALERT_LINKS, "service string, key string, doc string")
+    edges = spark.createDataFrame(ALERT_EDGES, "a string, b string").join(links.select(F.col("key").alias("a")), "a", "left_anti").join(links.select(F.col("key").alias("b")), "b", "left_anti")
+    roots = K.clusters(stated.filter("key NOT LIKE '*%'").select(F.col("key").alias("id")).distinct(), edges)
+    return D.alert_groups(stated, links, roots.select(F.col("id").alias("key"), F.col("cluster").alias("root")))
 
 
 # ---- views
