@@ -324,3 +324,23 @@ def test_service_keys_are_filled_from_the_first_minute(spark):
     got = {(r.service, r.key, r.minute % 1440): r.n for r in counts.zero_filled(counts.minute_counts(lines(spark, own))).collect()}
     assert {k[2] for k in got if k[:2] == ("a", "*warn")} == {58, 59, 60, 61, 62} and {k[2] for k in got if k[:2] == ("b", "*warn")} == {62}
     assert {k[2] for k in got if k[:2] == ("a", "a:T")} == {58, 59} and got["a", "*error", 58] == 1 and got["a", "*total", 60] == 0
+
+
+def test_principal_residuals_are_those_of_the_whole_matrix(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    counts_ = {s: rng.poisson(rng.uniform(0.2, 9, n), (60, n)) for s, n in (("a", 5), ("b", 3), ("c", 1))}
+    counts_["b"][:, 1] = 0  # a key without counts
+    rows = [(s, f"k{j}", i, int(x[i, j])) for s, x in counts_.items() for i in range(60) for j in range(x.shape[1])]
+    got = {(r.service, r.tick): r for r in lab.principal(spark.createDataFrame(rows, "service string, key string, tick bigint, n bigint")).collect()}
+    assert len(got) == 180
+    for s, x in counts_.items():
+        x = x - x.mean(axis=0)
+        _, vectors = np.linalg.eigh(x.T @ x)
+        lead = vectors[:, ::-1][:, :2]
+        want = ((x - x @ lead @ lead.T) ** 2).sum(axis=1)
+        assert np.allclose([got[s, i].score for i in range(60)], want, rtol=1e-3, atol=1e-2)
+        have = np.array([got[s, i].score for i in range(60)])
+        if want.max() > 1e-6:
+            assert [got[s, i].high for i in range(60)] == (have > np.quantile(have, 0.995)).tolist()

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 SERIES = "service string, key string, tick bigint, score double, high boolean"
 
 
@@ -67,27 +69,48 @@ def left_profile(ticks: DataFrame, m: int = 24) -> DataFrame:
 def principal(ticks: DataFrame, components: int = 2) -> DataFrame:
     """Squared residual of each tick's counts of all keys off their leading principal components, by service.
 
-    Components come from power iteration with deflation on the key-by-key covariance.
+    The covariance of the keys is summed from the counts that are not zero, pair by pair within a tick; only that matrix of
+    a service, keys by keys, comes together in a task, for power iteration with deflation.  Ticks are scored by sums over
+    their own counts: a count of zero adds nothing to them, and what the means add is a constant of the service.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot_table(index="tick", columns="key", values="n", fill_value=0).sort_index()
-        x = wide.to_numpy(float)
-        x = x - x.mean(axis=0)
-        cov, rest = x.T @ x / max(len(x) - 1, 1), x.copy()
-        for _ in range(min(components, cov.shape[0])):
-            v = np.ones(cov.shape[0]) / np.sqrt(cov.shape[0])
+    spans = ticks.groupBy("service").agg(F.countDistinct("tick").alias("ticks"))
+    counts = ticks.filter("n <> 0").select("service", "tick", "key", F.col("n").cast("double").alias("n"))
+    sums = ticks.groupBy("service", "key").agg(F.sum("n").cast("double").alias("total"))
+    other = counts.select("service", "tick", F.col("key").alias("other"), F.col("n").alias("m"))
+    products = counts.join(other, ["service", "tick"]).groupBy("service", "key", "other").agg(F.sum(F.col("n") * F.col("m")).alias("p"))
+    # a key without counts has a row of its own, with no product
+    entries = sums.join(spans, "service").join(products, ["service", "key"], "left").select("service", "key", "total", "ticks", "other", "p")
+
+    def leading(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = sorted(frame["key"].unique())
+        place, n, ticks_ = {k: i for i, k in enumerate(keys)}, len(keys), int(frame["ticks"].iloc[0])
+        mean = frame.drop_duplicates("key").set_index("key")["total"].reindex(keys).to_numpy() / ticks_
+        cov, some = np.zeros((n, n)), frame.dropna(subset=["other"])
+        cov[some["key"].map(place), some["other"].map(place)] = some["p"]
+        cov = (cov - ticks_ * np.outer(mean, mean)) / max(ticks_ - 1, 1)
+        out = pd.DataFrame({"service": frame["service"].iloc[0], "key": keys, "mean": mean})
+        found = []
+        for _ in range(components):
+            v = np.ones(n) / np.sqrt(n)
             for _ in range(200):
                 u = cov @ v
                 if not (size := np.linalg.norm(u)):
                     break
                 v = u / size
-            rest = rest - np.outer(rest @ v, v)
             cov = cov - np.outer(cov @ v, v)
-        q = (rest**2).sum(axis=1)
-        return pd.DataFrame({"service": frame["service"].iloc[0], "key": "*pca", "tick": wide.index, "score": q, "high": q > np.quantile(q, 0.995)})
+            found.append(v if len(found) < n else np.zeros(n))
+        return out.assign(v=np.stack(found, axis=1).tolist())
 
-    return ticks.groupBy("service").applyInPandas(run, SERIES)
+    weights = stored(entries.groupBy("service").applyInPandas(leading, "service string, key string, mean double, v array<double>"), "components")
+    along = lambda x: [F.sum(x * F.col("v")[i]).alias(f"a{i}") for i in range(components)]
+    constant = weights.groupBy("service").agg(F.sum(F.col("mean") * F.col("mean")).alias("m2"), *(c.alias(f"c{i}") for i, c in enumerate(along(F.col("mean")))))
+    own = counts.join(weights, ["service", "key"]).groupBy("service", "tick").agg(F.sum(F.col("n") * F.col("n") - 2 * F.col("n") * F.col("mean")).alias("x2"), *along(F.col("n")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    rows = ticks.select("service", "tick").distinct().join(own, ["service", "tick"], "left").join(constant, "service")
+    score = zero("x2") + F.col("m2") - sum((F.pow(zero(f"a{i}") - F.col(f"c{i}"), 2) for i in range(components)), F.lit(0.0))
+    scored = stored(rows.select("service", "tick", F.greatest(score, F.lit(0.0)).alias("score")), "residuals")
+    limit = scored.groupBy("service").agg(F.percentile("score", F.lit(0.995)).alias("limit"))
+    return scored.join(limit, "service").select("service", F.lit("*pca").alias("key"), "tick", "score", (F.col("score") > F.col("limit")).alias("high"))
 
 
 def vote(*flags: DataFrame, least: int = 2) -> DataFrame:
@@ -123,7 +146,7 @@ def naive_errors(ticks: DataFrame) -> DataFrame:
     return per.withColumn("ratio", F.when(F.col("mae_day") > 0, F.col("mae_week") / F.col("mae_day")))
 
 
-def bootstrap(days: DataFrame, value: str, draws: int = 200, seed: int = 11) -> DataFrame:
+def bootstrap(days: DataFrame, value: str, draws: int = 1000, seed: int = 11) -> DataFrame:
     """5th and 95th percentile of the mean over resampled days, by service: each draw picks as many days as there are."""
     n = F.count("*").over(Window.partitionBy("service"))
     numbered = days.withColumn("i", F.row_number().over(Window.partitionBy("service").orderBy("day")) - 1).withColumn("n", n)

@@ -136,14 +136,14 @@ def b12_normal_mask(spark, sf):
     return V.normal_mask(ticks.filter("key = '*total'"), out, _plan(ticks)).select("service", "key", "tick", "n")
 
 
-@query(f"""WITH {DENSE}, t AS (SELECT service, key, (DATE '1970-01-01' + (tick // 24)::INT)::DATE AS day, (tick % 24)::INT AS hour, n FROM dense WHERE key = '*total'), m AS (SELECT service, key, day, avg(n) AS centre FROM t GROUP BY ALL)
-SELECT t.service, t.day, t.hour, t.n, round(m.centre, 9) AS centre FROM t JOIN m ON m.service = t.service AND m.key = t.key AND m.day = CASE WHEN t.hour < 2 THEN t.day - 1 ELSE t.day END""")
+@query(f"""WITH {DENSE}, t AS (SELECT service, key, (DATE '1970-01-01' + (tick // 24)::INT)::DATE AS day, (tick % 24)::INT AS hour, n FROM dense), m AS (SELECT service, key, day, avg(n) AS centre FROM t GROUP BY ALL)
+SELECT t.service, t.key, t.day, t.hour, t.n, round(m.centre, 9) AS centre FROM t JOIN m ON m.service = t.service AND m.key = t.key AND m.day = CASE WHEN t.hour < 2 THEN t.day - 1 ELSE t.day END""")
 def b9_switch(spark, sf):
     """Before 02:00 the model of the day before is in force."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("tick") / 24).cast("int"))
-    t = _dense(spark, sf).filter("key = '*total'").select("service", "key", day.alias("day"), (F.col("tick") % 24).cast("int").alias("hour"), "n")
+    t = _dense(spark, sf).select("service", "key", day.alias("day"), (F.col("tick") % 24).cast("int").alias("hour"), "n")
     model = t.groupBy("service", "key", "day").agg(F.avg("n").alias("centre"))
-    return V.switched(model, t).select("service", "day", "hour", "n", F.round("centre", 9).alias("centre"))
+    return V.switched(model, t).select("service", "key", "day", "hour", "n", F.round("centre", 9).alias("centre"))
 
 
 @query()
@@ -168,13 +168,13 @@ def m4_ratio_band(spark, sf):
     """Errors among all lines of an hour, under the binomial of the service's share."""
     per = _lines(spark, sf).groupBy("service", S.tick_number().alias("tick")).agg(F.count("*").alias("total"), F.count_if(F.col("level") == "ERROR").alias("errors"))
     share = per.groupBy("service").agg(F.round(F.sum("errors") / F.sum("total"), 6).alias("share"))
-    return V.ratio_band(per.join(F.broadcast(share), "service")).select("service", "tick", "errors", "low", "high")  # a row for each service
+    return V.ratio_band(per.join(share, "service")).select("service", "tick", "errors", "low", "high")
 
 
-@query(f"""WITH {HISTORY}, {SIGMA_SQL} SELECT t.service, t.key, t.day, t.hour, t.s AS n, round(s.mean * 60, 6) AS expected, t.s > (s.mean + 3 * sqrt(s.var)) * 60 AS above FROM hist t JOIN sigma s USING (service, key, day, hour) WHERE t.key = '*error'""")
+@query(f"""WITH {HISTORY}, {SIGMA_SQL} SELECT t.service, t.key, t.day, t.hour, t.s AS n, round(s.mean * 60, 6) AS expected, t.s > (s.mean + 3 * sqrt(s.var)) * 60 AS above FROM hist t JOIN sigma s USING (service, key, day, hour)""")
 def b4_band_series(spark, sf):
     trained, tests = _trained(spark, sf)
-    rows = tests.filter("key = '*error'").join(N.sigma_band(trained, 3.0).select("service", "key", "day", "hour", "mean", "high"), ["service", "key", "day", "hour"])
+    rows = tests.join(N.sigma_band(trained, 3.0).select("service", "key", "day", "hour", "mean", "high"), ["service", "key", "day", "hour"])
     return rows.select("service", "key", "day", "hour", F.col("s").alias("n"), F.round(F.col("mean") * 60, 6).alias("expected"), (F.col("s") > F.col("high") * 60).alias("above"))
 
 
@@ -222,9 +222,9 @@ def f25_parsed_times(spark, sf):
     return e.select("event_id", (F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)).alias("at"))
 
 
-@query(f"WITH {MINUTES} SELECT service, key, day, hour, ((minute % 60) // 5)::INT AS slot, round(sum(n) / 5, 6) AS mean, max(n) > 1 AS \"any\" FROM minutes WHERE key = '*total' GROUP BY ALL")
+@query(f"WITH {MINUTES} SELECT service, key, day, hour, ((minute % 60) // 5)::INT AS slot, round(sum(n) / 5, 6) AS mean, max(n) > 1 AS \"any\" FROM minutes GROUP BY ALL")
 def r3_downsampled(spark, sf):
-    rows = C.minute_counts(_lines(spark, sf)).filter("key = '*total'")
+    rows = C.minute_counts(_lines(spark, sf))
     return rows.groupBy("service", "key", "day", "hour", F.floor((F.col("minute") % 60) / 5).cast("int").alias("slot")).agg(F.round(F.sum("n") / 5, 6).alias("mean"), (F.max("n") > 1).alias("any"))
 
 
@@ -268,11 +268,9 @@ def d7_top_excess(spark, sf):
     return per.withColumn("rn", F.row_number().over(order)).filter("rn <= 3").select("service", "day", "key", F.round("excess", 6).alias("excess"))
 
 
-@query(f"""WITH {DENSE} SELECT service, tick, n, n >= {FLOOR} + 6 AS high FROM dense WHERE key = '*total' AND n > (SELECT avg(n) FROM dense WHERE key = '*total')""")
+@query(f"""WITH {DENSE} SELECT service, key, tick, n, n >= {FLOOR} + 6 AS high FROM dense""")
 def b10_floor_alerts(spark, sf):
-    rows = _dense(spark, sf).filter("key = '*total'")
-    # one row: the mean
-    return rows.join(F.broadcast(rows.agg(F.avg("n").alias("mean")))).filter("n > mean").select("service", "tick", "n", (F.col("n") >= FLOOR + 6).alias("high"))
+    return _dense(spark, sf).select("service", "key", "tick", "n", (F.col("n") >= FLOOR + 6).alias("high"))
 
 
 @query(f"""WITH {STATED} SELECT service, tick, count(*) FILTER (state <> 'NORMAL') AS out FROM stated GROUP BY ALL HAVING count(*) FILTER (state <> 'NORMAL') > 0""")
@@ -313,8 +311,8 @@ def x15_lane_plan(spark, sf):
     held = spark.createDataFrame(LANES, "service string, pattern string, oldest bigint")
     oldest = held.groupBy("service").agg(F.when(F.count_if(F.col("oldest").isNull()) > 0, None).otherwise(F.max("oldest")).alias("oldest"))
     hours = C.tick_counts(_lines(spark, sf)).select("service", F.col("tick").alias("h")).distinct()
-    # a row for each service, and one for the live hour
-    rows = hours.join(F.broadcast(oldest), "service").join(F.broadcast(hours.agg(F.max("h").alias("live"))))
+    # one row: the live hour
+    rows = hours.join(oldest, "service").join(F.broadcast(hours.agg(F.max("h").alias("live"))))
     lane = F.when(F.col("oldest").isNull(), "not held").when(F.col("h") < F.col("oldest"), "too old").when(F.col("h") >= F.col("live"), "live").otherwise("read")
     return rows.groupBy("service", lane.alias("lane")).agg(F.count("*").alias("n"))
 

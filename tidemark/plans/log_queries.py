@@ -510,15 +510,24 @@ def p13_p14_kinds(spark, sf):
 # ---- lab
 
 
-@query(f"""WITH {DENSE}, e AS (SELECT *, tick % 24 AS h FROM dense WHERE key LIKE '*%'), c AS (SELECT service, key, h, median(n)::DOUBLE AS c FROM e GROUP BY ALL), o AS (SELECT e.*, c.c, abs(e.n - c.c) AS off FROM e JOIN c USING (service, key, h)),
-s AS (SELECT service, key, h, 1.4826 * median(off) AS mad FROM o GROUP BY ALL) SELECT service, key, tick, n, c, round(mad, 9) AS mad, off > greatest(4 * mad, 1) AS high FROM o JOIN s USING (service, key, h)""")
+MAD = """e AS (SELECT *, tick % 24 AS h FROM dense), c AS (SELECT service, key, h, median(n)::DOUBLE AS c FROM e GROUP BY ALL), o AS (SELECT e.*, c.c, abs(e.n - c.c) AS off FROM e JOIN c USING (service, key, h)),
+s AS (SELECT service, key, h, 1.4826 * median(off) AS mad FROM o GROUP BY ALL), mad AS (SELECT service, key, tick, n, c, round(mad, 9) AS mad, off > greatest(4 * mad, 1) AS high FROM o JOIN s USING (service, key, h))"""
+WEEKLY = "weekly AS (SELECT a.service, a.key, a.tick, a.n, b.n AS before, a.n > 2 * b.n AND a.n >= 4 AS high FROM dense a JOIN dense b ON b.service = a.service AND b.key = a.key AND b.tick = a.tick - 168)"
+#: One tick of all keys at a time.
+CUSUM = """series AS MATERIALIZED (SELECT service, key, tick, n, greatest(avg(n) OVER (PARTITION BY service, key), 1e-9)::DOUBLE AS rate, row_number() OVER (PARTITION BY service, key ORDER BY tick) AS i FROM dense),
+sums AS (SELECT service, key, tick, i, greatest(n * ln(1.5) - 0.5 * rate, 0)::DOUBLE AS s FROM series WHERE i = 1
+    UNION ALL SELECT x.service, x.key, x.tick, x.i, greatest(CASE WHEN c.s > 5 THEN 0 ELSE c.s END + x.n * ln(1.5) - 0.5 * x.rate, 0)::DOUBLE FROM sums c JOIN series x ON x.service = c.service AND x.key = c.key AND x.i = c.i + 1),
+cusum AS (SELECT service, key, tick, round(s, 6) AS score, s > 5 AS high FROM sums)"""
+
+
+@query(f"WITH {DENSE}, {MAD} SELECT * FROM mad")
 def b7_mad(spark, sf):
-    return L.mad_band(_dense(spark, sf).filter("key LIKE '*%'"), 4.0).withColumn("mad", F.round("mad", 9))
+    return L.mad_band(_dense(spark, sf), 4.0).withColumn("mad", F.round("mad", 9))
 
 
-@query(f"""WITH {DENSE} SELECT a.service, a.key, a.tick, a.n, b.n AS before, a.n > 2 * b.n AND a.n >= 4 AS high FROM dense a JOIN dense b ON b.service = a.service AND b.key = a.key AND b.tick = a.tick - 168 WHERE a.key LIKE '*%'""")
+@query(f"WITH {DENSE}, {WEEKLY} SELECT * FROM weekly")
 def b7_weekly(spark, sf):
-    return L.weekly(_dense(spark, sf).filter("key LIKE '*%'"), 2, 4)
+    return L.weekly(_dense(spark, sf), 2, 4)
 
 
 @query(f"""WITH {STATED}, o AS (SELECT *, state <> 'NORMAL' AS out FROM stated), s AS (SELECT *, CASE WHEN out AND NOT coalesce(lag(out) OVER (PARTITION BY service, key ORDER BY tick), false) THEN 1 ELSE 0 END AS new FROM o),
@@ -535,9 +544,9 @@ def a18_naive_errors(spark, sf):
     return out.select("service", "key", *(F.round(c, 9).alias(c) for c in ("mae_week", "mae_day", "ratio")))
 
 
-@query()
+@query(f"WITH RECURSIVE {DENSE}, {CUSUM} SELECT * FROM cusum")
 def b7_cusum(spark, sf):
-    return L.cusum(_dense(spark, sf).filter("key LIKE '*%'"))
+    return L.cusum(_dense(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -545,15 +554,16 @@ def b7_pca(spark, sf):
     return L.principal(_dense(spark, sf).filter("key NOT LIKE '*%'"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DENSE}, {MAD}, {WEEKLY}, {CUSUM}, flags AS (SELECT service, key, tick, high FROM mad UNION ALL SELECT service, key, tick, high FROM weekly UNION ALL SELECT service, key, tick, high FROM cusum)
+SELECT service, key, tick, count(*) FILTER (high) >= 2 AS high FROM flags GROUP BY ALL""")
 def b7_vote(spark, sf):
-    ticks = _dense(spark, sf).filter("key LIKE '*%'")
+    ticks = _dense(spark, sf)
     return L.vote(L.mad_band(ticks, 4.0), L.weekly(ticks, 2, 4), L.cusum(ticks))
 
 
 @query()
 def w8_left_profile(spark, sf):
-    return L.left_profile(_dense(spark, sf).filter("key = '*total'"))
+    return L.left_profile(_dense(spark, sf))
 
 
 @query()
