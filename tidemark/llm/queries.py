@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
+from .conversations import conversation_repairs
 from .decontamination import ORACLE as HITS_SQL
 from .decontamination import contamination
+from .lexical import ORACLE as RANKED_SQL
+from .lexical import ranked
 from .licenses import license_matches
 from .media import media_columns
 from .mixing import ORACLE as MIX_SQL
@@ -77,5 +80,13 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_quality_rules, op3_mix_sources, op4_simhash, op5_pii, op6_token_store, op7_token_counts, op8_media, op9_licenses, op10_bpe, op11_decontamination)}
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_sql(), "op3_mix_sources": MIX_SQL, "op11_decontamination": HITS_SQL}
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_quality_rules, op3_mix_sources, op4_simhash, op5_pii, op6_token_store, op7_token_counts, op8_media, op9_licenses, op10_bpe, op11_decontamination, op12_conversations, op13_lexical)}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_sql(), "op3_mix_sources": MIX_SQL, "op11_decontamination": HITS_SQL, "op13_lexical": RANKED_SQL}
