@@ -259,9 +259,12 @@ def test_ranked_of_nothing(docs, items):
     assert lexical.ranked(docs.limit(0), items).collect() == [] and lexical.ranked(docs, items.limit(0)).collect() == []
 
 
-def test_items_are_proven_in_upper_tiers(spark):
-    """Most items never reach the lowest tiers, where the common words are."""
-    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+def test_residual_bounds(spark):
+    """No posting below a tier gains more than its term's bound, and upper tiers hold the lists of rare terms first."""
+    docs, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
     index = lexical.TieredIndex(docs, lexical._asked(items))
-    sizes = {r.tier: r["count"] for r in index.postings.groupBy("tier").count().collect()}
-    assert sum(n for t, n in sizes.items() if t <= 3) < 0.4 * sum(sizes.values())
+    both = index.postings.join(index.bounds, "term")
+    for k in range(len(lexical.TIERS) + 1):
+        assert both.filter(F.col("tier") > k).filter(F.col("gain") > F.col(f"below{k}")).isEmpty()
+    often = {r.tier: r.n for r in index.postings.join(index.postings.groupBy("term").count(), "term").groupBy("tier").agg(F.avg("count").alias("n")).collect()}
+    assert [often[t] for t in sorted(often)] == sorted(often.values())
