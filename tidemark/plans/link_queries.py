@@ -174,15 +174,18 @@ def f6_f10_p4_masks(spark, sf):
 
 @query()
 def f1_f12_normalised(spark, sf):
-    """Normalised lines of the documents."""
+    """Normalised lines of whole documents that say something, in order; each distinct line is normalised once."""
     d = S.table(spark, sf, "documents")
-    return d.select("doc_id", T.error_lines(F.col("text")).alias("lines"), T.find_level(F.col("text")).alias("level"))
+    placed = d.select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("place", "line"))
+    wordings = placed.select("line").distinct().withColumn("wording", T.normalised(F.col("line"), None, None)).filter(T.wording(F.col("wording")))
+    lines = placed.join(wordings, "line").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "wording"))), lambda x: x["wording"]).alias("lines"))
+    return d.select("doc_id", T.find_level(F.col("text")).alias("level")).join(lines, "doc_id", "left").select("doc_id", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"), "level")
 
 
 @query()
 def f3_f5_pages(spark, sf):
     p = S.table(spark, sf, "pages")
-    return p.select("page_id", T.collapsed(T.reduced_xml(T.unescaped(F.col("html"))), None).alias("words"))
+    return p.select("page_id", T.collapsed(T.tokens_of(T.reduced_xml(T.unescaped(F.col("html")))), None).alias("words"))
 
 
 @query()
