@@ -91,7 +91,7 @@ def array_minutes(arrays: DataFrame) -> DataFrame:
 SERVICE_KEYS = ("*total", "*error", "*warn", "*info")
 
 
-def _dated(minutes: DataFrame) -> DataFrame:
+def dated(minutes: DataFrame) -> DataFrame:
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("minute") / 1440).cast("int"))
     return minutes.withColumn("day", day).withColumn("hour", (F.floor(F.col("minute") / 60) % 24).cast("int"))
 
@@ -105,7 +105,7 @@ def zero_filled(minutes: DataFrame) -> DataFrame:
     ends = minutes.agg(F.max("minute").alias("b"))  # one row
     spans = minutes.groupBy("service").agg(F.min("minute").alias("a")).join(F.broadcast(ends))
     every = spans.select("service", F.explode(F.sequence("a", "b")).alias("minute")).withColumn("key", F.explode(F.array(*map(F.lit, SERVICE_KEYS))))
-    return grid.unionByName(_dated(every).select(*on)).join(minutes, on, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return grid.unionByName(dated(every).select(*on)).join(minutes, on, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def dense_minutes(minutes: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def dense_minutes(minutes: DataFrame) -> DataFrame:
     ends = minutes.groupBy("service").agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
     keys = minutes.select("service", "key").distinct().join(ends, "service")
     grid = keys.select("service", "key", F.explode(F.sequence("a", "b")).alias("minute"))
-    return _dated(grid.join(minutes.select("service", "key", "minute", "n"), ["service", "key", "minute"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    return dated(grid.join(minutes.select("service", "key", "minute", "n"), ["service", "key", "minute"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
 
 
 def dense_ticks(ticks: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import links as K
 from ..operators import templates as M
 from ..sources import driver_tables as S
 from ..sources import shared
-from ..streaming import live
+from ..streaming import live, minutes
 from .log_queries import BASE, CLASS, MINUTES, ORACLES, QUERIES, _changed, _lines, _parts, _stated, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -276,23 +276,68 @@ def t3_top_each(spark, sf):
 # ---- streams
 
 
-@query(f"WITH {S.LINES_SQL} SELECT service, template, count(*) AS n FROM lines GROUP BY ALL")
+@query(f"WITH {S.LINES_SQL} SELECT service, template, date_trunc('hour', ts) AS start, count(*) AS n FROM lines GROUP BY ALL")
 def x3_x5_stream_totals(spark, sf):
-    """The stream's windows, written batch by batch, add up to the batch counts (but for windows still open at the end)."""
-    from pyspark.sql.types import StructType
-
+    """Counts by window: those that the stream closed, and from the table those of windows still open at the end."""
     folder = shared.folder(spark, "stream")
-    schema: StructType = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    spark.createDataFrame([], "service string, template string, start timestamp, n bigint").write.parquet(f"{folder}/out/batch=-1")
+    stream = spark.readStream.schema(S.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     lines = stream.select("event_id", "ts", F.concat(F.lit("svc"), F.col("user_id") % 3).alias("service"), F.concat(F.lit("svc"), F.col("user_id") % 3, F.lit(":"), F.col("event_type")).alias("template"))
-    counts = live.windowed_counts(lines, window="1 hour")
-    live.replay(counts, f"{folder}/out", f"{folder}/checkpoint")
-    done = spark.read.parquet(f"{folder}/out")
-    last = done.groupBy("service", "template").agg(F.sum("n").alias("closed"))
-    # what the watermark has not passed yet is counted from the table
-    open_ = _lines(spark, sf).join(F.broadcast(done.agg(F.max("start").alias("closed_to"))), F.col("ts").cast("timestamp") >= F.col("closed_to") + F.expr("INTERVAL 1 HOUR"), "left_semi")
-    rest = open_.groupBy("service", "template").agg(F.count("*").alias("open"))
-    return last.join(rest, ["service", "template"], "full").select("service", "template", (F.coalesce("closed", F.lit(0)) + F.coalesce("open", F.lit(0))).alias("n"))
+    live.replay(live.windowed_counts(lines, window="1 hour"), f"{folder}/out", f"{folder}/checkpoint")
+    done = spark.read.schema("service string, template string, start timestamp, n bigint").parquet(f"{folder}/out").withColumn("start", F.col("start").cast("timestamp_ntz")).drop("batch")
+    every = _lines(spark, sf).groupBy("service", "template", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("n"))
+    # the watermark is one for all keys, so a window is closed for all or for none
+    return done.unionByName(every.join(done.select("start").distinct(), "start", "left_anti"))
+
+
+def _arriving(lines: DataFrame, slices: int, late: bool) -> DataFrame:
+    """Lines with the slice in which they arrive: by time, and, if ``late``, each fiftieth a slice behind its time."""
+    ends = lines.agg(F.min(S.minute_number()).alias("a"), F.max(S.minute_number()).alias("b"))  # one row
+    own = F.floor((S.minute_number() - F.col("a")) * slices / (F.col("b") - F.col("a") + 1))
+    behind = ((F.col("event_id") % 50 == 0) & F.lit(late)).cast("int")
+    return lines.join(F.broadcast(ends)).withColumn("slice", F.least(own + behind, F.lit(slices - 1)).cast("int")).drop("a", "b")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, clock: minutes.MinuteClock, slices: int) -> None:
+    """Each slice becomes a micro-batch of its own of a stream over the folder that it is written to."""
+    names = [f.split()[0] for f in minutes.FEED.split(", ")]
+    for i in range(slices):
+        rows.filter(F.col("slice") == i).select(*names).write.mode("append").parquet(f"{clock.path}/feed")
+        clock.run(spark.readStream.schema(minutes.FEED).parquet(f"{clock.path}/feed"), f"{clock.path}/checkpoint")
+
+
+def _as_feed(lines: DataFrame, source) -> DataFrame:
+    none = {"at": "bigint", "failed": "boolean", "upper": "timestamp_ntz", "caught_up": "boolean"}
+    return lines.select(F.lit("line").alias("kind"), source.alias("source"), "event_id", "service", "template", "level", "lts", *(F.lit(None).cast(t).alias(n) for n, t in none.items()), "slice")
+
+
+@query(ORACLES["x4_zero_fill"])
+def x3_x4_stream_zero_fill(spark, sf):
+    """The minutes that the stream closes, silent ones too, are those that the whole table gives."""
+    clock = minutes.MinuteClock(spark, shared.folder(spark, "minutes"), now=0)
+    lines = _lines(spark, sf)
+    _streamed(spark, _as_feed(_arriving(lines, 3, False), F.lit("src")), clock, 3)
+    last = lines.agg(F.max(S.minute_number())).first()[0]
+    clock.finish(2, (last // 60 + 1) * 60)
+    return clock.closed().filter(~F.col("key").startswith("*") | (F.col("minute") <= last)).select("service", "key", "day", "hour", "minute", "n")
+
+
+@query(f"""WITH {S.LINES_SQL}, m AS (SELECT *, floor(epoch(lts) / 60)::BIGINT AS minute FROM lines), e AS (SELECT min(minute) AS a, max(minute) AS b FROM m),
+l AS (SELECT m.*, least((minute - a) * 4 // (b - a + 1) + (event_id % 50 = 0)::INT, 3) AS slice, CASE WHEN event_id % 50 = 7 AND (minute - a) * 4 // (b - a + 1) = 0 THEN 'src1' ELSE 'src0' END AS source FROM m, e),
+c AS (SELECT 1 AS slice, min(top) AS closed FROM (SELECT source, max(minute) AS top FROM l WHERE slice = 0 GROUP BY source)
+  UNION ALL SELECT 2, max(minute) FROM l WHERE slice < 2 AND source = 'src0' UNION ALL SELECT 3, max(minute) FROM l WHERE slice < 3 AND source = 'src0'),
+f AS (SELECT service, event_id, CASE WHEN event_id % 97 = 0 THEN 'malformed' WHEN service = 'svc2' THEN 'skipped_off' WHEN minute < closed THEN 'late' ELSE 'counted' END AS fate FROM l LEFT JOIN c USING (slice))
+SELECT service, fate, sum(n)::BIGINT AS n FROM (SELECT service, fate, CASE WHEN event_id % 31 = 0 AND fate <> 'counted' THEN 2 ELSE 1 END AS n FROM f UNION ALL SELECT service, 'duplicate', 1 FROM f WHERE event_id % 31 = 0 AND fate = 'counted') GROUP BY ALL""")
+def x1_x9_a23_stream_fates(spark, sf):
+    """What becomes of each line: a source that fails stops holding the watermark, a line behind it is late and counted as such."""
+    clock = minutes.MinuteClock(spark, shared.folder(spark, "minutes"), off=("svc2",), now=0)
+    lines = _arriving(_lines(spark, sf), 4, True)
+    twice = lines.unionByName(lines.filter("event_id % 31 = 0")).withColumn("template", F.when(F.col("event_id") % 97 != 0, F.col("template")))
+    first = (F.col("slice") == 0) & (F.col("event_id") % 50 == 7)
+    polls = spark.createDataFrame([("poll", "src1", i, True, 1) for i in range(3)], "kind string, source string, at bigint, failed boolean, slice int")
+    feed = _as_feed(twice, F.when(first, "src1").otherwise("src0")).unionByName(polls, allowMissingColumns=True)
+    _streamed(spark, feed, clock, 4)
+    return clock.fates()
 
 
 @query(ORACLES["x7_changes"])
