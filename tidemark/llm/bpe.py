@@ -3,11 +3,14 @@
 Every pre-token is a row of leaves, one for each adjacent pair, holding the pair's merge rank.  The tree above them keeps
 minima of ``rank * width + place``, so its root is the leftmost pair of lowest rank.  A merge changes three leaves (the
 pair's own, and those of its left and right neighbours), each a walk of log2(width) nodes to the root, and the merging
-ends when the root holds no rank.  Pre-tokens of like length are trees of one shape, and numpy takes the same step in
-all of them at once; each distinct pre-token of a task is encoded once and kept in a bounded table.
+ends when the root holds no rank.  Where every merge of a vocabulary ranks after those that make its parts, as in trained
+ones, a merge can't make a pair of its own rank or a lower one: then all places of the root's rank, found from the root
+down, are merged in one step, from left to right where they overlap; else only the leftmost.  Pre-tokens of like length
+are trees of one shape, and numpy takes the same step in all of them at once; each distinct pre-token of a task is encoded
+once and kept in a bounded table.
 
 Defined results: a null text is an empty text, which has no ids and decodes to an empty text; equal rows give equal
-rows; an empty table gives an empty result; other columns of the input are ignored, whatever their names.
+rows; very long texts are read whole, and a pre-token of any length is one tree in memory; an empty table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,6 +66,11 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        #: Whether each merge ranks after those that make its parts.
+        last = {}
+        for rank, (a, b) in enumerate(pairs):
+            last[a + b] = rank
+        self.ordered = all(max(last.get(a, -1), last.get(b, -1)) < rank for rank, (a, b) in enumerate(pairs))
         self.piece_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.piece_len = np.array([len(p) for p in self.pieces], np.int64)
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)[:-1]])
@@ -105,11 +113,30 @@ class PairTrees:
             node = node >> 1
             self.tree[rows, node] = np.minimum(self.tree[rows, 2 * node], self.tree[rows, 2 * node + 1])
 
+    def _lowest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and rank of the pairs to merge next: those of the lowest rank of each row, which don't overlap."""
+        rank, at = np.divmod(self.tree[rows, 1], self.width)
+        if not self.vocab.ordered:
+            return rows, at, rank
+        node = np.ones(rows.size, np.int64)
+        while node[0] < self.width:
+            rows, rank, node = np.repeat(rows, 2), np.repeat(rank, 2), np.repeat(2 * node, 2)
+            node[1::2] += 1
+            on = self.tree[rows, node] < (rank + 1) * self.width
+            rows, rank, node = rows[on], rank[on], node[on]
+        at = node - self.width
+        touching = (rows[1:] == rows[:-1]) & (at[1:] == self.after[rows[:-1], at[:-1]])
+        if touching.any():
+            index = np.arange(rows.size)
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], ~touching]), index, 0))
+            on = (index - first) % 2 == 0
+            rows, rank, at = rows[on], rank[on], at[on]
+        return rows, at, rank
+
     def merge_all(self) -> None:
-        rows = np.flatnonzero(self.tree[:, 1] != _NONE)
-        while rows.size:
-            root = self.tree[rows, 1]
-            rank, at = np.divmod(root, self.width)
+        open_rows = np.flatnonzero(self.tree[:, 1] != _NONE)
+        while open_rows.size:
+            rows, at, rank = self._lowest(open_rows)
             gone = self.after[rows, at]
             far = self.after[rows, gone]
             self.ids[rows, at] = self.vocab.merged[rank]
@@ -117,14 +144,16 @@ class PairTrees:
             self.after[rows, at] = far
             some = far >= 0
             self.before[rows[some], far[some]] = at[some]
-            self._put(rows, gone, np.full(rows.size, _NONE))
             right = np.where(some, self.ids[rows, far], -1)
-            self._put(rows, at, self._cell(self.vocab.rank(self.ids[rows, at], right), at))
             prev = self.before[rows, at]
             some = prev >= 0
             r, p = rows[some], prev[some]
-            self._put(r, p, self._cell(self.vocab.rank(self.ids[r, p], self.ids[r, at[some]]), p))
-            rows = rows[self.tree[rows, 1] != _NONE]
+            # the three leaves of each merge go up together
+            self._put(
+                np.concatenate([rows, rows, r]), np.concatenate([gone, at, p]),
+                np.concatenate([np.full(rows.size, _NONE), self._cell(self.vocab.rank(self.ids[rows, at], right), at), self._cell(self.vocab.rank(self.ids[r, p], self.ids[r, at[some]]), p)]),
+            )
+            open_rows = open_rows[self.tree[open_rows, 1] != _NONE]
 
 
 def encode_pre_tokens(vocab: Vocabulary, pre_tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
