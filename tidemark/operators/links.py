@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
+from .vectors import CellIndex
 
+# Similarities from which a link is inherited, and by how much a corpus link must lead.
 INHERIT = {"ERROR": 0.85, "WARN": 0.88, "INFO": 0.92}
 MARGIN = 0.05
 
@@ -28,11 +30,12 @@ def by_class(cls: Column, thresholds: dict[str, float] = INHERIT) -> Column:
     return out
 
 
-def similar(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left id, right id and sim of all pairs that agree on ``keys``: an equi-join, so pairs stay within their group."""
-    a = left.select(*keys, F.col("id"), F.col("embedding").alias("_a"))
-    b = right.select(*keys, F.col("id").alias("other"), F.col("embedding").alias("_b"))
-    return a.join(b, keys).select(*keys, "id", "other", dot(F.col("_a"), F.col("_b")).alias("sim"))
+def similar(left: DataFrame, right: DataFrame, keys: list[str], least: float | None = None, k: int | None = None) -> DataFrame:
+    """left id, right id and sim of pairs that agree on ``keys``, of ``least`` or more; with ``k`` at least the ``k`` best of each id.
+
+    Pairs are found through a cell index, exactly: what its bounds leave out is below ``least``.
+    """
+    return CellIndex(right, keys).matches(left, least, k)
 
 
 def nearest(pairs: DataFrame, k: int = 1) -> DataFrame:
@@ -43,7 +46,7 @@ def nearest(pairs: DataFrame, k: int = 1) -> DataFrame:
 
 def inherited(templates: DataFrame) -> DataFrame:
     """Layer 1: each undecided template takes the document of the nearest manual one of its service and class."""
-    pairs = similar(templates.filter("NOT manual"), templates.filter("manual"), ["service", "class"])
+    pairs = similar(templates.filter("NOT manual"), templates.filter("manual"), ["service", "class"], min(INHERIT.values()), 1)
     return nearest(pairs).filter(F.col("sim") >= by_class(F.col("class"))).select("id", F.col("other").alias("doc"), "sim")
 
 
@@ -52,7 +55,8 @@ def corpus(templates: DataFrame, doc_lines: DataFrame, thresholds: dict[str, flo
 
     ``doc_lines``: doc, class, id, embedding.
     """
-    pairs = similar(templates.filter("NOT manual"), doc_lines, ["class"])
+    # a second document matters if it comes within the margin of a link
+    pairs = similar(templates.filter("NOT manual"), doc_lines, ["class"], min(thresholds.values()) - margin - 1e-9)
     per = pairs.join(doc_lines.select(F.col("id").alias("other"), "doc"), "other").groupBy("class", "id", "doc").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "doc")
     ranked = per.withColumn("rn", F.row_number().over(order)).withColumn("second", F.lead("sim").over(order))
@@ -71,7 +75,7 @@ def reconciled(desired: DataFrame, current: DataFrame) -> DataFrame:
 
 def edges(templates: DataFrame, least: float) -> DataFrame:
     """Pairs a < b of a service at or above a similarity."""
-    pairs = similar(templates, templates, ["service"]).filter((F.col("id") < F.col("other")) & (F.col("sim") >= least))
+    pairs = similar(templates, templates, ["service"], least).filter(F.col("id") < F.col("other"))
     return pairs.select("service", F.col("id").alias("a"), F.col("other").alias("b"), "sim")
 
 

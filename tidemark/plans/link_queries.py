@@ -31,7 +31,7 @@ SELECT id, doc, round(sim, 6) AS sim FROM p WHERE rn = 1 AND sim >= CASE class W
 def l3_j6_inherited(spark, sf):
     """The nearest manual template of the service and class, at thresholds that suit these vectors."""
     rows = S.vectors(spark, sf)
-    pairs = K.similar(rows.filter("NOT manual"), rows.filter("manual"), ["service", "class"]).withColumn("sim", F.round("sim", 9))
+    pairs = K.similar(rows.filter("NOT manual"), rows.filter("manual"), ["service", "class"], 0.25, 1).withColumn("sim", F.round("sim", 9))
     found = K.nearest(pairs).filter(F.col("sim") >= K.by_class(F.col("class"), {"ERROR": 0.25, "WARN": 0.3, "INFO": 0.35}))
     return found.select("id", F.col("other").alias("doc"), F.round("sim", 6).alias("sim"))
 
