@@ -4,14 +4,17 @@ Templates and documents are sequences of lower-case words of ASCII letters and d
 hash, and of each ``WINDOW`` runs in a row the least hash is kept (winnowing), so that a document which shares
 ``GRAM + WINDOW - 1`` words in a row with a template keeps a fingerprint of it.  The templates' fingerprints form an
 inverted index; it is as small as the list of templates, which is a parameter.  The hits of a template on diagonals
-(place in the document less place in the template) near each other are a candidate if they are ``SEEDS`` of its
-fingerprints or more, and a local alignment within a band around them tells which of the template's words are there, and
-where.  All candidates of a template in a slice of rows are aligned together, in numpy.
+(place in the document less place in the template) near each other are a candidate if ``SEEDS`` of its fingerprints or
+more are among them, and a local alignment within a band around them tells which of the template's words are there, and
+where.  A chain of near diagonals that is longer than two templates is cut into pieces of a template's length, each half
+over the next, so that a band's width doesn't grow with the text; each piece has its own best alignment.  All candidates
+of a template and of like width in a slice of rows are aligned together, in numpy, ``CELLS`` at a time.
 
 The templates are the license texts in the folder ``license_texts`` and short notices.
 
 Defined results: a null text is an empty text, without matches; equal texts have equal matches; null ids are kept; a
-match whose span lies within that of a match of more words is left out; without templates there are no matches; an empty
+match whose span lies within that of a match of more words is left out, of equal matches all but that of the shorter
+template, then of the first in the list; without templates there are no matches; very long texts are read whole; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -32,6 +35,9 @@ from ._spark import frame_slices, text_or_empty
 GRAM, WINDOW = 3, 3
 #: Shares of a template's words that a match has at least, and of its fingerprints that a candidate has.
 COVERAGE, SEEDS = 0.7, 0.1
+#: Cells of bands that are aligned at once, and words that a template may have: where an alignment begins in a band of up to
+#: two templates' length takes 20 bits.
+CELLS, MOST_WORDS = 1 << 20, 300_000
 
 # Notices by which works name their license.
 NOTICES = {
@@ -138,6 +144,8 @@ class LicenseIndex:
         self.names = list(templates)
         self.vocabulary: dict[bytes, int] = {}
         self.codes = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(t)], np.int64) for t in templates.values()]
+        if any(len(c) > MOST_WORDS for c in self.codes):
+            raise ValueError(f"a template has more than {MOST_WORDS} words")
         self.places: dict[int, list[tuple[int, int]]] = {}
         self.kept = []
         for t, codes in enumerate(self.codes):
@@ -151,16 +159,27 @@ class LicenseIndex:
         """(template, least and greatest diagonal) of the runs of near diagonals with hits enough."""
         hashes, at = winnow(codes)
         hit = np.isin(hashes, self.hashes)
-        diagonals: dict[int, list[int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for h, p in zip(hashes[hit].tolist(), at[hit].tolist(), strict=True):
             for t, q in self.places[h]:
-                diagonals.setdefault(t, []).append(p - q)
-        for t, shifts in diagonals.items():
-            band = band_of(len(self.codes[t]))
-            shifts = np.sort(shifts)
-            for run in np.split(shifts, np.flatnonzero(np.diff(shifts) > band) + 1):
-                if len(run) >= SEEDS * self.kept[t]:
-                    yield t, int(run[0]) - band, int(run[-1]) + band
+                hits.setdefault(t, []).append((p - q, q))
+        for t, found in hits.items():
+            size, least = len(self.codes[t]), SEEDS * self.kept[t]
+            band = band_of(size)
+            shifts, places = np.array(sorted(found), np.int64).T
+            ends = np.flatnonzero(np.diff(shifts) > band) + 1
+            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(shifts)], strict=True):
+                if b - a < least:
+                    continue
+                low, high = int(shifts[a]) - band, int(shifts[b - 1]) + band
+                pieces = [(low, high)]
+                if high - low >= 2 * size:
+                    width = max(size, 4 * band)
+                    pieces = [(x, x + width) for x in range(low, high - width // 2, max(1, width // 2))]
+                froms, tos = np.searchsorted(shifts[a:b], [x for x, _ in pieces]) + a, np.searchsorted(shifts[a:b], [y for _, y in pieces], "right") + a
+                for (x, y), i, j in zip(pieces, froms.tolist(), tos.tolist(), strict=True):
+                    if j - i >= least and len(set(places[i:j].tolist())) >= least:
+                        yield t, x, min(y, high)
 
     def matches(self, texts: list[str], coverage: float = COVERAGE) -> list[list[tuple[str, int, int, float, int, int]]]:
         """(template, matched words, words of the template, coverage, start, end in code points) of each match of each text."""
@@ -176,9 +195,16 @@ class LicenseIndex:
         for t, own in sought.items():
             d, low, high = (np.array(x) for x in zip(*own, strict=True))
             starts = ends[d] - np.array([len(parts[i]) for i in d])
-            for n, first, end, i, start in zip(*(x.tolist() for x in (*aligned(self.codes[t], codes, starts, ends[d], low, high), d, starts)), strict=True):
-                if n and n >= coverage * len(self.codes[t]):
-                    found.setdefault(i, []).append((t, n, first - start, end - start))
+            widths = high - low + 1
+            likes = np.ceil(np.log2(widths)).astype(np.int64)
+            for like in np.unique(likes):
+                same = np.flatnonzero(likes == like)
+                step = max(1, CELLS >> int(like))
+                for o in (same[x : x + step] for x in range(0, len(same), step)):
+                    made = aligned(self.codes[t], codes, starts[o], ends[d[o]], low[o], high[o])
+                    for n, first, end, i, start in zip(*(x.tolist() for x in (*made, d[o], starts[o])), strict=True):
+                        if n and n >= coverage * len(self.codes[t]):
+                            found.setdefault(i, []).append((t, n, first - start, end - start))
         return [self._reported(texts[d], raws[d], found[d]) if d in found else [] for d in range(len(texts))]
 
     def _reported(self, text: str, raw: bytes, found: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float, int, int]]:
