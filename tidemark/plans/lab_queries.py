@@ -11,6 +11,7 @@ from ..operators import counts as C
 from ..operators import detect as D
 from ..operators import evaluation as V
 from ..operators import links as K
+from ..operators import walkforward as W
 from ..sources import driver_tables as S
 from ..sources import shared
 from .link_queries import HISTORY, SIGMA_SQL, _trained
@@ -373,3 +374,61 @@ def r4_merged_json(spark, sf):
     rows = S.table(spark, sf, "conversations").select("conv_id", "turn", V.merged_json(a, b).alias("j"))
     get = lambda k: F.get_json_object("j", f"$.{k}")
     return rows.select("conv_id", "turn", get("role").alias("role"), get("turn").alias("merged_turn"), get("kept").alias("kept"), get("size").alias("size"), F.array_join(F.sort_array(F.json_object_keys("j")), ",").alias("keys"))
+
+
+# ---- walk-forward evaluation
+
+OBSERVED = """obs AS (SELECT service, m AS minute FROM (SELECT b.service, unnest(generate_series(greatest(b.a, h.h * 60), least(b.b, h.h * 60 + 59))) AS m FROM (SELECT DISTINCT service, minute // 60 AS h FROM minutes) h
+  JOIN (SELECT service, min(minute) AS a, max(minute) AS b FROM minutes GROUP BY service) b USING (service)))"""
+
+
+def _observed(minutes):
+    """The minutes from a service's first to its last, but for hours without any line of it."""
+    ends = minutes.groupBy("service").agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
+    hours = minutes.select("service", F.floor(F.col("minute") / 60).alias("h")).distinct().join(ends, "service")
+    return hours.select("service", F.explode(F.sequence(F.greatest("a", F.col("h") * 60), F.least("b", F.col("h") * 60 + 59))).alias("minute"))
+
+
+@query(f"""WITH {MINUTES}, {OBSERVED}, o AS (SELECT service, (DATE '1970-01-01' + (minute // 1440)::INT)::DATE AS day, count(*) AS observed, min(minute % 1440) AS first, bit_xor(1::BIGINT << (minute % 60)::INT) AS bits FROM obs GROUP BY ALL),
+docs AS (SELECT service, 'doc:DOC-' || (length(key) % 3) AS key, day, minute, sum(n) AS n FROM minutes WHERE key NOT LIKE '*%' GROUP BY ALL),
+every AS (SELECT service, key, day, minute, n FROM minutes UNION ALL SELECT * FROM docs),
+d AS (SELECT service, key, day, sum(n)::BIGINT AS total, max(n)::BIGINT AS peak FROM every GROUP BY ALL)
+SELECT k.service, k.key, o.day, o.observed::INT AS observed, o.first::INT AS first, o.bits AS bits, coalesce(d.total, 0) AS total, coalesce(d.peak, 0) AS peak FROM (SELECT DISTINCT service, key FROM every) k JOIN o USING (service) LEFT JOIN d USING (service, key, day)""")
+def b6_day_series(spark, sf):
+    """Day arrays of keys and documents under the masks of observed minutes; silent observed minutes are zeros."""
+    minutes = shared.stored(C.minute_counts(_lines(spark, sf)), "minutes")
+    masks = W.observed_masks(_observed(minutes))
+    links = minutes.filter("NOT startswith(key, '*')").select("service", "key", F.concat(F.lit("DOC-"), F.length("key") % 3).alias("doc")).distinct()
+    series = W.day_series(minutes.unionByName(W.document_minutes(minutes, links)), masks)
+    seen = F.filter("counts", lambda n: n != W.UNOBSERVED)
+    bits = masks.groupBy("service", "day").agg(F.bit_xor("mask").alias("bits"))
+    total = F.aggregate(seen, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    leading = F.length(F.regexp_extract(F.array_join(F.transform("counts", lambda n: F.when(n == W.UNOBSERVED, "u").otherwise("o")), ""), "^u*", 0))
+    rows = series.select("service", "key", "day", F.size(seen).alias("observed"), leading.alias("first"), total.alias("total"), F.array_max(seen).cast("bigint").alias("peak"))
+    return rows.join(bits, ["service", "day"]).select("service", "key", "day", "observed", "first", "bits", "total", "peak")
+
+
+@query(f"""WITH {DENSE}, t AS (SELECT service, key, tick // 24 AS d, tick % 24 AS hour, n FROM dense),
+c AS (SELECT t.service, t.key, t.d, t.hour, t.n, count(*) AS days, median(h.n) AS c, sum(h.n)::DOUBLE AS s, sum(h.n * h.n)::DOUBLE AS q FROM t JOIN t h ON h.service = t.service AND h.key = t.key AND h.hour = t.hour AND h.d < t.d GROUP BY ALL HAVING count(*) >= 3),
+m AS (SELECT c.service, c.key, c.d, c.hour, c.n, c.c, 1.4826 * median(abs(h.n - c.c)) AS mad FROM c JOIN t h ON h.service = c.service AND h.key = c.key AND h.hour = c.hour AND h.d < c.d GROUP BY ALL),
+judged AS (SELECT 'mad' AS method, k AS knob, service, key, d, hour, abs(n - c) > greatest(k * mad, 1.0) AS high FROM m, (VALUES (3.0::DOUBLE), (5.0), (8.0)) v(k)
+  UNION ALL SELECT 'sigma', k, service, key, d, hour, n > s / days + k * sqrt(greatest(q / days - (s / days) * (s / days), 0)) FROM c, (VALUES (2.0::DOUBLE), (3.0), (4.0)) v(k)
+  UNION ALL SELECT 'weekly', k, t.service, t.key, t.d, t.hour, t.n > k * h.n AND t.n >= 5 FROM t JOIN t h ON h.service = t.service AND h.key = t.key AND h.hour = t.hour AND h.d = t.d - 7, (VALUES (1.5::DOUBLE), (2.0), (3.0)) v(k)),
+e AS (SELECT *, high AND NOT coalesce(lag(high) OVER (PARTITION BY method, knob, service, key, d ORDER BY hour), false) AS starts FROM judged)
+SELECT method, knob, service, key, count(*) AS slots, sum(high::INT)::BIGINT AS high, sum(starts::INT)::BIGINT AS episodes FROM e GROUP BY ALL""")
+def b7_b15_walk_forward(spark, sf):
+    """Three methods walked forward over all days of all keys: slots judged, slots high, and episodes at each knob."""
+    judged = W.walk_forward(W.tick_series(_dense(spark, sf)), ("mad", "sigma", "weekly"))
+    return W.alert_sink(judged).filter("slots > 0").drop("days")
+
+
+@query()
+def b15_injection_test(spark, sf):
+    """Test A: an incident of three hours and three sizes on each fifth day of each key, found or not at the knob that clean days allow."""
+    series = shared.stored(W.tick_series(_dense(spark, sf)), "series")
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    start = (F.crc32(F.col("key").cast("binary")) % 20).cast("int")
+    size = F.when(number % 15 == 3, 3).when(number % 15 == 8, 10).otherwise(30)
+    incidents = series.filter(number % 5 == 3).select("service", "key", "day", start.alias("start"), (start + 3).alias("end"), size.alias("size"))
+    out = W.injection_test(series, incidents, 0.5)
+    return out.select("method", "knob", "size", "n", "hits", F.round("recall", 9).alias("recall"), F.round("delay", 9).alias("delay"), F.round("alert_rate", 9).alias("alert_rate"), "in_budget")
