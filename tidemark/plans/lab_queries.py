@@ -11,11 +11,12 @@ from ..operators import counts as C
 from ..operators import detect as D
 from ..operators import evaluation as V
 from ..operators import links as K
+from ..operators import views
 from ..operators import walkforward as W
 from ..sources import driver_tables as S
 from ..sources import shared
 from .link_queries import HISTORY, SIGMA_SQL, _trained
-from .log_queries import BASE, DENSE, FLOOR, MINUTES, MOMENTS, ORACLES, PERIODS, QUERIES, STATED, _dense, _lines, _parts, _periods, _stated, query
+from .log_queries import BASE, DENSE, JUDGED, FLOOR, MINUTES, MOMENTS, ORACLES, PERIODS, QUERIES, STATED, _dense, _lines, _parts, _periods, _stated, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -432,3 +433,63 @@ def b15_injection_test(spark, sf):
     incidents = series.filter(number % 5 == 3).select("service", "key", "day", start.alias("start"), (start + 3).alias("end"), size.alias("size"))
     out = W.injection_test(series, incidents, 0.5)
     return out.select("method", "knob", "size", "n", "hits", F.round("recall", 9).alias("recall"), F.round("delay", 9).alias("delay"), F.round("alert_rate", 9).alias("alert_rate"), "in_budget")
+
+
+# ---- views
+
+#: Sigmas that suit rates of well under a line a minute.
+VIEW_SIGMAS = (0.1, 0.15)
+GRID = """grid AS (SELECT k.service, k.key, h.day, h.hour, h.n_minutes, coalesce(m.sum, 0) AS sum FROM (SELECT DISTINCT service, key FROM moments) k JOIN hours h USING (service) LEFT JOIN moments m USING (service, key, day, hour) WHERE h.n_minutes > 0),
+own AS (SELECT m.*,"""
+VIEW = JUDGED.replace("own AS (SELECT m.*,", GRID).replace("FROM minutes m LEFT JOIN per p", "FROM grid m LEFT JOIN per p").replace("THEN 3.0 ELSE 4.0 END AS k", "THEN 0.1::DOUBLE ELSE 0.15::DOUBLE END AS k") + """,
+rated AS (SELECT *, sum / n_minutes AS rate, coalesce(key = '*total' AND NOT upper_only AND pd >= 3 AND mean >= 20, false) AS low, CASE WHEN mean IS NOT NULL AND NOT (mean = 0 AND std = 0) THEN (sum / n_minutes - mean) / CASE WHEN mean > 0 THEN greatest(std, 1.0) ELSE std END END AS z FROM banded),
+cells AS (SELECT *, CASE WHEN mean IS NULL THEN 'none' WHEN mean = 0 AND std = 0 THEN CASE WHEN rate > 0 THEN 'up3' ELSE 'in' END WHEN abs(z) <= k OR (z < 0 AND NOT low) THEN 'in'
+  ELSE CASE WHEN z > 0 THEN 'up' ELSE 'down' END || CASE WHEN abs(z) <= 6 THEN '1' WHEN abs(z) <= 10 THEN '2' ELSE '3' END END AS cls FROM rated),
+spans AS (SELECT service, ((day - DATE '1970-01-01') * 24 + hour) * 60 + 10 AS start, ((day - DATE '1970-01-01') * 24 + hour) * 60 + 10 + 20 * sum AS "end" FROM moments WHERE key NOT LIKE '*%' AND sum >= 2),
+nn AS (SELECT service, (DATE '1970-01-01' + (m // 1440)::INT)::DATE AS day, (m // 60 % 24)::INT AS hour, count(DISTINCT m) AS nn FROM (SELECT service, unnest(generate_series(start, "end" - 1)) AS m FROM spans) GROUP BY ALL),
+dec AS (SELECT service, day, unnest(generate_series(hour_from, hour_to - 1))::INT AS hour, decision FROM exclusions)"""
+
+
+def _cells(spark, sf):
+    moments, hours, days, out = _parts(spark, sf)
+    base = shared.stored(B.rebuild(moments, hours, days, out), "baseline")
+    cell = shared.stored(views.cells(moments, hours, base, days, VIEW_SIGMAS), "cells")
+    start = (F.datediff("day", F.lit("1970-01-01").cast("date")) * 24 + F.col("hour")) * 60 + 10
+    spans = moments.filter("NOT startswith(key, '*') AND sum >= 2").select("service", start.cast("long").alias("start"), (start + 20 * F.col("sum")).cast("long").alias("end"))
+    return cell, spans, out.withColumn("id", F.xxhash64("service", "day", "hour_from")), days
+
+
+@query(f"""WITH {VIEW} SELECT c.service, c.key, c.day, c.hour, round(rate, 9) AS rate, round(band_low, 6) AS band_low, round(band_high, 6) AS band_high, round(z, 6) AS z, cls, coalesce(nn, 0) AS not_normal_minutes, nn IS NOT NULL AND decision IS NULL AS suggested, decision, p.day IS NOT NULL AS in_baseline
+FROM cells c LEFT JOIN nn USING (service, day, hour) LEFT JOIN dec USING (service, day, hour) LEFT JOIN picked p ON p.service = c.service AND p.day = c.day""")
+def d4_review_cells(spark, sf):
+    """The review matrix of all keys: rates, bands, classes, minutes that were not normal, decisions and suggestions."""
+    cell, spans, out, days = _cells(spark, sf)
+    rows = views.matrix(cell, spans, out, days)
+    return rows.select("service", "key", "day", "hour", F.round("rate", 9).alias("rate"), F.round("band_low", 6).alias("band_low"), F.round("band_high", 6).alias("band_high"), F.round("z", 6).alias("z"), "cls", "not_normal_minutes", "suggested", "decision", "in_baseline")
+
+
+@query(f"""WITH {VIEW}, o AS (SELECT *, hour - row_number() OVER (PARTITION BY service, key, day ORDER BY hour) AS first FROM cells WHERE rate > band_high OR (low AND rate < band_low)),
+newest AS (SELECT service, max(day * 1) AS d FROM (SELECT service, (day - DATE '1970-01-01') * 24 + hour AS day FROM cells) GROUP BY service),
+r AS (SELECT o.service, o.key, o.day, first, min(o.hour) AS hour_from, max(o.hour) + 1 AS hour_to, arg_min(o.hour, (-abs(rate - coalesce(mean, 0)), o.hour)) AS peak_hour, max(decision) AS decision, max(coalesce(nn, 0)) AS nn FROM o LEFT JOIN nn USING (service, day, hour) LEFT JOIN dec USING (service, day, hour) GROUP BY o.service, o.key, o.day, first)
+SELECT r.service, r.key, r.day, hour_from, hour_to, (r.day - DATE '1970-01-01') * 24 + hour_to - 1 = n.d AS ongoing, peak_hour, round(c.rate, 9) AS peak_rate, round(c.z, 6) AS peak_z, coalesce(decision, CASE WHEN nn > 0 THEN 'review' END) AS decision
+FROM r JOIN newest n USING (service) JOIN cells c ON c.service = r.service AND c.key = r.key AND c.day = r.day AND c.hour = r.peak_hour""")
+def d6_incidents(spark, sf):
+    """Runs of hours outside the band of each key, with their peaks, decisions, and whether they go on."""
+    cell, spans, out, _ = _cells(spark, sf)
+    rows = views.incidents(cell, spans, out)
+    return rows.select("service", "key", "day", "hour_from", "hour_to", "ongoing", "peak_hour", F.round("peak_rate", 9).alias("peak_rate"), F.round("peak_z", 6).alias("peak_z"), "decision")
+
+
+@query(f"""WITH {VIEW}, s AS (SELECT *, day AS d, unnest(generate_series(hour_from, hour_to - 1))::INT AS hour FROM (SELECT DISTINCT service, day, h * 6 AS hour_from, h * 6 + 6 AS hour_to FROM cells, range(4) r(h))),
+first AS (SELECT service, template AS key, floor(min(epoch(lts)) / 3600)::BIGINT AS seen FROM lines GROUP BY ALL),
+p AS (SELECT s.service, s.day, s.hour_from, s.hour_to, c.key, sum(c.sum) / sum(c.n_minutes) AS rate, avg(coalesce(c.mean, 0)) AS mean FROM s JOIN cells c ON c.service = s.service AND c.day = s.day AND c.hour = s.hour WHERE c.key NOT LIKE '*%' GROUP BY ALL HAVING sum(c.sum) > 0),
+r AS (SELECT p.*, rate - mean AS excess, row_number() OVER (PARTITION BY p.service, day, hour_from, hour_to ORDER BY round(rate - mean, 9) DESC, p.key) AS rank FROM p LEFT JOIN first f ON f.service = p.service AND f.key = p.key
+  WHERE rate - mean > 0 AND (seen IS NULL OR seen < (day - DATE '1970-01-01') * 24 + hour_from - 1 OR seen >= (day - DATE '1970-01-01') * 24 + hour_to))
+SELECT service, day, hour_from::INT AS hour_from, hour_to::INT AS hour_to, rank::INT AS rank, key, round(rate, 9) AS rate, round(mean, 9) AS mean, round(excess, 9) AS excess FROM r WHERE rank <= 10""")
+def d5_contributors(spark, sf):
+    """The templates that rose most over their baseline in each quarter of each day, but for new ones."""
+    cell, _, _, _ = _cells(spark, sf)
+    quarter = F.explode(F.array(*map(F.lit, range(4))))
+    asked = cell.select("service", "day").distinct().withColumn("q", quarter).select("service", "day", (F.col("q") * 6).alias("hour_from"), (F.col("q") * 6 + 6).alias("hour_to"))
+    first = _lines(spark, sf).groupBy("service", F.col("template").alias("key")).agg(F.min("lts").alias("lts")).select("service", "key", F.to_date("lts").alias("day"), F.hour("lts").alias("hour"))
+    return views.contributors(cell, asked, first).select("service", "day", "hour_from", "hour_to", "rank", "key", F.round("rate", 9).alias("rate"), F.round("mean", 9).alias("mean"), F.round("excess", 9).alias("excess"))
