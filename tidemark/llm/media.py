@@ -15,7 +15,7 @@ positive only moves a chunk to the chunk table; what is shared is never missed.
 is shared and once to write: cutting costs less than to shuffle all payloads.
 
 Defined results: a null text is an empty text, whose payload is one frame of padding; equal texts give equal values;
-null ids are kept; an empty table gives an empty result; other columns are ignored, whatever their names.
+null ids are kept; very long texts are cut into chunks whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ pass the total budget.
 Both sums, that along each source and that along the mix, are sums over ranges of a sorted table (``running``): no source
 and no key is a group of its own.  Rows get a number when their sizes are written, which tells equal rows apart.
 
-Defined results: a null text has size 0; a document of size 0 is never taken; null is a source, the last in order; equal
+Defined results: a null text has size 0; a document of size 0 is never taken; very long texts are counted whole; null is a source, the last in order; equal
 rows are rows of their own, each with its own place; reruns agree, but for which of several rows of equal id and text is
 taken; an empty table gives an empty result; other columns are ignored by ``mix_sources`` and kept by ``mixed``, whatever
 their names.

@@ -17,8 +17,8 @@ The terms near entities go to the tasks as a Bloom filter, sized from their coun
 what passes is joined with the terms themselves.  So do the digests of texts that have copies: only the texts that pass
 are brought together by digest before their terms are counted.
 
-Defined results: a null text is an empty text; equal texts have equal spans, whatever their ids; null ids are kept; an
-empty table gives an empty result; other columns are ignored by ``personal_spans`` and kept by ``sanitised``, whatever
+Defined results: a null text is an empty text; equal texts have equal spans, whatever their ids; null ids are kept; very
+long texts are read whole; an empty table gives an empty result; other columns are ignored by ``personal_spans`` and kept by ``sanitised``, whatever
 their names.
 """
 

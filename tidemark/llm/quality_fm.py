@@ -13,7 +13,7 @@ documents, those of the least hashes of their ids; every document is scored over
 
 Defined results: a null text is an empty text; an empty text has a score from its statistics; a null in a metadata column
 has a bin of its own; rows with a null doc_id or label are not learned from, but scored; equal texts and metadata have
-equal scores; of rows that share a doc_id one is learned from, the same in each run; without labelled rows the score is 0.5; an empty table gives an empty result.
+equal scores; very long texts are read whole; of rows that share a doc_id one is learned from, the same in each run; without labelled rows the score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations

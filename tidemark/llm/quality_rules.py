@@ -8,7 +8,8 @@ A text without a single common word is in none of these languages (its language
 those of all languages together, letters of whatever script and case as one class, and its words with nothing.
 
 Defined results: a null text is an empty text; an empty text has no words and fails the base rules; a text whose language
-has no reference is judged by the base rules alone; equal rows are judged alike; an empty table gives an empty result;
+has no reference is judged by the base rules alone; of languages that are equally near the first in the list counts; equal rows are judged alike; very long
+texts are read whole; an empty table gives an empty result;
 other columns of the input are ignored by ``quality_rules`` and kept by ``kept_documents``, whatever their names.
 
 The texts are read once: counts and histograms are written to the shared folder, and references and verdicts come from

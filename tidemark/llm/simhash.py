@@ -18,8 +18,8 @@ task reports a tree of each set of fingerprints that its links join.  Components
 rounds on fingerprints, each round written to the shared folder.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; rows with a null doc_id get a
-fingerprint and the least known doc_id of their component, null if it has none; equal rows give equal rows; an empty
-table gives an empty result; other columns are ignored, and kept by ``representatives``.
+fingerprint and the least known doc_id of their component, null if it has none; equal rows give equal rows; very long
+texts are read whole; an empty table gives an empty result; other columns are ignored, and kept by ``representatives``.
 """
 
 from __future__ import annotations

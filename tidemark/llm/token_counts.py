@@ -10,7 +10,7 @@ shuffle is what a block has for a bucket, so there are never more rows than pre-
 there once for each block, so it makes no bucket heavy: a block has thousands of pre-tokens.
 
 Defined results: a null text is an empty text of no bytes and no tokens; equal rows give equal rows; null ids are kept;
-an empty table gives an empty result; other columns of the input are ignored, whatever their names.
+very long texts are counted whole; an empty table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

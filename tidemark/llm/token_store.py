@@ -16,7 +16,8 @@ File format: a Parquet table with a row for each shard, in ascending doc_id orde
     frames          the documents' zstandard frames end to end
 
 Documents with a null doc_id come first; rows of equal doc_id are ordered by the hash of their ids.  A null text is an
-empty text: its only id is the end id.  Equal rows are documents of their own.  An empty table gives an empty store.  Other columns are ignored.
+empty text: its only id is the end id.  Equal rows are documents of their own.  Very long texts are encoded whole.
+An empty table gives an empty store.  Other columns are ignored.
 """
 
 from __future__ import annotations
