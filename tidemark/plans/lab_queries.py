@@ -49,21 +49,6 @@ def s9_s10_day_partitions(spark, sf):
     return spark.read.parquet(f"{folder}/moments").filter("day >= DATE'2024-01-20'").select("service", "key", "day", "hour", "sum", "sumsq")
 
 
-@query("SELECT (k // 100)::BIGINT AS minute, k % 7 AS template, count(*) AS n FROM range(50000) r(k) WHERE k % 13 <> 0 GROUP BY ALL")
-def s17_closed_form_stream(spark, sf):
-    k = F.col("id")
-    return spark.range(50000).filter(k % 13 != 0).groupBy(F.floor(k / 100).alias("minute"), (k % 7).alias("template")).agg(F.count("*").alias("n"))
-
-
-@query()
-def s16_synthetic(spark, sf):
-    """Seeded counts about the mean rates of each key: a fixed sum of uniform draws stands for the noise."""
-    base = B.rebuild(*_parts(spark, sf)).filter("daytype = 'weekday'").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    draw = lambda i: F.pmod(F.xxhash64("service", "key", "hour", "slot", F.lit(i)), F.lit(1000000)) / 1000000.0
-    noise = sum((draw(i) for i in range(1, 12)), draw(0)) - 6
-    return base.select("service", "key", "hour", "slot", F.greatest(F.round(F.col("mean") * 60 + noise * F.col("std") * 7.75), F.lit(0.0)).cast("long").alias("n"))
-
-
 @query(f"""WITH {MINUTES} SELECT key, CASE WHEN key = '*error' THEN 5 WHEN key = '*warn' THEN 10 WHEN key LIKE '%:error' THEN 5 WHEN key LIKE '%:signup' THEN 10 END AS floor, sum(n)::BIGINT AS n FROM minutes WHERE key NOT LIKE 'doc:%' AND key NOT LIKE '%:unparsed' GROUP BY ALL""")
 def p3_p5_floors(spark, sf):
     level = F.when(F.col("key").endswith(":error"), "ERROR").when(F.col("key").endswith(":signup"), "WARN").otherwise("INFO")

@@ -14,7 +14,7 @@ from ..operators import templates as M
 from ..sources import driver_tables as S
 from ..sources import shared
 from ..streaming import live, minutes
-from .log_queries import BASE, CLASS, MINUTES, ORACLES, QUERIES, _changed, _lines, _parts, _stated, query
+from .log_queries import BASE, CLASS, MINUTES, ORACLES, QUERIES, _changed, _days, _lines, _parts, _stated, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -157,7 +157,7 @@ def b3_b16_tuned(spark, sf):
     """The least of the sigmas from 2 to 8 whose band covers 99.5 % of the hours of the last three committed days."""
     trained, tests = _trained(spark, sf)
     last = Window.partitionBy("service").orderBy(F.desc("day"))
-    days = _parts(spark, sf)[2].withColumn("rn", F.row_number().over(last)).filter("rn <= 3").select("service", "day")
+    days = _days(spark, sf)[1].withColumn("rn", F.row_number().over(last)).filter("rn <= 3").select("service", "day")
     centre = N.sigma_band(trained.filter("key = '*total'"), 3.0).withColumn("mean", F.col("mean") * 60).withColumn("var", F.col("var") * 64)
     counts = tests.filter("key = '*total'").join(days, ["service", "day"], "left_semi").select("service", "key", "day", "hour", F.col("s").alias("n"))
     return N.tuned(counts, centre, [float(k) for k in range(2, 9)], 0.995).withColumn("coverage", F.round("coverage", 9))

@@ -92,17 +92,20 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
     return C.dense_ticks(C.tick_counts(_lines(spark, sf)))
 
 
+def _days(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hours, committed days (today is the last day there is) and exclusions; hours are written once."""
+    hours = stored(C.service_hours(_lines(spark, sf)), "hours")
+    today = hours.agg(F.max("day").alias("today"))
+    # one row: the last day
+    return hours, B.mark_days(hours.join(F.broadcast(today)), F.col("today")), S.exclusions(spark)
+
+
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Moments, hours, committed days (today is the last day there is) and exclusions.
+    """Moments, hours, committed days and exclusions.
 
     Moments and hours are tables of the data model: they are written once, and no later step scans the lines for them.
     """
-    lines = _lines(spark, sf)
-    hours = stored(C.service_hours(lines), "hours")
-    today = hours.agg(F.max("day").alias("today"))
-    # one row: the last day
-    days = B.mark_days(hours.join(F.broadcast(today)), F.col("today"))
-    return stored(C.hourly_moments(C.minute_counts(lines)), "moments"), hours, days, S.exclusions(spark)
+    return stored(C.hourly_moments(C.minute_counts(_lines(spark, sf))), "moments"), *_days(spark, sf)
 
 
 def _baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,7 +236,7 @@ def a7_baseline_rebuild(spark, sf):
 
 @query(f"WITH {S.LINES_SQL}, {HOURS}, {DAYS} SELECT * FROM days")
 def a8_mark_days(spark, sf):
-    return _parts(spark, sf)[2]
+    return _days(spark, sf)[1]
 
 
 @query(f"WITH {S.LINES_SQL} SELECT service, count(*) FILTER (level = 'ERROR') AS errors, count(*) FILTER (level <> 'ERROR' AND value > 50) AS large, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean FROM lines GROUP BY service HAVING count(DISTINCT user_id) > 1")
@@ -283,12 +286,12 @@ def x4_zero_fill(spark, sf):
 
 @query(f"WITH {S.LINES_SQL}, {HOURS}, {DAYS}, {PICKED} SELECT * FROM picked")
 def w1_picked_days(spark, sf):
-    return B.picked_days(_parts(spark, sf)[2])
+    return B.picked_days(_days(spark, sf)[1])
 
 
 @query(f"WITH {S.LINES_SQL}, {HOURS}, {DAYS}, {PICKED}, {S.EXCLUSIONS_SQL}, {USABLE} SELECT service, daytype, hour, count(*) AS days, count(*) < 3 AS few FROM usable GROUP BY ALL")
 def d3_usable_days(spark, sf):
-    _, hours, days, out = _parts(spark, sf)
+    hours, days, out = _days(spark, sf)
     return B.usable_days(hours, days, out)
 
 
