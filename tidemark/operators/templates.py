@@ -1,65 +1,95 @@
-"""Template mining by a fixed-depth tree, and the template dimension."""
+"""Template mining by a fixed-depth tree, and the template dimension.
+
+The tree parts token lists by service, by length and by their first token; at a leaf a list joins the most similar of the
+templates there.  Which first tokens have a leaf of their own depends on the first sight of each alone, so leaves are
+known before any list is placed, and each of them is mined by itself: its lists stream through a task in the order of
+first sight, and the task keeps the leaf's templates only.  The result is that of one tree over a service's texts in
+order, whatever the partitions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
+# Depth of the tree (service and length, first token, templates), least similarity, children of a node.
 DEPTH, SIMILARITY, MAX_CHILDREN, WILD = 4, 0.6, 100, "<*>"
 
 
-class Tree:
-    """Clusters of token lists: by length, then by the first tokens, then by the most similar template.
+class Leaf:
+    """The templates of token lists of one length.
 
-    Tokens with digits, and all beyond a node's room, go the wildcard's way.  A list that is similar enough joins a
-    template, which keeps the tokens that they share; else it begins one.
+    A list that is similar enough joins a template, which keeps the tokens that they share; else it begins one.
     """
 
-    def __init__(self, depth: int = DEPTH, similarity: float = SIMILARITY, room: int = MAX_CHILDREN):
-        self.steps, self.similarity, self.room = depth - 3, similarity, room
-        self.root: dict = {}
-        self.templates: list[list[str]] = []
-
-    def _leaf(self, tokens: list[str]) -> list[int]:
-        node = self.root.setdefault(len(tokens), {})
-        for t in tokens[: self.steps]:
-            step = WILD if any(c.isdigit() for c in t) else t
-            if step not in node and len(node) >= self.room:
-                step = WILD
-            node = node.setdefault(step, {})
-        return node.setdefault(None, [])
-
-    def add(self, text: str) -> int:
-        tokens = text.split()
-        leaf, best = self._leaf(tokens), (-1.0, -1, -1)
-        for i in leaf:
-            own = self.templates[i]
+    def __init__(self, similarity: float = SIMILARITY):
+        self.similarity, self.templates = similarity, []
+
+    def add(self, tokens: list[str]) -> int:
+        """Which template the tokens join; of equally similar ones that with most wildcards, then the first."""
+        best = (-1.0, -1, 0)
+        for i, own in enumerate(self.templates):
             same = sum(a == b for a, b in zip(own, tokens, strict=True) if a != WILD) / max(len(tokens), 1)
-            best = max(best, (same, own.count(WILD), i), key=lambda x: x[:2])
-        if best[0] >= self.similarity:
-            own = self.templates[best[2]]
-            self.templates[best[2]] = [a if a == b else WILD for a, b in zip(own, tokens, strict=True)]
-            return best[2]
+            best = max(best, (same, own.count(WILD), -i))
+        if self.templates and best[0] >= self.similarity:
+            at = -best[2]
+            self.templates[at] = [a if a == b else WILD for a, b in zip(self.templates[at], tokens, strict=True)]
+            return at
         self.templates.append(tokens)
-        leaf.append(len(self.templates) - 1)
         return len(self.templates) - 1
 
 
-def mined(lines: DataFrame, parts: int = 16) -> DataFrame:
+def mined(lines: DataFrame, room: int = MAX_CHILDREN) -> DataFrame:
     """service, text, template_id, template of the distinct texts of ``lines`` (service, text, first_seen).
 
-    Texts are distinct before they are mined, and are mined by service and token count, as the tree parts them by length
-    first; within a group in the order of first sight.
+    Ids number a service's templates by first sight.  A first token with a digit goes the wildcard's way, and so do those
+    that a node has no room for when they are first seen.
     """
+    tokens = F.filter(F.split("text", " "), lambda t: t != "")
     texts = lines.groupBy("service", "text").agg(F.min("first_seen").alias("first_seen"))
-    texts = texts.withColumn("length", F.size(F.split("text", " ")))
+    first = F.coalesce(F.get(tokens, 0), F.lit(""))
+    texts = texts.select("service", "text", "first_seen", F.size(tokens).alias("length"), F.when(F.rlike(first, F.lit(r"(?U)\d")), WILD).otherwise(first).alias("first"))
+    sights = texts.groupBy("service", "length", "first").agg(F.min(F.struct("first_seen", "text")).alias("sight"))
+    early = F.row_number().over(Window.partitionBy("service", "length").orderBy("sight")) <= room
+    leaves = sights.select("service", "length", "first", F.when(early, F.col("first")).otherwise(WILD).alias("leaf"))
+    place = ["service", "length", "leaf"]
+    placed = texts.join(leaves, ["service", "length", "first"]).select(*place, "first_seen", "text")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, leaf = None, Leaf()
+
+        def ended() -> pd.DataFrame:
+            own = [" ".join(t) for t in leaf.templates]
+            return pd.DataFrame({"service": at[0], "length": at[1], "leaf": at[2], "local": range(len(own)), "text": None, "template": own, "begins": False}) if at else pd.DataFrame()
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        tree, frame = Tree(), frame.sort_values(["first_seen", "text"])
-        frame["local"] = [tree.add(t) for t in frame["text"]]
-        frame["template"] = [" ".join(tree.templates[i]) for i in frame["local"]]
-        frame["template_id"] = [f"{key[0]}:L{key[1]:02d}T{i + 1:05d}" for i in frame["local"]]
-        return frame[["service", "text", "template_id", "template"]]
+        for frame in frames:
+            out = []
+            for key, part in frame.groupby(place, sort=False):
+                if key != at:
+                    out.append(ended())
+                    at, leaf = key, Leaf()
+                before = len(leaf.templates)
+                local = []
+                begins = []
+                for text in part["text"]:
+                    local.append(leaf.add(text.split()))
+                    begins.append(len(leaf.templates) > before)
+                    before = len(leaf.templates)
+                out.append(part[[*place, "text"]].assign(local=local, template=None, begins=begins))
+            yield pd.concat([o for o in out if len(o)])[[*place, "local", "text", "template", "begins"]]
+        if at:
+            yield ended()[[*place, "local", "text", "template", "begins"]]
 
-    return texts.groupBy("service", "length").applyInPandas(run, "service string, text string, template_id string, template string")
+    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    schema = f"service {types['service']}, length int, leaf string, local int, text string, template string, begins boolean"
+    rows = stored(placed.repartition(*place).sortWithinPartitions(*place, "first_seen", "text").mapInPandas(run, schema), "mined")
+    on = [*place, "local"]
+    begun = rows.filter("begins").join(texts.select("service", "text", "first_seen"), ["service", "text"]).select(*on, "first_seen", F.col("text").alias("_begun"))
+    number = F.row_number().over(Window.partitionBy("service").orderBy("first_seen", "_begun"))
+    named = rows.filter("template IS NOT NULL").select(*on, "template").join(begun, on).withColumn("template_id", F.format_string("%s:T%05d", "service", number))
+    return rows.filter("text IS NOT NULL").select(*on, "text").join(named.select(*on, "template_id", "template"), on).select("service", "text", "template_id", "template")
