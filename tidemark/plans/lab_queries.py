@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import counts as C
 from ..operators import detect as D
 from ..operators import evaluation as V
 from ..operators import links as K
+from ..operators import reread
 from ..operators import views
 from ..operators import walkforward as W
 from ..sources import driver_tables as S
@@ -478,3 +481,22 @@ def d5_contributors(spark, sf):
     asked = cell.select("service", "day").distinct().withColumn("q", quarter).select("service", "day", (F.col("q") * 6).alias("hour_from"), (F.col("q") * 6 + 6).alias("hour_to"))
     first = _lines(spark, sf).groupBy("service", F.col("template").alias("key")).agg(F.min("lts").alias("lts")).select("service", "key", F.to_date("lts").alias("day"), F.hour("lts").alias("hour"))
     return views.contributors(cell, asked, first).select("service", "day", "hour_from", "hour_to", "rank", "key", F.round("rate", 9).alias("rate"), F.round("mean", 9).alias("mean"), F.round("excess", 9).alias("excess"))
+
+
+@query(f"""WITH {MINUTES}, slices AS (SELECT service, day, hour FROM minutes WHERE day IN (DATE '2024-01-15', DATE '2024-01-16') AND hour < 12 AND NOT (service = 'svc1' AND hour = 3) AND NOT (day = DATE '2024-01-16' AND hour >= 10) GROUP BY ALL),
+again AS (SELECT k.service, k.key, lts::DATE AS day, hour(lts)::INT AS hour, floor(epoch(lts) / 60)::BIGINT AS minute, count(*) AS n FROM keyed k WHERE event_id % 7 <> 0 GROUP BY ALL),
+merged AS (SELECT m.* FROM minutes m ANTI JOIN slices USING (service, day, hour) UNION ALL SELECT a.* FROM again a SEMI JOIN slices USING (service, day, hour))
+SELECT service, key, day, hour, sum(n)::BIGINT AS sum, sum(n * n)::BIGINT AS sumsq FROM merged GROUP BY ALL""")
+def x14_reread_table(spark, sf):
+    """A table of slices, some of which a lane replaces in steps, stopped after the first and started again; lost and live hours stay."""
+    lane = reread.RereadLane(spark, shared.folder(spark, "reread"), hours_each=12)
+    lines = _lines(spark, sf)
+    moments = shared.stored(C.hourly_moments(C.minute_counts(lines)), "moments")
+    every = moments.select("service", "day", "hour").distinct()
+    first = lines.groupBy("service").agg(F.min(S.minute_number()).alias("first"))
+    lane.write(reread.slice_rows(lines, every, first))
+    scope = every.filter("day IN (DATE'2024-01-15', DATE'2024-01-16') AND hour < 12")
+    live = (datetime.date(2024, 1, 16) - datetime.date(1970, 1, 1)).days * 24 + 10
+    for steps in (1, None):
+        lane.run(lines.filter("event_id % 7 <> 0"), scope, first, scope.filter("service = 'svc1' AND hour = 3"), live, steps)
+    return lane.table().filter(F.col("key") != reread.MINUTES).select("service", "key", "day", "hour", "sum", "sumsq")
