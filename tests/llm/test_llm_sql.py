@@ -15,7 +15,8 @@ def plain(v):
 def test_query(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df, rel = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
     cols = sorted(df.columns)
     assert cols == sorted(rel.columns)
