@@ -286,8 +286,35 @@ def test_masks_hold_each_link():
             assert any(off & m == 0 for m in own)
 
 
-@pytest.mark.parametrize("hot", [8192, 60])
-def test_links_of_dense_groups(spark, hot):
+@pytest.mark.parametrize("n", [10**5, 10**6])
+def test_masks_leave_few_comparisons(n):
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    compared = []
+    for m in simhash.masks(4, simhash.shared_blocks(len(fps)))[:3]:
+        bits = fps & np.uint64(m)
+        order = np.argsort(bits, kind="stable")
+        found = simhash.search(bits[order], np.zeros(len(fps), int), fps[order], 4)
+        found.run()
+        compared.append(found.compared)
+    all_masks = sum(compared) / 3 * len(simhash.masks(4, simhash.shared_blocks(len(fps))))
+    # pairs under masks of one block, expected
+    plain = sum(n * n / 2 / 2 ** m.bit_count() for m in simhash.masks(4, 1))
+    assert all_masks < plain / 30
+    assert all_masks < simhash.MEMBERS * n
+
+
+def test_lone_fingerprints_meet_nobody():
+    fps = np.array([1, 2, 3, 2**60], np.uint64)
+    found = simhash.search(np.arange(4), np.zeros(4, int), fps, 4)
+    assert len(found.run()) == 0 and found.compared == 0
+    found = simhash.search(np.array([1, 1, 2, 3]), np.zeros(4, int), fps, 4)
+    assert found.run().tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("hot, shared", [(8192, 1), (60, 1), (8192, 3), (60, 2)])
+def test_links_of_dense_groups(spark, monkeypatch, hot, shared):
+    monkeypatch.setattr(simhash, "shared_blocks", lambda *_: shared)
     rng = np.random.default_rng(3)
     fps = [int(x) for x in rng.integers(0, 2**62, 150)]
     for x in fps[:60]:

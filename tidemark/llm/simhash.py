@@ -40,6 +40,8 @@ from ._spark import joined, materialize, partitions, whole
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Members of a node of the index, and fingerprints of a top node that one group holds.
 FAN, HOT = 8, 4096
+#: Evenly spread fingerprints that a top node is to hold at most; masks take in more blocks until it does.
+MEMBERS = 16
 #: Pairs of nodes that are expanded at a time, and fingerprints from which a task searches what it holds.
 _PAIRS, _ROWS = 1 << 14, 1 << 18
 
@@ -74,10 +76,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), _fingerprint_column(docs["text"]).alias("fp"))
 
 
-def shared_blocks(n: int, k: int = DISTANCE, hot: int = HOT) -> int:
-    """How many blocks a mask holds: the fewest that leave ``n`` evenly spread fingerprints in top nodes of up to ``hot``."""
+def shared_blocks(n: int, k: int = DISTANCE, members: int = MEMBERS) -> int:
+    """How many blocks a mask holds: the fewest that leave ``n`` evenly spread fingerprints in top nodes of ``members``.
+
+    So comparisons grow with ``n`` and not with its square; the links found are the same for any number of blocks.
+    """
     shared = 1
-    while shared < 8 and n >> (shared * (64 // (k + shared))) > hot:
+    while shared < 8 and n >> (shared * (64 // (k + shared))) > members:
         shared += 1
     return shared
 
@@ -111,7 +116,7 @@ class Search:
     def __init__(self, fps: np.ndarray, starts: np.ndarray, roots: np.ndarray, k: int):
         self.k, self.fps, self.label = k, fps, np.arange(len(fps))
         self.compared = self.pruned = self.linked = self.pairs = 0
-        ends = np.append(starts[1:], len(fps))
+        ends = np.append(starts[1:], len(fps)) if len(starts) else starts
         # a level: bits that all members have, bits that they all lack, and where the members of each node begin and end
         self.levels = [(fps, ~fps, None, None)]
         lo, hi = starts, ends
@@ -183,6 +188,12 @@ class Search:
 
 def search(node: np.ndarray, side: np.ndarray, fps: np.ndarray, k: int) -> Search:
     """The search of rows sorted by node and side.  side: 0 for the whole of a node, else 1 and 2: only pairs across count."""
+    # a fingerprint that is alone under its node has nobody to meet there
+    new = np.concatenate([[True], node[1:] != node[:-1], [True]])
+    company = ~(new[:-1] & new[1:])
+    node, side, fps = node[company], side[company], fps[company]
+    if not len(fps):
+        return Search(fps, np.zeros(0, np.int64), np.zeros((0, 2), np.int64), k)
     group = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (side[1:] != side[:-1])]))
     sizes = np.diff(np.append(group, len(fps)))
     fps = fps[np.lexsort((gray_rank(fps), np.repeat(np.arange(len(group)), sizes)))]
@@ -194,7 +205,7 @@ def search(node: np.ndarray, side: np.ndarray, fps: np.ndarray, k: int) -> Searc
 def links(distinct: DataFrame, k: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """a, b: pairs that join what links between distinct fingerprints (column fp) at up to ``k`` bits join."""
     spark = distinct.sparkSession
-    chosen = masks(k, shared_blocks(distinct.count(), k, hot))
+    chosen = masks(k, shared_blocks(distinct.count(), k))
     of = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(chosen)))
     placed = distinct.select("fp", F.explode(of).alias("n")).select("fp", F.xxhash64("n.mask", "n.bits").alias("node"))
     # nodes that are too large: each has over ``hot`` rows, so few rows say which they are, and how to cut them
