@@ -112,9 +112,9 @@ def _baseline(spark: SparkSession, sf: str) -> DataFrame:
     return B.rebuild(*_parts(spark, sf))
 
 
-def _judged_ticks(spark: SparkSession, sf: str) -> DataFrame:
+def _judged_ticks(spark: SparkSession, sf: str, altered: Callable[[DataFrame], DataFrame] = lambda dense: dense) -> DataFrame:
     """Dense hourly ticks of all keys but the view-only ones, judged against the baseline of the ticks themselves."""
-    dense = C.dense_ticks(stored(C.tick_counts(_lines(spark, sf)), "ticks"))
+    dense = altered(C.dense_ticks(stored(C.tick_counts(_lines(spark, sf)), "ticks")))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("tick") / 24).cast("int"))
     dense = stored(dense.withColumn("day", day).withColumn("hour", (F.col("tick") % 24).cast("int")), "dense")
     hours = dense.filter("key = '*total'").select("service", "day", "hour", F.lit(1).alias("n_minutes"))
@@ -123,11 +123,11 @@ def _judged_ticks(spark: SparkSession, sf: str) -> DataFrame:
     moments = dense.filter("n > 0").select("service", "key", "day", "hour", F.col("n").alias("sum"), (F.col("n") * F.col("n")).alias("sumsq"))
     rows = B.lookups(dense.filter("key NOT IN ('*warn', '*info')"), B.rebuild(moments, hours, days, S.exclusions(spark)), days)
     key = F.col("key")
-    return B.judged(rows, F.when((key == "*error") | key.endswith(":error") | key.endswith(":signup"), FLOOR), sigmas=TICK_SIGMAS)
+    return B.judged(rows, F.when((key == "*error") | key.endswith(":error") | key.endswith(":signup") | key.startswith("doc:"), FLOOR), sigmas=TICK_SIGMAS)
 
 
-def _stated(spark: SparkSession, sf: str) -> DataFrame:
-    return D.states(_judged_ticks(spark, sf).select("service", "key", "tick", "n", "high"), ["service", "key"])
+def _stated(spark: SparkSession, sf: str, altered: Callable[[DataFrame], DataFrame] = lambda dense: dense) -> DataFrame:
+    return D.states(_judged_ticks(spark, sf, altered).select("service", "key", "tick", "n", "high"), ["service", "key"])
 
 
 def _changed(spark: SparkSession, sf: str) -> DataFrame:
