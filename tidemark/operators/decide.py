@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bands import winkler
+
 # Limits of the gates and of the decision.
 COVERAGE, MAX_FLAPS, RECALL_SLACK, BUDGET = (0.990, 0.999), 0.10, 0.05, 1.0
 FIT_RATIO, WORSE_SHARE, RECALL_GAIN, MIX_RECALL, RECALL_GAP = 0.90, 0.20, 0.10, 0.5, 0.10
@@ -27,6 +29,21 @@ def drawn(draw: Column, slot: Column, size: Column, seed: int) -> Column:
     return F.floor((x * x % PRIME) * size / F.lit(PRIME)).cast("int")
 
 
+def day_measures(rows: DataFrame) -> DataFrame:
+    """The sums of ``rows`` (method, kind, service, key, day, hour, y, mean, low, high, naive) by method, kind, service and day.
+
+    An episode is a run of slots outside the band, of whatever rows the key has in order, and counts where it begins; a flap
+    is one of a single slot.  Slots without a naive forecast (null) are in neither sum of errors.
+    """
+    order = Window.partitionBy("method", "service", "key").orderBy("day", "hour")
+    rows = rows.withColumn("_out", (F.col("y") > F.col("high")) | (F.col("y") < F.col("low")))
+    start = F.col("_out") & ~F.coalesce(F.lag("_out").over(order), F.lit(False))
+    rows = rows.withColumn("_start", start).withColumn("_flap", F.col("_start") & ~F.coalesce(F.lead("_out").over(order), F.lit(False)))
+    known = lambda c: F.sum(F.when(F.col("naive").isNotNull(), F.abs(F.col("y") - c)))
+    sums = (F.count("*"), F.sum(winkler(F.col("y"), F.col("low"), F.col("high"))), known(F.col("mean")), known(F.col("naive")), F.count_if(~F.col("_out")), F.count_if("_start"), F.count_if("_flap"), F.count_distinct("key"))
+    return rows.groupBy("method", "kind", "service", "day").agg(*(c.alias(name) for c, name in zip(sums, SUMS, strict=True)))
+
+
 def _share(a: str, b: str) -> Column:
     return F.sum(a) / F.nullif(F.sum(b), F.lit(0))
 
