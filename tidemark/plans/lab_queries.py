@@ -68,8 +68,10 @@ def p11_monitored(spark, sf):
 
 @query(f"""WITH {S.LINES_SQL}, f AS (SELECT template, min(ts) AS first FROM lines GROUP BY ALL) SELECT l.event_id, l.template FROM lines l JOIN f USING (template) WHERE l.ts < f.first + INTERVAL 24 HOUR""")
 def p12_p15_new_templates(spark, sf):
-    first = F.min("ts").over(Window.partitionBy("template"))
-    return _lines(spark, sf).withColumn("first", first).filter(F.col("ts") < F.col("first") + F.expr("INTERVAL 24 HOURS")).select("event_id", "template")
+    """Lines of a template's first 24 hours; first sights are summed before they meet the lines."""
+    lines = _lines(spark, sf).select("event_id", "template", "ts")
+    first = lines.groupBy("template").agg(F.min("ts").alias("first"))
+    return lines.join(first, "template").filter(F.col("ts") < F.col("first") + F.expr("INTERVAL 24 HOURS")).select("event_id", "template")
 
 
 @query("SELECT n_name, count(o_orderkey) AS orders, count(*) FILTER (o_orderstatus = 'F') AS done, count(DISTINCT c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name")
