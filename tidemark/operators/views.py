@@ -116,3 +116,36 @@ def contributors(cell: DataFrame, selections: DataFrame, first_seen: DataFrame,
     order = Window.partitionBy(*place).orderBy(F.round(F.col("rate") - F.col("mean"), 9).desc(), "key")
     rose = old.withColumn("excess", F.col("rate") - F.col("mean")).filter("excess > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return rose.select(*place, "rank", "key", "rate", "mean", "excess", F.when(F.col("mean") > 0, F.round(F.col("rate") / F.col("mean"), 1)).alias("times_normal"))
+
+
+# Keys of a service, sources of links that count for documents, and levels in the order of display.
+SERVICE_KEYS = ("*total", "*error", "*warn", "*info")
+LINKING = ("manual", "inherited", "corpus", "llm")
+LEVEL_ORDER = ("FATAL", "CRITICAL", "SEVERE", "ERROR", "WARNING", "WARN", "NOTICE", "INFO", "DEBUG", "TRACE")
+
+
+def level_place(level: Column) -> Column:
+    """Where a level stands in a display; all that are not in the list come after it, to be ordered by name."""
+    at = F.array_position(F.array(*map(F.lit, LEVEL_ORDER)), level)
+    return F.when(at > 0, at).otherwise(len(LEVEL_ORDER) + 1)
+
+
+def resolved(asked: DataFrame, links: DataFrame, documents: DataFrame, templates: DataFrame) -> DataFrame:
+    """``asked`` (service, key) with kind and keys, those whose counts the key sums, in order; null for keys that are unknown.
+
+    A service's key is its name without the star; ``doc:ID`` and ``verdict:action`` or ``:safe`` sum the templates that are
+    linked (service, key, doc, source) to the document, or to active documents (doc, status, verdict) of the verdict; any
+    other key is a template (service, key).
+    """
+    asked = asked.select("service", "key").distinct()
+    counted = links.filter(F.col("source").isin(*LINKING)).select("service", F.col("key").alias("own"), "doc")
+    judged = documents.filter((F.col("status") == "active") & F.col("verdict").isin("action", "safe")).select("doc", "verdict")
+    by_doc = counted.select("service", F.concat(F.lit("doc:"), "doc").alias("key"), "own")
+    by_verdict = counted.join(judged, "doc").select("service", F.concat(F.lit("verdict:"), "verdict").alias("key"), "own")
+    named = ~F.col("key").isin(*SERVICE_KEYS) & ~F.col("key").startswith("doc:") & ~F.col("key").startswith("verdict:")
+    own = templates.filter(named).select("service", "key", F.lit("template").alias("kind"), F.col("key").alias("own"))
+    every = by_doc.unionByName(by_verdict).select("service", "key", F.lit("doc").alias("kind"), "own").unionByName(own)
+    found = asked.join(every, ["service", "key"]).groupBy("service", "key", "kind").agg(F.array_sort(F.collect_set("own")).alias("keys"))
+    service = F.col("key").isin(*SERVICE_KEYS)
+    out = asked.join(found, ["service", "key"], "left")
+    return out.select("service", "key", F.when(service, F.substring("key", 2, 9)).otherwise(F.col("kind")).alias("kind"), F.when(service, F.array("key")).otherwise(F.col("keys")).alias("keys"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import counts as C
 from ..operators import detect as D
 from ..operators import incident_report as R
+from ..operators import views as V
+from ..sources import driver_tables as S
 from ..sources.shared import stored
 from .forecast_queries import ORACLES, QUERIES
 from .log_queries import DENSE, DOC_LINKS, DOC_ROWS, FLOOR, STATED, _lines, _stated, query
@@ -92,3 +94,30 @@ def b19_false_alerts(spark, sf):
     """Check 5 of an incident test: alert rows that turn ALERTING in its control, and how often an hour."""
     states, rows, phases, _ = _tested(spark, sf)
     return R.false_alerts(states, rows, phases).withColumn("per_hour", F.round("per_hour", 9))
+
+
+KNOWN_DOCS = [("DOC-001", "active", "action"), ("DOC-002", "active", "safe"), ("DOC-003", "draft", "action")]
+KNOWN_LINKS = [("error", "DOC-001", "manual"), ("signup", "DOC-001", "corpus"), ("purchase", "DOC-002", "llm"), ("click", "DOC-002", "draft"), ("click", "DOC-003", "manual")]
+ASKED = ["*total", "*error", "doc:DOC-001", "doc:DOC-002", "doc:DOC-003", "doc:DOC-004", "verdict:action", "verdict:safe", "verdict:none", "nothing"]
+
+
+@query(f"""WITH {S.LINES_SQL}, t AS (SELECT DISTINCT service, template AS key FROM lines), d AS (SELECT * FROM (VALUES {_values(KNOWN_DOCS)}) v(doc, status, verdict)),
+l AS (SELECT t.service, t.key, v.doc FROM t JOIN (VALUES {_values(KNOWN_LINKS)}) v(suffix, doc, source) ON t.key = t.service || ':' || v.suffix WHERE v.source IN {V.LINKING}),
+asked AS (SELECT service, key FROM t UNION SELECT service, unnest({ASKED}) FROM t),
+e AS (SELECT service, 'doc:' || doc AS key, 'doc' AS kind, key AS own FROM l UNION SELECT l.service, 'verdict:' || d.verdict, 'doc', l.key FROM l JOIN d USING (doc) WHERE d.status = 'active' AND d.verdict IN ('action', 'safe') UNION SELECT service, key, 'template', key FROM t UNION SELECT service, key, key[2:], key FROM asked WHERE key LIKE '*%')
+SELECT a.service, a.key, any_value(e.kind) AS kind, string_agg(e.own, ',' ORDER BY e.own) AS keys FROM asked a LEFT JOIN e USING (service, key) GROUP BY a.service, a.key""")
+def d13_resolved_keys(spark, sf):
+    """What each key that may be asked for sums: service keys, documents, verdicts, templates, and unknown ones."""
+    templates = _lines(spark, sf).select("service", F.col("template").alias("key")).distinct()
+    known = F.broadcast(spark.createDataFrame(KNOWN_LINKS, "suffix string, doc string, source string"))  # a few rows
+    links = templates.join(known, F.col("key") == F.concat_ws(":", "service", "suffix")).drop("suffix")
+    asked = templates.unionByName(templates.select("service", F.explode(F.array(*map(F.lit, ASKED))).alias("key")))
+    out = V.resolved(asked, links, spark.createDataFrame(KNOWN_DOCS, "doc string, status string, verdict string"), templates)
+    return out.withColumn("keys", F.array_join("keys", ","))
+
+
+@query(f"""WITH {S.LINES_SQL} SELECT level, count(DISTINCT template) AS templates, count(*) AS n, coalesce(nullif(list_position({list(V.LEVEL_ORDER)}, level), 0), {len(V.LEVEL_ORDER) + 1})::INT AS place FROM lines GROUP BY level""")
+def p18_levels(spark, sf):
+    """Levels with their templates and lines, in the order of display."""
+    per = _lines(spark, sf).groupBy("level", "template").agg(F.count("*").alias("n")).groupBy("level").agg(F.count("template").alias("templates"), F.sum("n").alias("n"))
+    return per.withColumn("place", V.level_place(F.col("level")).cast("int")).orderBy("place", "level")
