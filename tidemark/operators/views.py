@@ -15,6 +15,8 @@ from . import baseline as B
 SIGMA_FLOOR, STEPS = 1.0, (6, 10)
 #: Lines of the contributors' list.
 CONTRIBUTORS = 10
+#: Differences of two rates that are less than this share of them are rounding: it depends on the order of a sum.
+ROUNDING = 1e-12
 
 
 def low_alerts(key: Column) -> Column:
@@ -103,7 +105,7 @@ def contributors(cell: DataFrame, selections: DataFrame, first_seen: DataFrame,
     """The templates that rose most in each selection (service, day, hour_from, hour_to): rate and mean over its hours, excess.
 
     ``first_seen``: service, key, day and hour of each template's first sight.  Templates first seen in the selection or the
-    hour before it are new and have no excess.
+    hour before it are new and have no excess.  A rate that equals its mean has none, in whatever order the mean was summed.
     """
     hours = selections.select("service", "day", "hour_from", "hour_to", F.explode(F.sequence(F.col("hour_from"), F.col("hour_to") - 1)).alias("hour"))
     own = cell.filter("NOT startswith(key, '*')").join(hours, ["service", "day", "hour"])
@@ -114,7 +116,7 @@ def contributors(cell: DataFrame, selections: DataFrame, first_seen: DataFrame,
     start = at(F.col("day"), F.col("hour_from"))
     old = per.join(seen, ["service", "key"], "left").filter(F.col("seen").isNull() | (F.col("seen") < start - 1) | (F.col("seen") >= at(F.col("day"), F.col("hour_to"))))
     order = Window.partitionBy(*place).orderBy(F.round(F.col("rate") - F.col("mean"), 9).desc(), "key")
-    rose = old.withColumn("excess", F.col("rate") - F.col("mean")).filter("excess > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    rose = old.withColumn("excess", F.col("rate") - F.col("mean")).filter(F.col("excess") > F.col("rate") * ROUNDING).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return rose.select(*place, "rank", "key", "rate", "mean", "excess", F.when(F.col("mean") > 0, F.round(F.col("rate") / F.col("mean"), 1)).alias("times_normal"))
 
 
