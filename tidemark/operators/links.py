@@ -38,6 +38,15 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], least: float | N
     return CellIndex(right, keys).matches(left, least, k)
 
 
+def best_by_doc(left: DataFrame, doc_lines: DataFrame, keys: list[str], least: float | None = None) -> DataFrame:
+    """keys, left id, doc and sim of the nearest line of each document, ``least`` or more; ``doc_lines``: keys, id, embedding, doc.
+
+    Few pairs leave the comparison: only the best of a document in each tile.
+    """
+    best = CellIndex(doc_lines, keys, of="doc").best_of_each(left, least)
+    return best.groupBy(*keys, "id", "doc").agg(F.max("sim").alias("sim"))
+
+
 def nearest(pairs: DataFrame, k: int = 1) -> DataFrame:
     """The ``k`` most similar others of each id; the least other at a tie."""
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
@@ -56,8 +65,7 @@ def corpus(templates: DataFrame, doc_lines: DataFrame, thresholds: dict[str, flo
     ``doc_lines``: doc, class, id, embedding.
     """
     # a second document matters if it comes within the margin of a link
-    pairs = similar(templates.filter("NOT manual"), doc_lines, ["class"], min(thresholds.values()) - margin - 1e-9)
-    per = pairs.join(doc_lines.select(F.col("id").alias("other"), "doc"), "other").groupBy("class", "id", "doc").agg(F.max("sim").alias("sim"))
+    per = best_by_doc(templates.filter("NOT manual"), doc_lines, ["class"], min(thresholds.values()) - margin - 1e-9)
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "doc")
     ranked = per.withColumn("rn", F.row_number().over(order)).withColumn("second", F.lead("sim").over(order))
     close = (F.col("rn") == 1) & (F.col("sim") >= by_class(F.col("class"), thresholds)) & (F.col("sim") - F.coalesce("second", F.lit(-1.0)) >= margin)

@@ -31,9 +31,10 @@ SELECT id, doc, round(sim, 6) AS sim FROM p WHERE rn = 1 AND sim >= CASE class W
 def l3_j6_inherited(spark, sf):
     """The nearest manual template of the service and class, at thresholds that suit these vectors."""
     rows = S.vectors(spark, sf)
-    pairs = K.similar(rows.filter("NOT manual"), rows.filter("manual"), ["service", "class"], 0.25, 1).withColumn("sim", F.round("sim", 9))
-    found = K.nearest(pairs).filter(F.col("sim") >= K.by_class(F.col("class"), {"ERROR": 0.25, "WARN": 0.3, "INFO": 0.35}))
-    return found.select("id", F.col("other").alias("doc"), F.round("sim", 6).alias("sim"))
+    pairs = K.similar(rows.filter("NOT manual"), rows.filter("manual"), ["service", "class"], 0.25, 1)
+    # ranked by nine places, but what is shown is not rounded twice
+    found = K.nearest(pairs.withColumn("whole", F.col("sim")).withColumn("sim", F.round("sim", 9))).filter(F.col("whole") >= K.by_class(F.col("class"), {"ERROR": 0.25, "WARN": 0.3, "INFO": 0.35}))
+    return found.select("id", F.col("other").alias("doc"), F.round("whole", 6).alias("sim"))
 
 
 def _doc_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,8 +67,7 @@ g AS (SELECT b.*, t.threshold, m.margin FROM b, (VALUES (0.2::DOUBLE), (0.3)) t(
 SELECT threshold, margin, count(*) FILTER (c AND doc = truth) AS "right", count(*) FILTER (c AND doc <> truth) AS wrong, count(*) FILTER (NOT c) AS "none" FROM (SELECT *, sim >= threshold AND sim - coalesce(second, -1) >= margin AS c FROM g) GROUP BY ALL""")
 def l7_link_evaluation(spark, sf):
     rows = S.vectors(spark, sf)
-    lines = _doc_lines(spark, sf)
-    pairs = K.similar(rows.filter("NOT manual"), lines, ["class"]).join(lines.select(F.col("id").alias("other"), "doc"), "other")
+    pairs = K.best_by_doc(rows.filter("NOT manual"), _doc_lines(spark, sf), ["class"])
     return K.evaluation(pairs, rows.select("id", F.concat(F.lit("DOC-"), F.col("label") % 7).alias("truth")), [0.2, 0.3], [0.0, 0.05])
 
 
