@@ -41,10 +41,25 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 8 << 20, 64 << 10
 SHARD_BYTES = 4 << 20
 #: Words whose ids a worker keeps at most; beyond it the table starts anew.
 KEEP = 800_000
+#: New words of a call of the tokenizer.
+WORDS = 20_000
 
 SHARD = "part int, seq int, dict_sha256 string, width int, base bigint, total bigint, first bigint, last bigint, doc_ids binary, known binary, n_ids binary, offsets binary, frames binary"
 
 
+class Codes(dict):
+    """Numbers of words by first sight; those that are seen for the first time are also in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
 class WordTable:
     """Ids of texts by way of their distinct words.
 
@@ -61,11 +76,15 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # where the tokenizer makes capitals small, words that differ by them alone are one; not beside its special strings
+        capitals = bytes(range(65, 91)).decode()
+        self.small = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(capitals) == capitals.lower()
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Codes()
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,30 +93,35 @@ class WordTable:
             self._clear()
             self.known[b" "] = 0  # stands for the end id; no word is a blank
             self.flat, self.starts, self.lengths = np.array([end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
-        known, codes, sizes, new = self.known, [], [], []
+        codes, sizes, code = [], [], self.known.__getitem__
         for text in texts:
-            words = text.encode().split()
-            own = list(map(known.get, words))
-            if None in own:
-                for w in {*words}.difference(known):
-                    known[w] = len(known)
-                    new.append(w)
-                own = list(map(known.__getitem__, words))
-            codes += own
+            data = text.encode()
+            if self.small:
+                small = data.lower()
+                data = data if any(s in small for s in self.special) else small
+            words = data.split()
+            codes.extend(map(code, words))
             codes.append(0)
-            sizes.append(len(own) + 1)
+            sizes.append(len(words) + 1)
+        new, self.known.new = self.known.new, []
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            counts = np.array([len(x) for x in found], np.int64)
+            parts = [self._words(new[i : i + WORDS]) for i in range(0, len(new), WORDS)]
+            counts = np.concatenate([n for _, n in parts])
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
             self.lengths = np.concatenate([self.lengths, counts])
-            self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
         codes_, ends = np.array(codes, np.int64), np.cumsum(sizes)
         lengths = self.lengths[codes_]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         return self.flat[spread(self.starts[codes_], lengths)], upto[ends] - upto[ends - np.array(sizes)]
 
 
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and the count of each; each word is tokenised by itself, in one call."""
+        found = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+
+
 _tables: dict[str, WordTable] = {}
 
 
