@@ -22,18 +22,22 @@ An empty table gives an empty store.  Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize, partitions, slices
+from ._spark import materialize, partitions
 from .bpe import spread, text_chunks
 
 #: Documents and bytes that the dictionary may be trained on, and its size.
@@ -43,6 +47,12 @@ SHARD_BYTES = 4 << 20
 KEEP = 800_000
 #: New words of a call of the tokenizer.
 WORDS = 20_000
+#: Bytes of the texts whose words are sought at once.
+RUN_BYTES = 4 << 20
+#: Pre-tokens of the tokenizers whose words are cut into letters and signs.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin letters, and ASCII signs but for the apostrophe: two such pre-tokens at most.  A dotted capital I becomes more than letters.
+LETTERS_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 
 SHARD = "part int, seq int, dict_sha256 string, width int, base bigint, total bigint, first bigint, last bigint, doc_ids binary, known binary, n_ids binary, offsets binary, frames binary"
 
@@ -52,14 +62,23 @@ class Codes(dict):
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
+        self.new: list[str] = []
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         self[word] = code = len(self)
         self.new.append(word)
         return code
 
 
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, str]:
+    """Where the words of each text begin, and of the last end; each word's place among the distinct words; these, joined by blanks."""
+    words = pc.ascii_split_whitespace(texts)
+    upto = np.asarray(words.offsets)
+    distinct = words.values.slice(int(upto[0]), int(upto[-1] - upto[0])).dictionary_encode()
+    joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(distinct.dictionary)], distinct.dictionary), " ")[0].as_py()
+    return upto - upto[0], np.asarray(distinct.indices), joined
+
+
 class WordTable:
     """Ids of texts by way of their distinct words.
 
@@ -79,46 +98,93 @@ class WordTable:
         # where the tokenizer makes capitals small, words that differ by them alone are one; not beside its special strings
         capitals = bytes(range(65, 91)).decode()
         self.small = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(capitals) == capitals.lower()
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().lower().decode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.ends = self._ends()
         self._clear()
 
+    def _ends(self) -> np.ndarray | None:
+        """For each id, whether it ends a pre-token; none where ids don't tell it or where letters can't be parted from signs."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        config = json.loads(self.tokenizer.to_str())
+        model, suffix = config["model"], config["model"].get("end_of_word_suffix")
+        normal, cut = config["normalizer"] or {"normalizers": []}, (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if model["type"] != "BPE" or not suffix or model["continuing_subword_prefix"] or any(LETTERS_SIGNS.fullmatch("a" + s) for s in self.special):
+            return None
+        if any(x["type"] not in ("NFC", "Lowercase") and x != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in normal.get("normalizers", [normal])):
+            return None
+        if [x["type"] for x in cut] != ["Split", "ByteLevel"] or (cut[0]["pattern"], cut[0]["behavior"], cut[0]["invert"]) != ({"Regex": PRE_TOKEN}, "Removed", True):
+            return None
+        if not all(c + suffix in model["vocab"] for c in ByteLevel.alphabet()):  # a pre-token might end without the suffix
+            return None
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        return ends
+
     def _clear(self) -> None:
         self.known = Codes()
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with ``end`` after it, and the count of each."""
         if len(self.known) > KEEP or not self.known:
             self._clear()
-            self.known[b" "] = 0  # stands for the end id; no word is a blank
+            self.known[" "] = 0  # stands for the end id; no word is a blank
             self.flat, self.starts, self.lengths = np.array([end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
-        codes, sizes, code = [], [], self.known.__getitem__
-        for text in texts:
-            data = text.encode()
-            if self.small:
-                small = data.lower()
-                data = data if any(s in small for s in self.special) else small
-            words = data.split()
-            codes.extend(map(code, words))
-            codes.append(0)
-            sizes.append(len(words) + 1)
-        new, self.known.new = self.known.new, []
-        if new:
-            parts = [self._words(new[i : i + WORDS]) for i in range(0, len(new), WORDS)]
-            counts = np.concatenate([n for _, n in parts])
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-            self.lengths = np.concatenate([self.lengths, counts])
-            self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
-        codes_, ends = np.array(codes, np.int64), np.cumsum(sizes)
-        lengths = self.lengths[codes_]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        small = pc.ascii_lower(texts) if self.small else texts
+        upto, indices, words = _cut(small)
+        if self.small and any(s in words for s in self.special):
+            as_is = functools.reduce(pc.or_, [pc.match_substring(small, s) for s in self.special])
+            upto, indices, words = _cut(pc.if_else(as_is, texts, small))
+        words = words.split(" ")
+        own = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._add(self.known.new)
+        # the end id's code is 0
+        codes = np.insert(own[indices], upto[1:], 0)
+        sizes = np.diff(upto) + 1
+        lengths, ends = self.lengths[codes], np.cumsum(sizes)
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[spread(self.starts[codes_], lengths)], upto[ends] - upto[ends - np.array(sizes)]
-
-
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.flat[spread(self.starts[codes], lengths)], upto[ends] - upto[ends - sizes]
+
+    def _add(self, new: list[str]) -> None:
+        """Finds the ids of the new words; letters with signs after them have the ids of both, end to end."""
+        first, code, plain, odd, pairs = len(self.lengths), self.known.__getitem__, [], [], []
+        for at, word in enumerate(new, first):  # letters and signs that were not known join the new words
+            found = LETTERS_SIGNS.fullmatch(word) if self.ends is not None else None
+            if not found:
+                odd.append(at)
+            elif found[2]:
+                pairs.append((at, code(found[1]), code(found[2])))
+            else:
+                plain.append(at)
+        self.starts, self.lengths = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.lengths))
+        for codes, ids_of in ((plain, self._letters), (odd, self._words)):
+            found = [ids_of([new[c - first] for c in codes[i : i + WORDS]]) for i in range(0, len(codes), WORDS)]
+            if found:
+                self._put(codes, *map(np.concatenate, zip(*found, strict=True)))
+        if pairs:
+            words, both = np.array(pairs, np.int64)[:, 0], np.array(pairs, np.int64)[:, 1:]
+            counts = self.lengths[both]
+            self._put(words, self.flat[spread(self.starts[both].ravel(), counts.ravel())], counts.sum(axis=1))
+        self.known.new = []
+
+    def _put(self, codes: list[int] | np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.starts[codes], self.lengths[codes] = len(self.flat) + np.cumsum(counts) - counts, counts
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of runs of letters, tokenised as one text: each is one pre-token, whose last id ends it."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids])
+        # none has less than one pre-token, so as many ends as words are one for each
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self._words(words)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words end to end, and the count of each; each word is tokenised by itself, in one call."""
-        found = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
 
 
@@ -131,6 +197,14 @@ def _table(path: str) -> WordTable:
     return _tables[path]
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of whole texts, the second column, of about ``RUN_BYTES``."""
+    at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), dtype=np.int64) // RUN_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def _raw(ids: np.ndarray, width: int) -> bytes:
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
@@ -182,16 +256,14 @@ def write_store(docs: DataFrame, path: str, dictionary: bytes, end: int = 1) ->
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path)
         zipped = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
-        for batch in slices(batches):
-            frames, sizes, ties = [], [], []
-            for texts in text_chunks(x or "" for x in batch.column(1).to_pylist()):
-                ids, counts = table.encode(texts, end)
-                raw, ends = _raw(ids, table.width), (np.cumsum(counts) * table.width).tolist()
+        for batch in batches:
+            for run in _runs(batch):
+                ids, counts = table.encode(pc.fill_null(run.column(1), ""), end)
+                raw, ends, frames, ties = _raw(ids, table.width), (np.cumsum(counts) * table.width).tolist(), [], []
                 for a, b in zip([0, *ends], ends, strict=False):
                     frames.append(zipped.compress(raw[a:b]))
                     ties.append(zlib.crc32(raw[a:b]))
-                sizes += counts.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([table.width] * len(sizes), pa.int32()), pa.array(sizes, pa.int64()), pa.array(ties, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "width", "n_ids", "tie", "frame"])
+                yield pa.RecordBatch.from_arrays([run.column(0), pa.array([table.width] * len(ties), pa.int32()), pa.array(counts, pa.int64()), pa.array(ties, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "width", "n_ids", "tie", "frame"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, base, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
